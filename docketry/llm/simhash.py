@@ -3,9 +3,9 @@
 1. Fingerprints: XXH64 (seed 42) of the 3-word shingles, a bit is 1 if it is set in over half of them.
 2. Equal fingerprints become one node. Each node goes to ten buckets, one for each pair of five bit blocks: two
    fingerprints that differ in at most 3 bits agree on two of five blocks at least, so no link is lost.
-3. A bucket of more than BUCKET nodes is dealt again by four blocks of its free bits (three differing bits
-   leave one of four blocks equal), and so on; a bucket with few enough free bits can't exceed BUCKET. So no
-   task ever holds an unbounded bucket, and nothing is dropped.
+3. A bucket of more than BUCKET nodes is dealt again by each three of six blocks of its free bits (three
+   differing bits leave three of six blocks equal), and so on; with ten free bits, after two rounds, a bucket
+   can't exceed BUCKET. So no task ever holds an unbounded bucket, and nothing is dropped.
 4. In a task the sorted nodes are lanes of vertical bit planes. For each lag k, all lanes are compared with the
    lanes k further on at once: XOR of planes, carry-save counters of two bits with an overflow bit, and blocks
    whose lanes are all past the radius or at a bucket's end are abandoned. A bucket yields a spanning forest,
@@ -190,10 +190,10 @@ def link(nodes: DataFrame) -> DataFrame:
         cold, hot = rows, None
         if 1 << free > BUCKET:
             hot = materialise(rows.groupBy("mask", "key").count().filter(F.col("count") > BUCKET).select("mask", "key"), "simhash-hot")
-            here = {r[0] & ALL for r in hot.select("mask").distinct().collect()}  # at most 10 x 4 ** level masks
+            here = {r[0] & ALL for r in hot.select("mask").distinct().collect()}  # at most 10 x 20 ** level masks, of two levels
             if here:
                 cold = rows.join(hot, ["mask", "key"], "left_anti")
-                children = [(_signed(m), _signed(m | c)) for m in here for c in split_bits(ALL ^ m, RADIUS + 1)]
+                children = [(_signed(m), _signed(m | a | b | c)) for m in here for a, b, c in combinations(split_bits(ALL ^ m, RADIUS + 3), 3)]
                 masks = [c & ALL for _, c in children]
                 finer = F.broadcast(spark.createDataFrame(children, "mask long, finer long"))
                 rows = materialise(rows.join(hot, ["mask", "key"], "left_semi").join(finer, "mask").select(F.col("finer").alias("mask"), "fp"), "simhash-finer")
