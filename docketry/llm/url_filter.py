@@ -2,8 +2,8 @@
 
 A page's outcome is bad where its label's quality is 0 (labels.doc_id is taken as the page's id). Bad rates are
 shrunk down a hierarchy of beta-binomial posteriors: all pages -> public suffix -> registered domain -> host.
-Each level's prior has the level above's posterior mean, and a strength (pseudo-count) estimated from the spread
-of rates at that level by the method of moments. A host is blocked if the lower bound of its bad rate, mean
+Each level's prior has the level above's posterior mean, and a strength (pseudo-count) estimated by the method
+of moments from the spread of that level's rates around their priors. A host is blocked if the lower bound of its bad rate, mean
 less Z standard deviations of its beta posterior, exceeds TOLERANCE.
 
 Everything is grouping and joining by host; only three strengths and one mean pass through the driver.
@@ -59,14 +59,16 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
     return name, verdict
 
 
-def strength(groups: DataFrame, mean: float) -> float:
-    """The prior's pseudo-count, by moments: the smaller the spread of rates between groups, the larger."""
-    spread = F.sum(F.col("n") * (F.col("bad") / F.col("n") - F.lit(mean)) * (F.col("bad") / F.col("n") - F.lit(mean)))
-    s, n, n2, k = groups.agg(spread, F.sum("n"), F.sum(F.col("n") * F.col("n")), F.count("*")).first()
-    v = mean * (1 - mean)
-    if not n or k < 2 or v == 0 or n - n2 / n <= 0:
+def strength(groups: DataFrame) -> float:
+    """The prior's pseudo-count from (n, bad, prior), by moments: the less the rates of groups spread around
+    their priors, beyond what binomial draws do, the larger."""
+    n, prior = F.col("n"), F.col("prior")
+    v = prior * (1 - prior)
+    off = F.col("bad") / n - prior
+    s, alone, pairs = groups.filter(n > 0).agg(F.sum(n * off * off), F.sum(v), F.sum(v * (n - 1))).first()
+    if not pairs:
         return STRENGTHS[1]
-    rho = (s - (k - 1) * v) / ((n - n2 / n) * v)
+    rho = (s - alone) / pairs
     return STRENGTHS[1] if rho <= 1 / (1 + STRENGTHS[1]) else max(STRENGTHS[0], min(STRENGTHS[1], 1 / rho - 1))
 
 
@@ -79,15 +81,21 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
     mean = ((bad or 0) + 0.5) / ((n or 0) + 1.0) if n else 0.0
-    m = [strength(g.filter("n > 0"), mean) for g in (suffixes, domains, hosts)]
-    post = lambda prior, k: (prior * F.lit(m[k]) + F.col("bad")) / (F.lit(m[k]) + F.col("n"))
-    suffixes = suffixes.select("suffix", post(F.lit(mean), 0).alias("p_suffix"))
-    domains = domains.join(suffixes, "suffix").select("domain", post(F.col("p_suffix"), 1).alias("p_domain"))
-    rated = hosts.join(domains, "domain").select("host", F.col("n"), post(F.col("p_domain"), 2).alias("rate"))
-    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(m[2]) + F.col("n") + 1))
+    suffixes = suffixes.withColumn("prior", F.lit(mean))
+    suffixes = suffixes.select("suffix", _posterior(strength(suffixes)).alias("prior"))
+    domains = domains.join(suffixes, "suffix")
+    domains = domains.select("domain", _posterior(strength(domains)).alias("prior"))
+    rated = hosts.join(domains, "domain")
+    m = strength(rated)
+    rated = rated.select("host", "n", _posterior(m).alias("rate"))
+    sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(m) + F.col("n") + 1))
     return rated.select("host", "rate", (F.col("rate") - F.lit(Z) * sd).alias("bound"))
 
 
+def _posterior(m: float) -> Column:
+    return (F.col("prior") * F.lit(m) + F.col("bad")) / (F.lit(m) + F.col("n"))
+
+
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, rate, bound: one row per row."""
     url = F.col(url_col)
@@ -111,10 +119,9 @@ _TLD2 = ", ".join(f"'{x}'" for x in SECOND_LEVEL)
 
 
 def _rho(table: str) -> str:
-    return f"""SELECT CASE WHEN n IS NULL OR k < 2 OR v = 0 OR n - n2 / n <= 0 THEN {STRENGTHS[1]}
-    WHEN (s - (k - 1) * v) / ((n - n2 / n) * v) <= 1 / (1 + {STRENGTHS[1]}) THEN {STRENGTHS[1]}
-    ELSE greatest({STRENGTHS[0]}, least({STRENGTHS[1]}, 1 / ((s - (k - 1) * v) / ((n - n2 / n) * v)) - 1)) END AS m
-    FROM (SELECT sum(t.n * (bad / t.n - p) * (bad / t.n - p)) AS s, sum(t.n)::DOUBLE AS n, sum(t.n * t.n)::DOUBLE AS n2, count(*) AS k, any_value(p * (1 - p)) AS v FROM {table} t, m0 WHERE t.n > 0)"""
+    return f"""SELECT CASE WHEN pairs IS NULL OR pairs = 0 OR (s - alone) / pairs <= 1 / (1 + {STRENGTHS[1]}) THEN {STRENGTHS[1]}
+    ELSE greatest({STRENGTHS[0]}, least({STRENGTHS[1]}, 1 / ((s - alone) / pairs) - 1)) END AS m
+    FROM (SELECT sum(n * (bad / n - p) * (bad / n - p)) AS s, sum(p * (1 - p)) AS alone, sum(p * (1 - p) * (n - 1)) AS pairs FROM {table} WHERE n > 0)"""
 
 
 def _cases(pick: int) -> str:
@@ -131,10 +138,12 @@ h AS (SELECT host, domain, suffix, count(quality) AS n, coalesce(sum((quality =
 dm AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 sx AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dm GROUP BY ALL),
 m0 AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5) / (sum(n) + 1.0) ELSE 0 END::DOUBLE AS p FROM h),
-m1 AS ({_rho("sx")}), m2 AS ({_rho("dm")}), m3 AS ({_rho("h")}),
-ps AS (SELECT suffix, (p * m + bad) / (m + n) AS p FROM sx, m0, m1),
-pd AS (SELECT domain, (p * m + bad) / (m + n) AS p FROM dm JOIN ps USING (suffix), m2),
-ph AS (SELECT host, m, n, (p * m + bad) / (m + n) AS p FROM h JOIN pd USING (domain), m3)
+sp AS (SELECT sx.*, p FROM sx, m0), m1 AS ({_rho("sp")}),
+ps AS (SELECT suffix, (p * m + bad) / (m + n) AS p FROM sp, m1),
+dp AS (SELECT dm.*, p FROM dm JOIN ps USING (suffix)), m2 AS ({_rho("dp")}),
+pd AS (SELECT domain, (p * m + bad) / (m + n) AS p FROM dp, m2),
+hp AS (SELECT h.*, p FROM h JOIN pd USING (domain)), m3 AS ({_rho("hp")}),
+ph AS (SELECT host, m, n, (p * m + bad) / (m + n) AS p FROM hp, m3)
 SELECT page_id, host, path, {_cases(0)} AS rule, coalesce({_cases(1)}, CASE WHEN p - {Z} * sqrt(p * (1 - p) / (m + n + 1)) > {TOLERANCE} THEN 'block' ELSE 'allow' END) AS verdict
 FROM c JOIN ph USING (host)
 """
