@@ -1 +1,3 @@
-"""Part of docketry."""
+"""Registered queries and their SQL forms."""
+
+from . import catalog, lifecycle  # noqa: F401
