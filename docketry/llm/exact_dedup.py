@@ -4,6 +4,9 @@ Pass one sets, for each row, two bits of a filter and keeps those set by two row
 both bits of every row: a row that lacks one is certainly unique and passes straight through; only the others
 shuffle, by the SHA-256 of their normalised text, so false positives cost a shuffle and never a wrong result.
 
+Of the rows that shuffle, each group is dealt over salts, whose number grows with the input: a group's rows meet
+its result salt by salt, so a group that holds a third of all rows is spread over many tasks.
+
 The filter has 2**26 bits, packed in at most 2**20 rows of 64: that bounds what is broadcast (some 50 MB),
 whatever the input. Past some tens of millions of rows it fills up and more rows take the exact path.
 
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, documents, materialise
 
 FILTER_BITS = 1 << 26
+MIN_SALTS = 256
+ROWS_A_SALT = 1_000_000  # so that a salt of the largest possible group has about so many rows
 
 
 def _slots(sha):
@@ -53,8 +58,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = mark_possibly_repeated(keys, bits, "text_sha256", "__maybe")
     one = rows.filter("not __maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("__maybe").drop("__maybe")
-    best = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "__row")).alias("best"), F.count("*").alias("group_size"))
-    more = maybe.join(best, "text_sha256").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("best.__row")).alias("kept"), "text_sha256")
+    salts = max(MIN_SALTS, -(-keys.count() // ROWS_A_SALT))
+    maybe = maybe.withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int"))
+    some = maybe.groupBy("text_sha256", "__salt").agg(F.max(F.struct("doc_id", "__row")).alias("best"), F.count("*").alias("n"))
+    some = materialise(some, "exact-salted")
+    best = some.groupBy("text_sha256").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
+    best = some.select("text_sha256", "__salt").join(best, "text_sha256")
+    more = maybe.join(best, ["text_sha256", "__salt"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("best.__row")).alias("kept"), "text_sha256")
     return one.unionByName(more)
 
 
