@@ -77,10 +77,10 @@ def hits(docs: DataFrame, table: DataFrame, lengths: list[int], keep: bool, id_c
         at = base if mark else base.filter(F.size("w") >= n)
         at = at.select("doc_id", "text_hash", "w", F.explode(F.sequence(first, F.greatest(first, last))).alias("i"))
         at = at.withColumn("key", F.when(F.col("i") >= 0, winnowed(F.col("w"), F.col("i"), n)))
+        at = at.select("doc_id", "text_hash", F.size("w").alias("n_words"), "i", "key", F.array_join(F.slice("w", F.greatest("i", F.lit(0)) + 1, n), " ").alias("span"))
         known = _sized(table.filter(F.col("length") == n).drop("length"))
-        same = (at.key == known.key) & (F.array_join(F.slice(at.w, F.greatest(at.i, F.lit(0)) + 1, n), " ") == known.wtext)
-        found = at.join(known, same, "left").filter((F.col("i") < 0) | F.col("set_id").isNotNull())
-        out.append(found.select("doc_id", "text_hash", F.size("w").alias("n_words"), "i", F.lit(n).alias("length"), "set_id"))
+        found = at.join(known, (at.key == known.key) & (at.span == known.wtext), "left").filter((F.col("i") < 0) | F.col("set_id").isNotNull())
+        out.append(found.select("doc_id", "text_hash", "n_words", "i", F.lit(n).alias("length"), "set_id"))
     return reduce(DataFrame.unionByName, out)
 
 
