@@ -95,3 +95,40 @@ def match_evidence(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
     hit = (F.size("matched_terms") > 0) & F.col("evidence_page").isNotNull()
     status = F.when(~F.col("category").isin(*EVIDENCE_CATEGORIES), F.lit(None)).when(hit, "NEEDS_REVIEW").otherwise("UNKNOWN")
     return rows.withColumn("status", status).withColumn("suggested_status", F.when(F.col("status") == "NEEDS_REVIEW", "PASS")).drop("pages", "whole", "terms")
+
+
+#: Terms that make a candidate of a category strong, and patterns with their bonus.
+STRONG_TERMS = {
+    "QUALIFICATION": ("申请人的资格要求", "资格审查要求", "须提供", "满足《中华人民共和国政府采购法》"),
+    "FATAL": ("废标", "无效投标", "否决投标", "不得参与", "不得参加"),
+    "DEADLINE": ("投标截止时间", "递交截止时间", "开标时间", "提交投标文件截止时间"),
+    "SIGNATURE": ("签字盖章", "电子签章", "电子签名", "加盖投标人公章"),
+    "BOND": ("保证金金额", "不收取保证金", "不缴纳", "按时到账"),
+    "CREDENTIAL": ("证书扫描件", "资质证书", "有效期内", "原件扫描件", "每提供"),
+    "SCORING": ("分值", "得分", "每提供", "评分标准", "类似项目业绩"),
+}
+BONUSES = {
+    "DEADLINE": (r"20\d{2}\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日", 10),
+    "BOND": (r"\d+(?:\.\d+)?\s*万?元", 8),
+    "SCORING": (r"\d+(?:\.\d+)?\s*分", 8),
+    "CREDENTIAL": (r"证书|资质|认证", 6),
+}
+
+
+def candidate_score(category: Column, quote: Column, strong: dict[str, tuple[str, ...]] = STRONG_TERMS, bonuses: dict[str, tuple[str, int]] = BONUSES) -> Column:
+    """Four points a strong term, the category's bonus, and a penalty for lines of leaders."""
+    points = [F.when((category == c) & F.contains(quote, F.lit(w)), 4).otherwise(0) for c, words in strong.items() for w in words]
+    points += [F.when((category == c) & quote.rlike(pattern), n).otherwise(0) for c, (pattern, n) in bonuses.items()]
+    held = lambda c: F.length(quote) - F.length(F.replace(quote, F.lit(c), F.lit("")))
+    points.append(F.when((held(".") > 20) | (held("…") > 10), -100).otherwise(0))
+    return sum(points[1:], points[0])
+
+
+def overlaps(boxes: DataFrame, others: DataFrame, page: str, item: str) -> DataFrame:
+    """(page, item, touching, overlap): how many other intervals [lo, hi) of the same page each one meets, and
+    the summed length of what they share."""
+    b = others.select(F.col(page).alias("__page"), F.col(item).alias("__item"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
+    meet = (F.col(page) == F.col("__page")) & (F.col(item) != F.col("__item")) & (F.col("lo") < F.col("__hi")) & (F.col("__lo") < F.col("hi"))
+    shared = F.least("hi", "__hi") - F.greatest("lo", "__lo")
+    both = boxes.join(b, meet, "left").groupBy(page, item).agg(F.count("__item").alias("touching"), F.coalesce(F.sum(shared), F.lit(0.0)).alias("overlap"))
+    return both.withColumn("overlap", F.round("overlap", 6))
