@@ -129,6 +129,6 @@ def overlaps(boxes: DataFrame, others: DataFrame, page: str, item: str) -> DataF
     the summed length of what they share."""
     b = others.select(F.col(page).alias("__page"), F.col(item).alias("__item"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
     meet = (F.col(page) == F.col("__page")) & (F.col(item) != F.col("__item")) & (F.col("lo") < F.col("__hi")) & (F.col("__lo") < F.col("hi"))
-    shared = F.least("hi", "__hi") - F.greatest("lo", "__lo")
+    shared = F.when(F.col("__item").isNotNull(), F.least("hi", "__hi") - F.greatest("lo", "__lo"))  # both skip nulls
     both = boxes.join(b, meet, "left").groupBy(page, item).agg(F.count("__item").alias("touching"), F.coalesce(F.sum(shared), F.lit(0.0)).alias("overlap"))
     return both.withColumn("overlap", F.round("overlap", 6))

@@ -62,7 +62,7 @@ def review_progress(t):
     return done.withColumn("progress", F.round(F.try_divide(F.lit(100.0) * F.col("reviewed"), F.col("total")), 6))
 
 
-@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS lo, l_quantity + l_tax * 100 AS hi FROM lineitem) SELECT a.l_orderkey, a.l_linenumber, count(b.l_orderkey) AS touching, round(coalesce(sum(least(a.hi, b.hi) - greatest(a.lo, b.lo)), 0), 6)::DOUBLE AS overlap FROM x a LEFT JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber AND a.lo < b.hi AND b.lo < a.hi GROUP BY ALL")
+@query("WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity AS lo, l_quantity + l_tax * 100 AS hi FROM lineitem) SELECT a.l_orderkey, a.l_linenumber, count(b.l_orderkey) AS touching, round(coalesce(sum(CASE WHEN b.l_orderkey IS NOT NULL THEN least(a.hi, b.hi) - greatest(a.lo, b.lo) END), 0), 6)::DOUBLE AS overlap FROM x a LEFT JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber AND a.lo < b.hi AND b.lo < a.hi GROUP BY ALL")
 def interval_overlap(t):
     """Intervals that overlap on one page: an order is the page, its lines are the boxes."""
     x = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("lo"), (F.col("l_quantity") + F.col("l_tax") * 100).alias("hi"))

@@ -68,6 +68,14 @@ def test_rules_and_evidence(spark):
     assert got == {"a": ("NEEDS_REVIEW", 2, "PASS"), "b": ("UNKNOWN", None, None), "c": (None, None, None), "d": ("UNKNOWN", None, None)}
 
 
+def test_candidate_score_and_overlaps(spark):
+    rows = [("BOND", "保证金金额 5 万元"), ("BOND", "按时到账"), ("CREDENTIAL", "资质证书"), ("SCORING", "每提供一项得 2 分"), ("DEADLINE", "开标时间 2024 年 5 月 1 日"), ("FATAL", "废标" + "." * 21), ("NONE", "废标")]
+    got = spark.createDataFrame(rows, "category string, quote string").select(rules.candidate_score(F.col("category"), F.col("quote"))).collect()
+    assert [r[0] for r in got] == [12, 4, 10, 12, 14, -96, 0]
+    boxes = spark.createDataFrame([(1, 1, 0.0, 2.0), (1, 2, 1.0, 3.0), (1, 3, 3.0, 4.0), (2, 1, 0.0, 9.0)], "page int, item int, lo double, hi double")
+    assert {tuple(r) for r in rules.overlaps(boxes, boxes, "page", "item").collect()} == {(1, 1, 1, 1.0), (1, 2, 1, 1.0), (1, 3, 0, 0.0), (2, 1, 0, 0.0)}
+
+
 def test_accuracy_status(spark):
     rows = [("X", True, True, True)] * 18 + [("X", True, False, True)] * 2 + [("Y", True, True, False)] * 25
     a = {r.category: r for r in evaluate.accuracy(spark.createDataFrame(rows, "category string, predicted boolean, actual boolean, complete boolean")).collect()}
