@@ -12,6 +12,12 @@
    not its pairs.
 5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
+The pipeline's stage (drop_near_duplicates) asks for more than op2's contract: texts whose sets of 5-word
+shingles have a Jaccard similarity of LIKE at least. Its SimHash has 256 bits; pairs that agree on all BAND bits
+of one of BANDS samples of the bits, and differ in at most NEAR of the first 128 (the same bit-sliced
+comparison), are candidates, and a join confirms each candidate by the two sets themselves. Pairs inside a group
+that SURE links already hold together are not listed again, so a large group of close copies stays cheap.
+
 Defined results: null and wordless texts have fingerprint 0 and are linked like any other; fewer than three
 words make one shingle; rows with a null doc_id get the component of their group's smallest known doc_id, or
 null; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
@@ -34,6 +40,14 @@ RADIUS = 3
 SHINGLE = 3
 BUCKET = 1024
 CHUNK = 1 << 16
+STAGE_SHINGLE = 5
+LIKE = 0.8
+BANDS = 64
+BAND = 16
+NEAR = 30
+SURE = 8
+SEEDS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+SAMPLES = np.stack([np.random.default_rng(i).choice(256, BAND, replace=False) for i in range(BANDS)])
 ALL = (1 << 64) - 1
 
 
@@ -94,15 +108,14 @@ def _hook(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             lab = nxt
 
 
-def bit_sliced_links(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For lanes sorted by bucket, with each lane's rank in its bucket and that bucket's size: the smallest
-    lane that each is linked with through pairs at most `radius` bits apart."""
+def near_lanes(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For lanes sorted by bucket, with each lane's rank in its bucket and that bucket's size: the pairs of
+    lanes at most `radius` bits apart, lag by lag. A lane whose size is set to 0 meanwhile starts no more pairs."""
     n = len(fp)
-    lab = np.arange(n)
     words = (n + 63) // 64
-    bits = np.zeros((words * 64, 64), np.uint8)
-    bits[:n] = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = np.zeros((64, words + 1), np.uint64)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((words * 64 - n, bits.shape[1]), np.uint8)])
+    planes = np.zeros((bits.shape[1], words + 1), np.uint64)
     planes[:, :words] = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
     del bits
     width = radius.bit_length()
@@ -118,7 +131,7 @@ def bit_sliced_links(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, radius:
         low, high = np.minimum(at + q, words), np.minimum(at + q + 1, words)
         over = np.zeros(len(at), np.uint64)
         count = [np.full(len(at), ALL if bias >> j & 1 else 0, np.uint64) for j in range(width)]
-        for p in range(64):
+        for p in range(len(planes)):
             if r:
                 other = planes[p, low] >> np.uint64(r) | planes[p, high] << np.uint64(64 - r)
             else:
@@ -137,46 +150,56 @@ def bit_sliced_links(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, radius:
             near = np.unpackbits((valid & ~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             block, lane = np.nonzero(near)
             i = at[block] * 64 + lane
-            lab = _hook(lab, i, i + k)
+            yield i, i + k
+
+
+def bit_sliced_links(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """The smallest lane that each is linked with through pairs at most `radius` bits apart."""
+    lab = np.arange(len(fp))
+    for i, j in near_lanes(fp, rank, size, radius):
+        lab = _hook(lab, i, j)
     return lab
 
 
-def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (mask, key, fp), sorted, whole buckets in one partition -> edges of a spanning forest."""
+def _whole_buckets(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of numbers, sorted by their first `keys` columns, whole buckets in one partition -> (rows, rank in
+    the bucket, size of the bucket) of the buckets with two rows at least, many at a time."""
 
-    def flush(rows: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray]:
-        new = np.flatnonzero(np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1))))
+    def flush(rows: np.ndarray, last: bool) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        new = np.flatnonzero(np.concatenate(([True], (rows[1:, :keys] != rows[:-1, :keys]).any(1))))
         keep = rows[:0]
         if not last:  # the last bucket may go on
             keep, rows, new = rows[new[-1] :], rows[: new[-1]], new[:-1]
         size = np.diff(np.append(new, len(rows)))
         start, size = np.repeat(new, size), np.repeat(size, size)
         many = size > 1
-        fp = rows[many, 2]
-        if not len(fp):
-            return None, keep
-        lab = bit_sliced_links(fp.view(np.uint64), (np.arange(len(rows)) - start)[many], size[many])
-        linked = np.flatnonzero(lab != np.arange(len(lab)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[lab[linked]])], ["a", "b"]), keep
+        return (rows[many], (np.arange(len(rows)) - start)[many], size[many]), keep
 
-    rows = np.zeros((0, 3), np.int64)
-    held: list[np.ndarray] = []
-    waiting = 0
+    rows, held, waiting = None, [], 0
     for b in batches:
-        held.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1))
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
         waiting += b.num_rows
         if waiting >= CHUNK:
-            out, rows = flush(np.concatenate([rows, *held]), False)
+            out, rows = flush(np.concatenate([*([] if rows is None else [rows]), *held]), False)
             held, waiting = [], 0
-            if out is not None:
+            if len(out[0]):
                 yield out
-    rows = np.concatenate([rows, *held])
-    if len(rows):
-        out, _ = flush(rows, True)
-        if out is not None:
+    rows = [*([] if rows is None else [rows]), *held]
+    if sum(map(len, rows)):
+        out, _ = flush(np.concatenate(rows), True)
+        if len(out[0]):
             yield out
 
 
+def _link_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mask, key, fp), sorted, whole buckets in one partition -> edges of a spanning forest."""
+    for rows, rank, size in _whole_buckets(batches, 2):
+        fp = rows[:, 2]
+        lab = bit_sliced_links(fp.view(np.uint64), rank, size)
+        linked = np.flatnonzero(lab != np.arange(len(lab)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[lab[linked]])], ["a", "b"])
+
+
 def link(nodes: DataFrame) -> DataFrame:
     """Distinct fingerprints `fp` -> edges (a, b) whose components are those of all pairs within the radius."""
     spark = nodes.sparkSession
@@ -235,10 +258,110 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
+def shingles(text: bytes | None, shingle: int = STAGE_SHINGLE) -> tuple[int, np.ndarray]:
+    """A key of the text in normal form (lower case, single spaces), and the sorted hashes of its set of shingles."""
+    words = (text or b"").lower().split()
+    norm = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if not words:
+        return digest(norm), np.zeros(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    ends = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    return digest(norm), np.unique(np.array([digest(norm[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64))
+
+
+def wide_bits(h: np.ndarray) -> np.ndarray:
+    """The 256 bits of the SimHash of a set of shingle hashes."""
+    ones = np.zeros(256, np.int64)
+    for at in range(0, len(h), CHUNK):
+        x = h[at : at + CHUNK, None] * np.array(SEEDS, np.uint64)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(SEEDS[1])
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), 32), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (2 * ones > len(h)).astype(np.uint8)
+
+
+def bands(bits: np.ndarray) -> np.ndarray:
+    """(n, 256) bits -> (n, BANDS) bucket numbers; each band has its own."""
+    keys = np.packbits(bits[:, SAMPLES], axis=2).astype(np.int32)
+    return (keys[:, :, 0] << 8 | keys[:, :, 1]) + (np.arange(BANDS, dtype=np.int32) << BAND)
+
+
+def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of lanes at most NEAR bits apart, but those that links of at most SURE bits already join."""
+    lab, size = np.arange(len(fp)), size.copy()
+    first = np.arange(len(fp)) - rank
+    for step, (i, j) in enumerate(near_lanes(fp, rank, size, NEAR)):
+        apart = lab[i] != lab[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            continue
+        yield i, j
+        sure = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= SURE
+        lab = _hook(lab, i[sure], j[sure])
+        if step % 8 == 7:  # buckets of one group are done
+            split = np.zeros(len(fp), bool)
+            np.logical_or.at(split, first, lab != first)
+            size[~split[first]] = 0
+
+
+def _pair_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, w0, w1, node), sorted, whole buckets in one partition -> candidate pairs."""
+    for rows, rank, size in _whole_buckets(batches, 1):
+        node = rows[:, 3]
+        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        nodes, bits = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 256), np.uint8)
+        for i, t in enumerate(b.column(2)):
+            nodes[i], h = shingles(t.as_py())
+            bits[i] = wide_bits(h)
+        w = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands(bits).ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes.view(np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), keys], ["doc_id", "text_hash", "node", "w0", "w1", "buckets"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for node, t in zip(b.column(0), b.column(1), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingles(t.as_py())[1].view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def near_links(docs: DataFrame, wide: DataFrame, text_col: str) -> DataFrame:
+    """Edges (a, b) of nodes whose sets of shingles are alike by LIKE."""
+    nodes = wide.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("buckets").alias("buckets"))
+    nodes = materialise(nodes, "near-nodes")
+    dealt = nodes.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node").repartition("bucket").sortWithinPartitions("bucket", "w0", "w1")
+    pairs = materialise(dealt.mapInArrow(_pair_buckets, "a long, b long").distinct(), "near-pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).join(need, "text_hash").select("node", "text")
+    sets = materialise(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("n") >= LIKE * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component_id), one row per row, of the stage's own similarity."""
+    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    wide = materialise(cols.mapInArrow(_wide_rows, "doc_id long, text_hash long, node long, w0 long, w1 long, buckets array<int>"), "near-wide")
+    comp = connected_components(near_links(docs, wide, text_col))
+    rooted = wide.select("doc_id", "text_hash", "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialise(rooted.select("doc_id", "text_hash", "root"), "near-rooted")
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("doc_id", "text_hash", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component, the document with the smallest doc_id stays, with all its columns; rows without a
-    doc_id always stay."""
-    gone = classes(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash").distinct()
+    """Of each component of texts alike by LIKE, the document with the smallest doc_id stays, with all its
+    columns; rows without a doc_id always stay."""
+    gone = near_classes(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash").distinct()
     gone = materialise(gone, "simhash-gone").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
     return docs.join(gone, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
 

@@ -169,6 +169,37 @@ def test_bit_sliced_radii():
         assert np.array_equal(lab, want)
 
 
+def five_grams(text):
+    w = text.lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def near_copies(rng, words, changed, pairs):
+    """(text, copy with some words changed, their 5-word Jaccard)."""
+    out = []
+    for _ in range(pairs):
+        a = [f"w{x}" for x in rng.integers(0, 5000, words)]
+        b = list(a)
+        for i in rng.choice(words, changed, replace=False):
+            b[i] = f"v{rng.integers(0, 5000)}"
+        x, y = " ".join(a), " ".join(b)
+        g, h = five_grams(x), five_grams(y)
+        out.append((x, y, len(g & h) / len(g | h)))
+    return out
+
+
+def test_stage_finds_texts_alike_by_jaccard(spark):
+    """The pairs of the review: all alike by 0.8, and some just under it."""
+    rng = np.random.default_rng(2)
+    cases = [x for words, changed, n in ((100, 1, 40), (300, 3, 40), (1000, 10, 20), (1000, 20, 20), (200, 12, 20)) for x in near_copies(rng, words, changed, n)]
+    docs = spark.createDataFrame([(2 * i + k, c[k]) for i, c in enumerate(cases) for k in (0, 1)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    assert kept >= {2 * i for i in range(len(cases))}
+    assert all(2 * i + 1 in kept for i, c in enumerate(cases) if c[2] < 0.8)
+    alike = [2 * i + 1 not in kept for i, c in enumerate(cases) if c[2] >= 0.8]
+    assert len(alike) > 90 and sum(alike) / len(alike) > 0.95
+
+
 # --- 3: decontamination
 
 
@@ -490,6 +521,30 @@ def test_pipeline_by_stages(spark, sf):
     assert sorted(last) == encoded(rows(fourth.select("doc_id", "text")))
 
 
+def test_pipeline_by_jaccard(spark, sf):
+    """The near-duplicate stage against 5-word Jaccard by brute force, and the stages after it."""
+    docs = documents(spark, sf)
+    third = corpus_pipeline.STAGES[2][1](spark, docs, sf)
+    data = sorted((r.doc_id, five_grams(r.text)) for r in docs.collect())
+    root = {d: d for d, _ in data}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (d, g) in enumerate(data):
+        for e, h in data[i + 1 :]:
+            if len(g & h) >= 0.8 * len(g | h):
+                x, y = find(d), find(e)
+                root[max(x, y)] = min(x, y)
+    assert sorted(r.doc_id for r in third.collect()) == sorted({find(d) for d, _ in data})
+    fourth = corpus_pipeline.STAGES[3][1](spark, third, sf)
+    bench = rows(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text"))
+    clean = {r[0] for r in contamination(rows(third.select("doc_id", "text")), bench) if not r[-1]}
+    assert sorted(rows(fourth)) == sorted(r for r in rows(third) if r[0] in clean)
+
+
 @pytest.mark.parametrize("at", range(5))
 def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty, at):
     name, stage = corpus_pipeline.STAGES[at]
