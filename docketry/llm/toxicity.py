@@ -6,8 +6,9 @@ place, and a logistic layer scores. Training fits a bounded sample of labelled r
 TRAIN_PER_CLASS rows per class, texts of at most TRAIN_CHARS characters); scoring runs over whole texts in
 Arrow batches, in pieces of PIECE words, so a text of any length takes bounded memory.
 
-The score sees the text alone. Thresholds are calibrated by language on labelled rows kept out of the fit: the
-threshold with the best F1 where a language has CALIBRATE_POSITIVES toxic rows there, else all languages' one.
+The score sees the text alone. Thresholds are calibrated by language on all labelled rows that were not fitted,
+as many as there are, from counts by BIN of the score's log-odds: the threshold with the best F1 where a language
+has CALIBRATE_POSITIVES toxic rows there, else all languages' one.
 Labels are read only from rows whose crc32(doc_id as text) mod 4 is not 2.
 
 Defined results: null and wordless texts get the score of an empty text; an unknown or null language gets the
@@ -24,10 +25,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -40,6 +41,7 @@ BATCH = 32
 PIECE = 1 << 16
 CALIBRATE_POSITIVES = 30
 THRESHOLD = 0.3
+BIN = 0.01
 WORD = re.compile(r"\w+")
 
 
@@ -175,82 +177,117 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
     return model
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray) -> float:
-    """The score from which on rejecting has the best F1; halfway to the next lower score."""
-    order = np.argsort(-score, kind="stable")
-    s, y = score[order], label[order]
-    tp = np.cumsum(y)
-    f1 = 2 * tp / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # a threshold can't part equal scores
+def best_threshold(bins: list[tuple[float, float, int, int]]) -> float:
+    """Of (lowest score, highest score, rows, toxic rows) the lowest score of the bin down to which rejecting has
+    the best F1; halfway to the next lower score."""
+    low, high, n, toxic = map(np.array, zip(*sorted(bins, reverse=True), strict=True))
+    f1 = 2 * np.cumsum(toxic) / (np.cumsum(n) + toxic.sum())
     k = int(f1.argmax())
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) / 2
+    return float((low[k] + high[k + 1]) / 2) if k + 1 < len(low) else float(low[k]) / 2
 
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Collects at most 2 * TRAIN_PER_CLASS labelled rows; their ids, so bounded, are broadcast to find them."""
+def usable_labels(labels: DataFrame) -> DataFrame:
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, list[int]]:
+    """The model without thresholds, and the ids it was fitted on. Collects at most 2 * TRAIN_PER_CLASS labelled
+    rows; their ids, so bounded, are broadcast to find them."""
+    usable = usable_labels(labels)
     pick = [usable.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_CLASS) for y in (0, 1)]
     pick = F.broadcast(pick[0].unionByName(pick[1]).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic")))
-    if "lang" not in docs.columns:
-        docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"), F.col("lang").alias("__lang"))
-    found = found.filter(F.char_length("__text") <= TRAIN_CHARS).join(pick, F.col("__doc") == F.col("__id")).orderBy("__doc", F.xxhash64("__text"))
-    rows = found.select("__text", "__lang", "__toxic", (F.pmod(F.xxhash64("__doc"), F.lit(5)) == 0).alias("__later")).limit(2 * TRAIN_PER_CLASS).collect()
-    fit_on, later = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+    found = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
+    found = found.filter((F.char_length("__text") <= TRAIN_CHARS) & (F.pmod(F.xxhash64("__doc"), F.lit(5)) != 0))
+    found = found.join(pick, F.col("__doc") == F.col("__id")).orderBy("__doc", F.xxhash64("__text"))
+    rows = found.select("__text", "__doc", "__toxic").limit(2 * TRAIN_PER_CLASS).collect()
     # the two classes were sampled apart: weigh the score back to the labels' own rates
     counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
-    y = np.array([r[2] for r in fit_on], np.int64)
-    model = fit([r[0] for r in fit_on], y)
+    y = np.array([r[2] for r in rows], np.int64)
+    model = fit([r[0] for r in rows], y)
     if model.fitted and counts.get(0) and counts.get(1):
         model.out_bias += float(np.log(counts[1] / counts[0]) - np.log(y.mean() / (1 - y.mean())))
-    if later and model.fitted:
-        score, truth = model.scores([r[0] for r in later]), np.array([r[2] for r in later])
-        if truth.any():
-            model.thresholds[None] = best_threshold(score, truth)
-            for lang in {r[1] for r in later} - {None}:
-                own = np.array([r[1] == lang for r in later])
-                if truth[own].sum() >= CALIBRATE_POSITIVES:
-                    model.thresholds[lang] = best_threshold(score[own], truth[own])
+    return model, sorted({r[1] for r in rows})
+
+
+def calibrate(model: Model, scored: DataFrame, labels: DataFrame, fitted: list[int]) -> Model:
+    """Sets the thresholds by all rows (doc_id, lang, score) with usable labels that were not fitted."""
+    spark = scored.sparkSession
+    used = F.broadcast(spark.createDataFrame([(i,) for i in fitted], "doc_id long"))
+    rows = scored.join(usable_labels(labels), "doc_id").join(used, "doc_id", "left_anti")
+    odds = F.floor(F.log(F.col("score") / (1 - F.col("score"))) / BIN)
+    bins = rows.groupBy("lang", odds.alias("bin")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic"))
+    bins = materialise(bins, "toxicity-bins")  # at most 60 / BIN rows a language
+    both = bins.groupBy("bin").agg(F.min("low"), F.max("high"), F.sum("n"), F.sum("toxic").alias("toxic")).collect()
+    if sum(r.toxic for r in both):
+        model.thresholds[None] = best_threshold([tuple(r)[1:] for r in both])
+    enough = bins.filter("lang is not null").groupBy("lang").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= CALIBRATE_POSITIVES)
+    for (lang,) in enough.select("lang").collect():
+        own = bins.filter(F.col("lang") == lang).select("low", "high", "n", "toxic").collect()
+        model.thresholds[lang] = best_threshold([tuple(r) for r in own])
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, threshold): one row per row."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model with thresholds."""
+    model, fitted = fit_sample(docs, labels, id_col, text_col)
+    if not model.fitted:
+        return model
+    return calibrate(model, materialise(scored(docs, model, id_col, text_col), "toxicity-scores"), labels, fitted)
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, lang, score): one row per row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            limit = [m.thresholds.get(x, m.thresholds.get(None, THRESHOLD)) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m.scores(b.column(2).to_pylist())), pa.array(limit, pa.float64())], ["doc_id", "held_out", "score", "threshold"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(shared.value.scores(b.column(2).to_pylist()))], ["doc_id", "held_out", "lang", "score"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), lang.alias("lang")).mapInArrow(run, "doc_id long, held_out boolean, score double, threshold double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"), lang.alias("lang"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang string, score double")
+
+
+def threshold(model: Model, lang: Column) -> Column:
+    common = F.lit(model.thresholds.get(None, THRESHOLD))
+    own = [x for k, v in model.thresholds.items() if k is not None for x in (F.lit(k), F.lit(v))]
+    return F.coalesce(F.try_element_at(F.create_map(*own), lang), common) if own else common
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, threshold): one row per row."""
+    return scored(docs, model, id_col, text_col).withColumn("threshold", threshold(model, F.col("lang"))).drop("lang")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows under their language's threshold, with all their columns; nothing is shuffled."""
-    model = train(docs, labels, text_col=text_col)
+    """The rows under their language's threshold, with all their columns; no text is shuffled, and each is scored
+    once: the rows are written with their scores, and the thresholds are taken from there."""
+    model, fitted = fit_sample(docs, labels, text_col=text_col)
     if not model.fitted:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            langs = b.column("lang").to_pylist() if "lang" in b.schema.names else [None] * b.num_rows
-            limit = np.array([m.thresholds.get(x, m.thresholds.get(None, THRESHOLD)) for x in langs])
-            yield b.filter(pa.array(m.scores(b.column(text_col).to_pylist()) < limit))
+            yield b.append_column("__score", pa.array(shared.value.scores(b.column(text_col).to_pylist())))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    rows = materialise(docs.mapInArrow(run, f"{names}, __score double"), "toxicity-scored")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    calibrate(model, rows.select("doc_id", lang.alias("lang"), F.col("__score").alias("score")), labels, fitted)
+    return rows.filter(F.col("__score") < threshold(model, lang)).drop("__score")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    out = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, fitted = fit_sample(docs, labels)
+    rows = materialise(scored(docs, model), "toxicity-scores")
+    if model.fitted:
+        calibrate(model, rows, labels, fitted)
+    out = rows.withColumn("threshold", threshold(model, F.col("lang"))).drop("lang")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).withColumn("rejected", F.col("score") >= F.col("threshold"))

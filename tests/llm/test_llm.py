@@ -443,6 +443,23 @@ def test_pieces_score_as_whole_texts(monkeypatch):
     assert np.allclose(m.scores(texts), one, atol=1e-6)
 
 
+def test_thresholds_by_all_labelled_rows(spark, monkeypatch):
+    """A capped sample is half toxic; thresholds must follow the labels' own rate."""
+    monkeypatch.setattr(toxicity, "TRAIN_PER_CLASS", 60)
+    rng = np.random.default_rng(4)
+    toxic = rng.random(4000) < 0.06
+    plain = ["tree", "sea", "good", "fine", "road", "house"]
+    texts = [" ".join([*rng.choice(plain, 12), *["idiot"] * (rng.random() < (0.9 if y else 0.15)), *["moron"] * (rng.random() < (0.5 if y else 0.01))]) for y in toxic]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(y)) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    m = toxicity.train(docs, labels)
+    s = np.array([m.scores([t])[0] for t in texts])
+    f1 = lambda x: 2 * (toxic & (s >= x)).sum() / ((s >= x).sum() + toxic.sum())
+    assert f1(m.thresholds[None]) > max(f1(x) for x in np.unique(s)) - 0.03
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert len(kept ^ {i for i in range(4000) if s[i] < m.thresholds[None]}) < 4
+
+
 # --- 10: LM scores
 
 
