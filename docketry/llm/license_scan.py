@@ -1,16 +1,18 @@
 """Operator 6, license scan by conditional compression.
 
-Candidate blocks are runs of lines with license wording, at most GAP other lines apart. Each block is
-compressed as it is and once more with each template as zstandard raw dictionary; the more a template saves,
-the better it predicts the block. Templates are ranked by that saving, and the best are confirmed by the exact
-differences of wording: the words of the template that the block lacks, in order, must be few. A block that no
-template confirms is reported with a null license.
+For each template, the windows of SLACK more than twice its length that hold enough of its words (all windows
+that could be confirmed) are compressed as they are and once more with the template as zstandard raw dictionary.
+Where the template saves bytes, the window is confirmed by the exact differences of wording: the words of the
+template that it lacks, in order, must be few. Of confirmed places that overlap the one with the fewest lacking
+words stays, of these the one with the greatest saving; every place that stays is a row, however its lines are wrapped. Lines
+with license wording further from all of these than their template's length are reported with a null license,
+in blocks of lines at most the longest template's length apart.
 
 Each document is scanned alone, whole, in Arrow batches; texts without license wording are dropped by string
 tests before Python sees them. Nothing shuffles.
 
-Defined results: null and empty texts have no blocks, so no rows; several blocks give several rows, numbered
-from 0; of equal savings the first name in order wins; repeated rows give repeated results; extra columns are
+Defined results: null and empty texts have no blocks, so no rows; several places give several rows, numbered
+from 0 in order of line; of equal savings the first template in order wins; repeated rows give repeated results; extra columns are
 ignored; a block in any case and with any white space is compared in lower case, word by word.
 """
 
@@ -20,6 +22,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-GAP = 1
-TRIED = 3
+SLACK = 8
 MISSING = 0.15
 CUES = ("licen", "copyright", "spdx", "redistribut", "permission is hereby", "public domain", "warranties")
 WORD = re.compile(r"[^\W_]+(?:[.][^\W_]+)*")
@@ -69,26 +71,16 @@ class Scanner:
         dicts = [zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for w in self.words]
         self.primed = [zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False) for d in dicts]
 
-    def blocks(self, text: str) -> Iterator[tuple[int, int, str]]:
-        """(first line, last line, text) of each candidate block."""
-        first = last = None
-        lines = text.split("\n")
-        for i, line in enumerate(lines):
-            low = line.lower()
-            if any(c in low for c in CUES):
-                if last is not None and i - last > GAP + 1:
-                    yield first, last, "\n".join(lines[first : last + 1])
-                    first = None
-                first, last = i if first is None else first, i
-        if last is not None:
-            yield first, last, "\n".join(lines[first : last + 1])
-
     def rank(self, block: str) -> list[tuple[int, int]]:
         """(saving in bytes, template), best first."""
         data = " ".join(words(block)).encode()
         whole = len(self.plain.compress(data))
         return sorted(((whole - len(c.compress(data)), i) for i, c in enumerate(self.primed)), key=lambda x: (-x[0], self.names[x[1]], x[1]))
 
+    def saving(self, block: list[str], i: int) -> int:
+        data = " ".join(block).encode()
+        return len(self.plain.compress(data)) - len(self.primed[i].compress(data))
+
     def differences(self, block: list[str], template: list[str]) -> tuple[list[str], int, int]:
         """Template words that the block lacks; the block's span from first to last matching word."""
         ops = SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks()
@@ -100,32 +92,64 @@ class Scanner:
                 start, end = min(start, a), max(end, a + n)
         return [w for w, m in zip(template, met, strict=True) if not m], min(start, end), end
 
-    def scan(self, text: str | None) -> Iterator[tuple]:
-        """(block, first_line, last_line, license, saving, missing, extra, missing_words) for each block."""
-        for n, (first, last, block) in enumerate(self.blocks(text or "")):
-            own = words(block)
-            found = (None, 0, 0, 0, "")
-            ranked = [r for r in self.rank(block) if r[0] > 0]
-            tried: list[tuple[int, int]] = []
-            for saving, i in ranked:  # the best template of each of the TRIED best licenses' notices
-                if len(tried) < TRIED or saving == tried[-1][0]:
-                    tried.append((saving, i))
+    def places(self, own: list[str], i: int) -> Iterator[tuple[int, int, int, list[str]]]:
+        """(start, end, saving, lacking words) of each confirmed place of template i among the words."""
+        template = self.words[i]
+        n, known = len(template), set(template)
+        width, most = 2 * n + SLACK, MISSING * n
+        upto = np.cumsum([0, *(w in known for w in own)])
+        at = np.arange(len(own))
+        likely = np.flatnonzero(upto[np.minimum(at + width, len(own))] - upto[at] >= n - most)
+        k = 0
+        while k < len(likely):
+            p = int(likely[k])
             best = None
-            for saving, i in tried:
-                lacking, start, end = self.differences(own, self.words[i])
-                if len(lacking) <= MISSING * len(self.words[i]):
-                    key = (len(lacking) / len(self.words[i]), -saving, i)
-                    if best is None or key < best:
-                        best = key
-                        found = (self.names[i], saving, len(lacking), end - start - (len(self.words[i]) - len(lacking)), " ".join(lacking))
-            yield (n, first, last, *found)
+            if self.saving(own[p : p + width], i) > 0:
+                for _ in range(2):  # again from the first word met, so that the window holds the whole notice
+                    lacking, start, end = self.differences(own[p : p + width], template)
+                    if len(lacking) <= most and (best is None or len(lacking) <= len(best[2])):
+                        best = (p + start, p + end, lacking)
+                    p += start
+            if best:
+                yield best[0], best[1], self.saving(own[best[0] : best[1]], i), best[2]
+            k = int(np.searchsorted(likely, best[1] if best else int(likely[k]) + max(1, n // 4)))
+
+    def scan(self, text: str | None) -> Iterator[tuple]:
+        """(block, first_line, last_line, license, saving, missing, extra, missing_words) for each place."""
+        low = (text or "").lower()
+        lines = low.split("\n")
+        cues = [i for i, line in enumerate(lines) if any(c in line for c in CUES)]
+        if not cues:
+            return
+        met = list(WORD.finditer(low))
+        own = [m.group() for m in met]
+        breaks = np.cumsum([len(x) + 1 for x in lines])
+        line_of = np.searchsorted(breaks, [m.start() for m in met], side="right")
+        taken, rows = np.zeros(len(own), bool), []
+        near = np.zeros(len(lines), bool)  # lines that belong to a place
+        found = [(len(x[3]) / len(self.words[i]), -x[2], i, *x) for i in range(len(self.names)) for x in self.places(own, i)]
+        for _, _, i, start, end, saving, lacking in sorted(found, key=lambda x: x[:5]):
+            if not taken[start:end].any():
+                taken[start:end] = True
+                n = len(self.words[i])
+                near[line_of[max(0, start - n)] : line_of[min(len(own) - 1, end + n)] + 1] = True
+                rows.append((int(line_of[start]), int(line_of[end - 1]), start, self.names[i], saving, len(lacking), end - start - (n - len(lacking)), " ".join(lacking)))
+        longest = max(map(len, self.words))
+        first = last = None
+        for i in [*(i for i in cues if not near[i]), None]:
+            if last is not None and (i is None or np.searchsorted(line_of, i) - np.searchsorted(line_of, last + 1) > longest):
+                rows.append((first, last, int(np.searchsorted(line_of, first)), None, 0, 0, 0, ""))
+                first = None
+            first, last = i if first is None else first, i
+        for n, (first, last, _, *rest) in enumerate(sorted(rows, key=lambda r: (r[0], r[2]))):
+            yield (n, first, last, *rest)
 
 
 SCHEMA = "doc_id long, block int, first_line int, last_line int, license string, saving int, missing int, extra int, missing_words string"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block."""
+    """One row per confirmed place, and per block of other license wording."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner()

@@ -337,6 +337,18 @@ def test_license_ranking_by_saving():
     assert s.names[best] == "GPL-3.0" and saving > 20
 
 
+@pytest.mark.parametrize("width", [60, 70, 80])
+def test_license_notices_wrapped(width):
+    import textwrap
+
+    s = license_scan.Scanner()
+    for name, text in license_scan.TEMPLATES:
+        for prefix in ("", "# ", " * "):
+            body = "\n".join(prefix + line for line in textwrap.wrap(text, width))
+            found = list(s.scan(f"Some prose.\n\n{body}\n\nMore prose."))
+            assert [(f[3], f[5]) for f in found] == [(name, 0)], (name, found)
+
+
 # --- 7: URLs
 
 
