@@ -349,6 +349,19 @@ def test_license_notices_wrapped(width):
             assert [(f[3], f[5]) for f in found] == [(name, 0)], (name, found)
 
 
+def test_license_every_notice_of_a_long_line():
+    """Short notices in long prose of legal wording without line ends: each is found, beside the others."""
+    s = license_scan.Scanner()
+    rng = np.random.default_rng(5)
+    legal = "the license of this work and any copyright notice shall be included in all copies under these conditions without warranties or permission to use software for any purpose by law".split()
+    short = [(n, t) for n, t in license_scan.TEMPLATES if len(t.split()) < 20]
+    for words in (100, 1000, 5000):
+        for (a, x), (b, y) in zip(short, short[1:], strict=False):
+            prose = [" ".join(rng.choice(legal, words)) for _ in range(3)]
+            got = [f[3] for f in s.scan(f"{prose[0]}. {x} {prose[1]}. {y} {prose[2]}") if f[3]]
+            assert got == [a, b], (words, x, y, got)
+
+
 # --- 7: URLs
 
 
