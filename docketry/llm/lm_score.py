@@ -6,8 +6,8 @@ token costs about 2 * sqrt(vocabulary) outputs. The summed conditional log-proba
 
 The vocabulary is the most frequent words of all documents (counted by Spark over every text), and hash
 buckets for the other words, in order of frequency. Training is data-parallel: in each of ROUNDS rounds, a
-share of the documents, every one in exactly one round, trains a copy of the network per partition, one window
-of each STRIDE; Spark sums the copies, weighted by their windows, parameter row by parameter row. What crosses
+share of the documents, every one in exactly one round, trains a copy of the network per partition on all
+its windows; Spark sums the copies, weighted by their windows, parameter row by parameter row. What crosses
 the network grows with the number of partitions; what reaches the driver is one network (ROWS_OF_16 rows).
 
 Defined results: null and wordless texts have no tokens and log_prob 0, mean null; texts beyond PIECE words are
@@ -38,7 +38,6 @@ BUCKETS = 256
 VOCAB = CLASSES * MEMBERS  # BUCKETS of them for the words that are not among the most frequent
 EDGE = VOCAB  # before the first and after the last token
 ROUNDS = 2
-STRIDE = 4
 BATCH = 1024
 RATE = 0.15
 PIECE = 1 << 15
@@ -186,12 +185,12 @@ def train_step(net: np.ndarray, ids: np.ndarray, near: np.ndarray, rate: float)
 
 
 def train_on(net: np.ndarray, docs: Iterator[np.ndarray], rate: float) -> int:
-    """Train in place on one window of each STRIDE; the number of windows."""
+    """Train in place on every window; the number of windows."""
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = seen = 0
-    for k, ids in enumerate(docs):
+    for ids in docs:
         if len(ids):
-            waiting.append((ids[k % STRIDE :: STRIDE], neighbours(ids)[k % STRIDE :: STRIDE]))
+            waiting.append((ids, neighbours(ids)))
             size += len(waiting[-1][0])
         if size >= 4 * BATCH:
             seen += _steps(net, waiting, rate)

@@ -526,6 +526,11 @@ def test_lm_scores(spark, sf, odd, odd_rows, empty, monkeypatch):
     lm_score.train(empty, *lm_score.vocabulary(lm_score.count_words(empty)))
 
 
+def test_lm_trains_on_every_window():
+    docs = [np.arange(n) for n in (1, 2, 3, 50, 0, 9)]
+    assert lm_score.train_on(lm_score.fresh(), iter(docs), 0.1) == 65
+
+
 def test_lm_prefers_its_own_language(spark):
     rng = np.random.default_rng(0)
     text = lambda n: " ".join(f"{a} {b}" for a, b in [("red", "apple"), ("blue", "sky"), ("green", "leaf")] for _ in [0] if 1) + " " + " ".join(["red apple", "blue sky", "green leaf"][i] for i in rng.integers(0, 3, n))
