@@ -5,7 +5,9 @@ and squashed; a softmax over classes and one over the members of the token's cla
 token costs about 2 * sqrt(vocabulary) outputs. The summed conditional log-probabilities score a document.
 
 The vocabulary is the most frequent words of all documents (counted by Spark over every text), and hash
-buckets for the other words, in order of frequency. Training is data-parallel: in each of ROUNDS rounds, a
+buckets for the other words, in order of frequency. A word of a bucket has the bucket's probability by the network
+times the word's own share of the bucket, from the counts of all words (a join on the word; a count of one is kept
+in each bucket for all words that were never counted), so every counted word has its own probability. Training is data-parallel: in each of ROUNDS rounds, a
 share of the documents, every one in exactly one round, trains a copy of the network per partition on all
 its windows; Spark sums the copies, weighted by their windows, parameter row by parameter row. What crosses
 the network grows with the number of partitions; what reaches the driver is one network (ROWS_OF_16 rows).
@@ -92,7 +94,10 @@ class Ids(dict):
         self.buckets = buckets.tolist()
 
     def __missing__(self, word: str) -> int:
-        return self.buckets[xxhash.xxh32_intdigest(word) % BUCKETS]
+        return self.buckets[self.bucket(word)]
+
+    def bucket(self, word: str) -> int:
+        return xxhash.xxh32_intdigest(word) % BUCKETS
 
     def of(self, text: str | None) -> np.ndarray:
         words = tokens(text)
@@ -250,8 +255,9 @@ def score_text(net: np.ndarray, ids: np.ndarray) -> float:
     return total
 
 
-def score(docs: DataFrame, net: np.ndarray, words: dict[str, int], buckets: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob: one row per row."""
+def score(docs: DataFrame, net: np.ndarray, words: dict[str, int], buckets: np.ndarray, id_col: str = "doc_id", text_col: str = "text", others: bool = False) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob: one row per row, by the network alone; with `others` also the
+    counts of the row's words that are in buckets."""
     shared = docs.sparkSession.sparkContext.broadcast((net, words, buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,12 +286,46 @@ def score(docs: DataFrame, net: np.ndarray, words: dict[str, int], buckets: np.n
             if held:
                 flush()
             mean = pa.array([x / k if k else None for x, k in zip(total.tolist(), n.tolist(), strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            out = [batch.column(0), pa.array(n), pa.array(total), mean]
+            if others:
+                seen = [Counter(x for x in tokens(t) if x not in w) for t in batch.column(1).to_pylist()]
+                out.append(pa.array([[{"word": x, "bucket": table.bucket(x), "k": k} for x, k in c.items()] for c in seen], pa.list_(pa.struct([("word", pa.string()), ("bucket", pa.int32()), ("k", pa.int64())]))))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "others"][: len(out)])
+
+    schema = "doc_id long, n_tokens long, log_prob double, mean_log_prob double" + ", others array<struct<word:string,bucket:int,k:long>>" * others
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, schema)
+
+
+def shares(counts: DataFrame, words: dict[str, int], buckets: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(word, share) of each counted word that is in a bucket, and (bucket, unseen): log-probabilities in the bucket."""
+    shared = counts.sparkSession.sparkContext.broadcast((words, buckets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Ids(*shared.value)
+        for b in batches:
+            rows = [(x, table.bucket(x), n) for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x not in table]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["word", "bucket", "n"])
+
+    rare = materialise(counts.select("word", "n").mapInArrow(run, "word string, bucket int, n long"), "lm-rare")
+    whole = F.broadcast(rare.groupBy("bucket").agg(F.sum("n").alias("whole")))  # BUCKETS rows
+    own = rare.join(whole, "bucket").select("word", F.log(F.col("n") / (F.col("whole") + 1)).alias("share"))
+    return own, whole.select("bucket", (-F.log(F.col("whole") + 1)).alias("unseen"))
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+def score_words(docs: DataFrame, net: np.ndarray, words: dict[str, int], buckets: np.ndarray, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob: one row per row, each word by its own probability."""
+    rows = score(docs, net, words, buckets, id_col, text_col, others=True).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialise(rows, "lm-scores")  # so the row numbers stay
+    own, unseen = shares(counts, words, buckets)
+    each = rows.select("__row", F.inline("others")).join(own, "word", "left").join(F.broadcast(unseen), "bucket", "left")
+    inside = each.groupBy("__row").agg(F.sum(F.col("k") * F.coalesce("share", "unseen", F.lit(0.0))).alias("inside"))
+    total = F.col("log_prob") + F.coalesce("inside", F.lit(0.0))
+    out = rows.drop("others", "mean_log_prob").join(inside, "__row", "left").withColumn("log_prob", total)
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    words, buckets = vocabulary(materialise(count_words(docs), "lm-counts"))
-    return score(docs, train(docs, words, buckets), words, buckets)
+    counts = materialise(count_words(docs), "lm-counts")
+    words, buckets = vocabulary(counts)
+    return score_words(docs, train(docs, words, buckets), words, buckets, counts)

@@ -531,6 +531,31 @@ def test_lm_trains_on_every_window():
     assert lm_score.train_on(lm_score.fresh(), iter(docs), 0.1) == 65
 
 
+def test_lm_gives_each_word_its_own_share(spark, sf):
+    """The shares of a bucket's words and of the unseen sum to one; a row's score has them for all its words."""
+    docs = documents(spark, sf)
+    counts = lm_score.count_words(docs)
+    words, buckets = lm_score.vocabulary(counts)
+    table = lm_score.Ids(words, buckets)
+    n = {w: k for w, k in rows(counts) if w not in words}
+    whole = Counter()
+    for w, k in n.items():
+        whole[table.bucket(w)] += k
+    own, unseen = lm_score.shares(counts, words, buckets)
+    mass = Counter({b: np.exp(x) for b, x in rows(unseen)})
+    for w, x in rows(own):
+        mass[table.bucket(w)] += np.exp(x)
+    assert len(n) > 1000 and all(abs(x - 1) < 1e-9 for x in mass.values()) and set(mass) == set(whole)
+    net = lm_score.fresh()
+    some = spark.createDataFrame([(1, docs.first().text), (2, "zzqx"), (3, None), (1, docs.first().text)], "doc_id long, text string")
+    got = sorted(rows(lm_score.score_words(some, net, words, buckets, counts)), key=key)
+    plain = sorted(rows(lm_score.score(some, net, words, buckets)), key=key)
+    assert len(got) == 4 and got[0] == got[1]
+    for g, p, text in zip(got, plain, (docs.first().text, docs.first().text, "zzqx", None), strict=True):
+        inside = sum(np.log(n.get(w, 1) / (whole[table.bucket(w)] + 1)) for w in lm_score.tokens(text) if w not in words)
+        assert g[:2] == p[:2] and abs(g[2] - p[2] - inside) < 1e-6 * max(1, abs(inside)), (g, p, inside)
+
+
 def test_lm_prefers_its_own_language(spark):
     rng = np.random.default_rng(0)
     text = lambda n: " ".join(f"{a} {b}" for a, b in [("red", "apple"), ("blue", "sky"), ("green", "leaf")] for _ in [0] if 1) + " " + " ".join(["red apple", "blue sky", "green leaf"][i] for i in rng.integers(0, 3, n))
