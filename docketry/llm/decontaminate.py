@@ -1,9 +1,9 @@
 """Operator 3, benchmark decontamination by winnowing, DataFrame functions only.
 
 Of the 8-word grams, the smallest hash of each sliding window of three is a fingerprint: a window of three
-8-grams spans ten words, so every shared span of ten words has a shared fingerprint. Fingerprints of training
-texts and benchmark are joined, each hit is extended to its ten words and confirmed word by word, and
-overlapping spans unite into longer ones. Benchmark items of fewer than ten words are one window each and are
+8-grams spans ten words, so every shared span of ten words has a shared fingerprint. No position is thinned out: windows of
+training texts and benchmark are joined by the fingerprint and all their ten words, an exact 10-gram join in
+place of winnowing, and overlapping spans unite into longer ones. Benchmark items of fewer than ten words are one window each and are
 looked up whole, by length.
 
 The documents' words are exploded and filtered against the fingerprints inside one scan stage; only hits and
