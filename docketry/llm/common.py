@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +17,16 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made."""
+    All of an application's tables lie under its id there. Only where that setting is absent and the driver is the
+    whole cluster (tests on one machine) a temporary folder is made."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/docketry/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/docketry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -39,3 +45,36 @@ def ascii_lower(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores after it until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+HOT_ROWS = 1_000_000  # of a key with more rows than this, the rows stay where they are and the key's row travels
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of rows with a table of one row per key that says how many of the rows have the key. Of the keys
+    with more than HOT_ROWS rows there are at most all rows / HOT_ROWS: those are broadcast, so no task gets them all."""
+    hot = F.broadcast(table.filter(F.col(count) > HOT_ROWS).drop(count))
+    cold = table.filter(F.col(count) <= HOT_ROWS).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where the column's bytes pass `most`; a longer text is a slice of its own."""
+    size = np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(column).offset :][: batch.num_rows + 1]
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
