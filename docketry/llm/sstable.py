@@ -14,9 +14,9 @@ newline byte (it is the writer's line separator; offsets count it):
 A key is 0x01 and the big-endian doc_id with its sign bit flipped (0x00 alone for a null doc_id), so that byte
 order is doc_id order, nulls first. A value is the ids, little-endian, of 2 or 4 bytes as the vocabulary needs.
 
-Encoding cuts texts where no token of the byte-level pattern spans: before runs of ASCII white space. Each
-distinct piece is encoded by the tokenizers library once per memo; texts in which other white space or special
-token text stands are encoded by the library whole.
+Encoding cuts texts where no token of the byte-level pattern spans: before runs of ASCII white space, in Arrow. The
+distinct pieces of a slice of texts that the memo lacks are encoded by the tokenizers library; texts in which other
+white space or special token text stands are encoded by the library whole.
 
 Defined results: null counts as empty and has the end id alone; rows with one doc_id are kept each, ordered by
 a hash of their texts; a null doc_id sorts first; extra columns are ignored; an empty table writes no shard.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -41,20 +42,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, materialise, scratch
+from .common import documents, materialise, scratch, slices
 
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS = 10
 BLOOM_PROBES = 7
 FOOTER = struct.Struct("<QQQQQQBB6s")
 MAGIC = b"DKTSS1"
-MEMO = 600_000
-ROWS = 500
+MEMO = 300_000  # pieces of a generation; a worker keeps two
 
-#: White space and separators other than plain ASCII ones: such texts are encoded whole.
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
-PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-CROWDED = ("\0", "  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: White space and separators other than plain ASCII ones (and NUL, the cut mark): such texts are encoded whole.
+ODD = r"[\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+CROWDED = r"[ \n][ \n]|[\t\r\x0b\x0c]"  # else each white space is one blank or line end: the usual text
+SPACED = re.compile(r" [^ \t-\r]+")
 
 
 class Encoder:
@@ -74,12 +74,19 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with the byte of a space
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.memo: dict[str, bytes] = {}
+        self.odd = "|".join([ODD, *(re.escape(x) for x in self.special)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def learn(self, pieces: list[str]) -> None:
         """Pieces of one leading space are encoded joined; each of their tokens with a space starts a piece."""
-        joined = [p for p in pieces if p[0] == " " and len(p) > 1 and not re.search(r"[ \t-\r]", p[1:])]
-        rest = [p for p in pieces if not (p[0] == " " and len(p) > 1 and not re.search(r"[ \t-\r]", p[1:]))]
+        joined: list[str] = []
+        rest: list[str] = []
+        for p in pieces:
+            (joined if SPACED.fullmatch(p) else rest).append(p)
         for at in range(0, len(joined), 512):
             some = joined[at : at + 512]
             ids = np.array(self.lib.encode("".join(some), add_special_tokens=False).ids, self.dtype)
@@ -89,28 +96,39 @@ class Encoder:
                 continue
             cut = [*(first * self.width).tolist(), len(ids) * self.width]
             raw = ids.tobytes()
-            self.memo.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
+            self.young.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
         if rest:
             for p, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.memo[p] = np.array(e.ids, self.dtype).tobytes()
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            if ODD.search(t) or any(s in t for s in self.special):
-                cut.append(None)
-            elif any(c in t for c in CROWDED) or not t or t[0] in " \n" or t[-1] in " \n":
-                cut.append(PIECE.findall(t))
-            else:  # each white space is one character between others: the usual text
-                cut.append(t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))
-        lacking = set().union(*(c for c in cut if c)) - self.memo.keys()
-        if lacking:
-            self.learn(list(lacking))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) if c is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for c, t in zip(cut, texts, strict=True)]
+                self.young[p] = np.array(e.ids, self.dtype).tobytes()
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; what is used again moves to the younger of two generations."""
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        lacking = [p for p in pieces if p not in self.young]
+        again = [p for p in lacking if p in self.old]
+        self.young.update((p, self.old[p]) for p in again)
+        if len(again) < len(lacking):
+            self.learn([p for p in lacking if p not in self.old] if again else lacking)
+        return [self.young[p] for p in pieces]
+
+    def batch(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, as bytes."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        crowded = pc.match_substring_regex(texts, CROWDED)
+        cut = pc.if_else(odd, "", texts)
+        usual = pc.replace_substring(pc.replace_substring(pc.if_else(crowded, "", cut), " ", "\0 "), "\n", "\0\n")
+        cut = pc.if_else(crowded, pc.replace_substring_regex(pc.if_else(crowded, cut, ""), r"([ \t-\r]+)", "\0\\1"), usual)
+        cut = pc.split_pattern(cut, "\0")
+        pieces = cut.flatten().dictionary_encode()
+        ids = pa.array(self.known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(pieces.indices)
+        offsets = np.asarray(cut.offsets)
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids), b"")
+        if pc.any(odd).as_py():
+            own = pa.array([self.whole(t) for t in texts.filter(odd).to_pylist()], pa.binary())
+            out = pc.replace_with_mask(out, odd, own)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -269,9 +287,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         out, end, some = Writer(e.width), np.array([end_id], e.dtype).tobytes(), False
         section = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["value"])
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                for doc_id, ids in zip(b.column(0).to_pylist(), e.batch(b.column(1).to_pylist()), strict=True):
+            for b in slices(whole, 1):
+                for doc_id, ids in zip(b.column(0).to_pylist(), e.batch(b.column(1).cast(pa.string())).to_pylist(), strict=True):
                     some = True
                     if (block := out.add(key_of(doc_id), ids + end)) is not None:
                         yield section(block)
@@ -287,9 +304,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(shard, content, path) of each shard file."""
     files = spark.read.format("binaryFile").schema(FILES).option("pathGlobFilter", "part-*").load(path)
-    return files.filter(F.col("length") > 0).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content")
+    return files.filter(F.col("length") > 0).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "content", "path")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -317,11 +335,25 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return rows.join(F.broadcast(totals), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    return rows.join(totals, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard")
+
+
+def key_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(path, first_key, last_key, n_docs, n_tokens): one row per shard, from its index and footer. Keys sort as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, name in zip(b.column(1), b.column(2), strict=True):
+                s = Shard(content.as_py())
+                row = (name.as_py(), s.blocks[0][0], s.blocks[-1][1], s.n_docs, s.n_tokens)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["path", "first_key", "last_key", "n_docs", "n_tokens"])
+
+    return materialise(_files(spark, path).mapInArrow(run, "path string, first_key binary, last_key binary, n_docs long, n_tokens long"), "sst-ranges")
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """(doc_id, ids) of the documents asked for, found by each shard's Bloom filter and index."""
+def lookup(spark: SparkSession, path: str, doc_ids: list[int | None], ranges: DataFrame | None = None) -> DataFrame:
+    """(doc_id, ids) of the documents asked for, found by each shard's Bloom filter and index. With the table of
+    `key_ranges` (kept by the caller) only shards are opened whose range holds a key that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,7 +363,13 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFra
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return _files(spark, path).mapInArrow(run, "doc_id long, ids array<long>")
+    schema = "doc_id long, ids array<long>"
+    if ranges is None:
+        return _files(spark, path).mapInArrow(run, schema)
+    asked = F.broadcast(spark.createDataFrame([(key_of(k),) for k in doc_ids], "key binary"))  # as many as were asked for
+    within = F.col("key").between(F.col("first_key"), F.col("last_key"))
+    names = [r[0] for r in ranges.join(asked, within, "left_semi").select("path").collect()]
+    return _files(spark, names).mapInArrow(run, schema) if names else spark.createDataFrame([], schema)
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
