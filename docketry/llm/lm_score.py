@@ -6,14 +6,18 @@ token costs about 2 * sqrt(vocabulary) outputs. The summed conditional log-proba
 
 The vocabulary is the most frequent words of all documents (counted by Spark over every text), and hash
 buckets for the other words, in order of frequency. A word of a bucket has the bucket's probability by the network
-times the word's own share of the bucket, from the counts of all words (a join on the word; a count of one is kept
-in each bucket for all words that were never counted), so every counted word has its own probability. Training is data-parallel: in each of ROUNDS rounds, a
+times the word's own share of the bucket, from the counts of all words (a count of one is kept in each bucket for
+all words that were never counted), so every counted word has its own probability. The counts of the TABLE_WORDS
+most frequent words are broadcast; the rarer words of a document meet theirs in a join.
+
+Words are known by their XXH64. Texts are cut at ASCII white space by Arrow, and each distinct piece of a slice of
+texts is cut into words once. Training is data-parallel: in each of ROUNDS rounds, a
 share of the documents, every one in exactly one round, trains a copy of the network per partition on all
 its windows; Spark sums the copies, weighted by their windows, parameter row by parameter row. What crosses
 the network grows with the number of partitions; what reaches the driver is one network (ROWS_OF_16 rows).
 
-Defined results: null and wordless texts have no tokens and log_prob 0, mean null; texts beyond PIECE words are
-scored in pieces that overlap by SIDE, with equal results; repeated rows score alike; extra columns are
+Defined results: null and wordless texts have no tokens and log_prob 0, mean null; texts of any length are
+scored whole, in steps of STEP words; repeated rows score alike; extra columns are
 ignored; an empty table trains on nothing and gives an empty result. Without randomness beyond a seed, results
 vary only with how the input is split, as any sum over partitions of a trained network does.
 """
@@ -21,16 +25,17 @@ vary only with how the input is split, as any sum over partitions of a trained n
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, materialise
+from .common import documents, materialise, slices
 
 SIDE = 2
 DIM = 16
@@ -42,10 +47,12 @@ EDGE = VOCAB  # before the first and after the last token
 ROUNDS = 2
 BATCH = 1024
 RATE = 0.15
-PIECE = 1 << 15
 STEP = 1 << 12
-FLUSH = 200_000
+SLICE = 1 << 22
+FLUSH = 400_000
+TABLE_WORDS = 1_000_000  # 16 bytes each
 WORD = re.compile(r"\w+|[^\w\s]")
+WORD_OR_END = re.compile(r"\w+|[^\w\s]|\n")
 TABLE = VOCAB + 1
 OUT_AT = 2 * SIDE * TABLE
 MEMBER_AT = OUT_AT + CLASSES
@@ -56,52 +63,104 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents; counted in tasks first."""
+def word_hash(word: str) -> int:
+    """The XXH64 of a word, signed."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Cut:
+    """The words of a slice of texts: `words` are the distinct hashes, `at` the index in it of each word of the
+    texts, one text after the other; `ends` is where each text ends."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        offsets = np.asarray(cut.offsets).astype(np.int64)
+        pieces = cut.flatten().dictionary_encode()
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces.dictionary)], pa.int32()), pieces.dictionary), "\n")
+        coded = pa.array(WORD_OR_END.findall(lines[0].as_py().lower()), pa.string()).dictionary_encode()
+        code = np.asarray(coded.indices)
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        end = names.index("\n") if "\n" in names else -1
+        inside = code != end
+        sizes = np.diff(np.concatenate(([0], np.cumsum(inside)[~inside], [int(inside.sum())])))  # words of each piece
+        if not len(pieces.dictionary):
+            sizes = sizes[:0]
+        flat, starts = code[inside], np.cumsum(sizes) - sizes
+        where = np.asarray(pieces.indices)
+        each = sizes[where]
+        upto = np.cumsum(each)
+        take = np.repeat(starts[where] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)
+        self.words = np.array(list(map(xxhash.xxh64_intdigest, names)), np.uint64).view(np.int64)
+        self.at = flat[take]
+        self.ends = np.concatenate(([0], upto))[offsets[1:] - offsets[0]]
+        self.sizes = np.diff(np.concatenate(([0], self.ends)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                words = tokens(t)
-                for at in range(0, len(words), PIECE):
-                    seen.update(words[at : at + PIECE])
-                    if len(seen) > FLUSH:
-                        yield out()
-                        seen.clear()
-        yield out()
-
-    return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """Ids of the most frequent words, and the ids of the hash buckets: of VOCAB ids, ordered by frequency."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    each = max(0, total - sum(r.n for r in top)) / BUCKETS
-    names = [(r.n, r.word) for r in top] + [(each, i) for i in range(BUCKETS)]
-    names.sort(key=lambda x: (-x[0], str(x[1])))
-    ids = {name: i for i, (_, name) in enumerate(names)}
-    return {k: i for k, i in ids.items() if isinstance(k, str)}, np.array([ids[i] for i in range(BUCKETS)], np.int64)
 
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over all documents, each word by its hash; counted in tasks first."""
 
-class Ids(dict):
-    """Word -> id; other words go to a bucket by their hash, without being stored."""
-
-    def __init__(self, words: dict[str, int], buckets: np.ndarray) -> None:
-        super().__init__(words)
-        self.buckets = buckets.tolist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            w, at = np.unique(np.concatenate(words), return_inverse=True)
+            n = np.bincount(at, np.concatenate(counts), len(w)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["word", "n"])
+
+        for whole in batches:
+            for b in slices(whole, 0, SLICE):
+                cut = Cut(b.column(0))
+                n = np.bincount(cut.at, minlength=len(cut.words))
+                words.append(cut.words[n > 0])
+                counts.append(n[n > 0])
+                held += len(words[-1])
+                if held > FLUSH:
+                    some = out()
+                    words, counts, held = [some.column(0).to_numpy()], [some.column(1).to_numpy()], some.num_rows
+                    if held > FLUSH // 2:
+                        yield some
+                        words, counts, held = [], [], 0
+        if words:
+            yield out()
+
+    return docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Ids:
+    """Word hash -> id: the most frequent words have their own, the others their bucket's."""
+
+    def __init__(self, words: np.ndarray, buckets: np.ndarray) -> None:
+        self.order = np.argsort(words[:, 0]) if len(words) else np.zeros(0, np.int64)
+        self.hashes, self.own = words[self.order, 0], words[self.order, 1]
+        self.buckets = buckets
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return hashes & (BUCKETS - 1)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = self.buckets[self.bucket(hashes)]
+        known = self.known(hashes)
+        out[known] = self.own[np.searchsorted(self.hashes, hashes[known])]
+        return out
 
-    def __missing__(self, word: str) -> int:
-        return self.buckets[self.bucket(word)]
+    def of(self, text: str | None) -> np.ndarray:
+        return self(np.array([word_hash(w) for w in tokens(text)], np.int64))
 
-    def bucket(self, word: str) -> int:
-        return xxhash.xxh32_intdigest(word) % BUCKETS
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = tokens(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def vocabulary(counts: DataFrame) -> Ids:
+    """Ids of the most frequent words and of the hash buckets: VOCAB ids, ordered by frequency."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - BUCKETS).collect()
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    each = max(0, total - sum(r.n for r in top)) / BUCKETS
+    names = sorted([(-r.n, 0, r.word) for r in top] + [(-each, 1, i) for i in range(BUCKETS)])
+    words = np.array([(w, i) for i, (_, kind, w) in enumerate(names) if not kind], np.int64).reshape(-1, 2)
+    return Ids(words, np.array([i for i, (_, kind, _) in sorted(enumerate(names), key=lambda x: x[1][2]) if kind], np.int64))
 
 
 def fresh(seed: int = 5) -> np.ndarray:
@@ -109,17 +168,20 @@ def fresh(seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 0.1, (ROWS_OF_16, DIM)).astype(np.float32)
 
 
-def neighbours(ids: np.ndarray) -> np.ndarray:
-    """(n, 2 * SIDE) parameter rows of the neighbours of each token."""
-    padded = np.concatenate([np.full(SIDE, EDGE), ids, np.full(SIDE, EDGE)])
-    offsets = [o for o in range(2 * SIDE + 1) if o != SIDE]
-    return np.stack([padded[o : o + len(ids)] + k * TABLE for k, o in enumerate(offsets)], axis=1)
+def neighbours(ids: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """(2 * SIDE, n) parameter rows of the neighbours of each token; of texts of these sizes, one after the other."""
+    sizes = np.array([len(ids)]) if sizes is None else sizes
+    padded = np.full(len(ids) + SIDE * (len(sizes) + 1), EDGE, np.int64)
+    at = np.arange(len(ids)) + SIDE * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    padded[at] = ids
+    offsets = [o for o in range(-SIDE, SIDE + 1) if o]
+    return np.stack([padded[at + o] + k * TABLE for k, o in enumerate(offsets)])
 
 
 def hidden(net: np.ndarray, near: np.ndarray) -> np.ndarray:
-    h = net[near[:, 0]]
-    for k in range(1, near.shape[1]):
-        h += net[near[:, k]]
+    h = net.take(near[0], axis=0)
+    for k in range(1, len(near)):
+        h += net.take(near[k], axis=0)
     return np.tanh(h, out=h)
 
 
@@ -150,7 +212,7 @@ def log_probs(net: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
         cls, member = np.divmod(own, MEMBERS)
         place = np.arange(len(own))
         p = np.zeros(len(own), net.dtype)
-        for z, label in zip(logits(net, hidden(net, near[at : at + STEP][order]), spans), (cls, member), strict=True):
+        for z, label in zip(logits(net, hidden(net, near[:, at : at + STEP][:, order]), spans), (cls, member), strict=True):
             p += z[place, label]
             p -= np.log(np.exp(z, out=z).sum(1))
         out[at + order] = p
@@ -159,7 +221,6 @@ def log_probs(net: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
 
 def errors(z: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The gradient of the log-probability of the labels by the logits z, in place of them."""
-    z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
     z *= -1 / z.sum(1, keepdims=True)
     z[np.arange(len(z)), label] += 1
@@ -169,7 +230,7 @@ def errors(z: np.ndarray, label: np.ndarray) -> np.ndarray:
 def train_step(net: np.ndarray, ids: np.ndarray, near: np.ndarray, rate: float) -> None:
     """One step of gradient ascent on the mean conditional log-probability, in place."""
     order, spans = by_class(ids)
-    ids, near = ids[order], near[order]
+    ids, near = ids[order], near.take(order, axis=1)
     h = hidden(net, near)
     cls, member = np.divmod(ids, MEMBERS)
     outer, inner = logits(net, h, spans)
@@ -184,55 +245,46 @@ def train_step(net: np.ndarray, ids: np.ndarray, near: np.ndarray, rate: float)
     back *= 1 - h * h
     np.clip(back, -1, 1, out=back)
     back *= np.float32(rate)
-    flat, columns = net.reshape(-1), np.arange(DIM)
-    for k in range(near.shape[1]):
-        np.add.at(flat, (near[:, k, None] * DIM + columns).ravel(), back.ravel())
-
-
-def train_on(net: np.ndarray, docs: Iterator[np.ndarray], rate: float) -> int:
-    """Train in place on every window; the number of windows."""
-    waiting: list[tuple[np.ndarray, np.ndarray]] = []
-    size = seen = 0
-    for ids in docs:
-        if len(ids):
-            waiting.append((ids, neighbours(ids)))
-            size += len(waiting[-1][0])
-        if size >= 4 * BATCH:
-            seen += _steps(net, waiting, rate)
-            waiting, size = [], 0
-    return seen + (_steps(net, waiting, rate) if size else 0)
-
-
-def _steps(net: np.ndarray, waiting: list[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
-    ids, near = np.concatenate([a for a, _ in waiting]), np.concatenate([b for _, b in waiting])
-    order = np.random.default_rng(len(ids)).permutation(len(ids))
-    for at in range(0, len(ids), BATCH):
-        some = order[at : at + BATCH]
-        train_step(net, ids[some], near[some], rate / 8)
-    return len(ids)
-
-
-def train(docs: DataFrame, words: dict[str, int], buckets: np.ndarray, text_col: str = "text") -> np.ndarray:
+    flat = near.ravel().astype(np.int16)  # OUT_AT rows; small numbers are sorted by radix
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    net[flat[first]] += np.add.reduceat(back.take(order % len(back), axis=0), first, axis=0)
+
+
+def train_on(net: np.ndarray, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
+    """Train in place on every window of (ids, sizes of the texts); the number of windows."""
+    seen = 0
+    for ids, sizes in texts:
+        near = neighbours(ids, sizes)
+        order = np.random.default_rng(len(ids)).permutation(len(ids))
+        for at in range(0, len(ids), BATCH):
+            some = order[at : at + BATCH]
+            train_step(net, ids[some], near.take(some, axis=1), rate / 8)
+        seen += len(ids)
+    return seen
+
+
+def train(docs: DataFrame, vocab: Ids, text_col: str = "text") -> np.ndarray:
     """The network after ROUNDS rounds over all documents."""
     spark = docs.sparkSession
     net = fresh()
     schema = "part_row int, weight double, " + ", ".join(f"d{i} float" for i in range(DIM))
     for r in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((net, words, buckets))
+        shared = spark.sparkContext.broadcast((net, vocab))
         rate = RATE / (1 + r)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            start, w, b = shared.value
-            own, ids = start.copy(), Ids(w, b)
+            start, table = shared.value
+            own = start.copy()
 
-            def pieces() -> Iterator[np.ndarray]:
-                for batch in batches:
-                    for t in batch.column(0).to_pylist():
-                        x = ids.of(t)
-                        for at in range(0, len(x), PIECE):
-                            yield x[at : at + PIECE]
+            def texts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for whole in batches:
+                    for b in slices(whole, 0, SLICE):
+                        cut = Cut(b.column(0))
+                        yield table(cut.words)[cut.at], cut.sizes
 
-            n = train_on(own, pieces(), rate)
+            n = train_on(own, texts(), rate)
             if n:
                 moved = np.flatnonzero((own != start).any(1))
                 change = (own - start)[moved]
@@ -249,83 +301,85 @@ def train(docs: DataFrame, words: dict[str, int], buckets: np.ndarray, text_col:
 
 
 def score_text(net: np.ndarray, ids: np.ndarray) -> float:
-    near, total = neighbours(ids), 0.0
-    for at in range(0, len(ids), PIECE):
-        total += float(log_probs(net, ids[at : at + PIECE], near[at : at + PIECE]).sum(dtype=np.float64))
-    return total
-
-
-def score(docs: DataFrame, net: np.ndarray, words: dict[str, int], buckets: np.ndarray, id_col: str = "doc_id", text_col: str = "text", others: bool = False) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob: one row per row, by the network alone; with `others` also the
-    counts of the row's words that are in buckets."""
-    shared = docs.sparkSession.sparkContext.broadcast((net, words, buckets))
+    return float(log_probs(net, ids, neighbours(ids)).sum(dtype=np.float64))
+
+
+class Shares:
+    """The counts of the most frequent words that are in buckets, and each bucket's count of all its words."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, whole: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.whole = hashes[order], counts[order], whole
+
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each word's count where the table has it, else 0; and which it lacks."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes)), np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        met = self.hashes[at] == hashes
+        return np.where(met, np.log(self.counts[at]), 0.0), ~met
+
+
+def shares(counts: DataFrame, vocab: Ids) -> tuple[Shares, DataFrame]:
+    """The table that is broadcast, and (word, n) of the words that it lacks and that were counted twice or more:
+    the log of a count of one is 0."""
+    spark = counts.sparkSession
+    names = F.broadcast(spark.createDataFrame([(int(w),) for w in vocab.hashes], "word long"))  # at most VOCAB
+    rare = counts.join(names, "word", "left_anti")
+    whole = np.ones(BUCKETS, np.int64)
+    for b, n in rare.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n")).collect():
+        whole[b] += n
+    sizes = rare.filter("n > 1").groupBy("n").count()  # a row a distinct count
+    upto = sizes.withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("n"))))
+    least = upto.filter(F.col("upto") <= TABLE_WORDS).agg(F.min("n")).first()[0] or 1 << 62
+    top = rare.filter(F.col("n") >= least).toArrow()  # TABLE_WORDS rows at most
+    table = Shares(top.column("word").to_numpy(), top.column("n").to_numpy(), whole)
+    return table, rare.filter((F.col("n") > 1) & (F.col("n") < least))
+
+
+def score(docs: DataFrame, net: np.ndarray, vocab: Ids, table: Shares | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, log_prob: one row per row, by the network alone; with a table also the share in its bucket
+    of each word that is in one, but for the logs of the counts of `words`, which the table lacks: (hash, times)."""
+    shared = docs.sparkSession.sparkContext.broadcast((net, vocab, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, w, b = shared.value
-        table = Ids(w, b)
-        for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def flush() -> None:
-                p = log_probs(model, np.concatenate([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])).astype(np.float64)
-                starts = np.cumsum([0, *(len(x) for _, x, _ in held[:-1])])
-                np.add.at(total, [i for i, _, _ in held], np.add.reduceat(p, starts))
-
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = table.of(t)
-                n[i] = len(ids)
-                near = neighbours(ids)
-                for at in range(0, len(ids), PIECE):
-                    held.append((i, ids[at : at + PIECE], near[at : at + PIECE]))
-                    size += len(held[-1][1])
-                    if size >= PIECE:
-                        flush()
-                        held, size = [], 0
-            if held:
-                flush()
-            mean = pa.array([x / k if k else None for x, k in zip(total.tolist(), n.tolist(), strict=True)], pa.float64())
-            out = [batch.column(0), pa.array(n), pa.array(total), mean]
-            if others:
-                seen = [Counter(x for x in tokens(t) if x not in w) for t in batch.column(1).to_pylist()]
-                out.append(pa.array([[{"word": x, "bucket": table.bucket(x), "k": k} for x, k in c.items()] for c in seen], pa.list_(pa.struct([("word", pa.string()), ("bucket", pa.int32()), ("k", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "log_prob", "mean_log_prob", "others"][: len(out)])
-
-    schema = "doc_id long, n_tokens long, log_prob double, mean_log_prob double" + ", others array<struct<word:string,bucket:int,k:long>>" * others
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, schema)
-
-
-def shares(counts: DataFrame, words: dict[str, int], buckets: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(word, share) of each counted word that is in a bucket, and (bucket, unseen): log-probabilities in the bucket."""
-    shared = counts.sparkSession.sparkContext.broadcast((words, buckets))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Ids(*shared.value)
-        for b in batches:
-            rows = [(x, table.bucket(x), n) for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if x not in table]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["word", "bucket", "n"])
-
-    rare = materialise(counts.select("word", "n").mapInArrow(run, "word string, bucket int, n long"), "lm-rare")
-    whole = F.broadcast(rare.groupBy("bucket").agg(F.sum("n").alias("whole")))  # BUCKETS rows
-    own = rare.join(whole, "bucket").select("word", F.log(F.col("n") / (F.col("whole") + 1)).alias("share"))
-    return own, whole.select("bucket", (-F.log(F.col("whole") + 1)).alias("unseen"))
-
-
-def score_words(docs: DataFrame, net: np.ndarray, words: dict[str, int], buckets: np.ndarray, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        model, ids_of, own = shared.value
+        for whole in batches:
+            for b in slices(whole, 1, SLICE):
+                cut = Cut(b.column(1))
+                ids = ids_of(cut.words)[cut.at]
+                p = log_probs(model, ids, neighbours(ids, cut.sizes)).astype(np.float64)
+                text = np.repeat(np.arange(b.num_rows), cut.sizes)
+                lists: list[np.ndarray] = [np.zeros(b.num_rows, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+                if own is not None:
+                    log_n, lacks = own.of(cut.words)
+                    inside = ~ids_of.known(cut.words)
+                    p += np.where(inside, log_n - np.log(own.whole[ids_of.bucket(cut.words)]), 0.0)[cut.at]
+                    rare = (lacks & inside)[cut.at]
+                    pairs, times = np.unique(text[rare] * len(cut.words) + cut.at[rare], return_counts=True)
+                    lists = [np.bincount(pairs // len(cut.words), minlength=b.num_rows) if len(pairs) else lists[0], cut.words[pairs % max(1, len(cut.words))], times]
+                total = np.bincount(text, p, b.num_rows)
+                words = pa.StructArray.from_arrays([pa.array(lists[1]), pa.array(lists[2])], ["word", "times"])
+                words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lists[0]))), pa.int32()), words)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut.sizes), pa.array(total), words], ["doc_id", "n_tokens", "log_prob", "words"])
+
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, words array<struct<word:long,times:long>>")
+    return out if table is not None else out.drop("words")
+
+
+def score_words(docs: DataFrame, net: np.ndarray, vocab: Ids, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob: one row per row, each word by its own probability."""
-    rows = score(docs, net, words, buckets, id_col, text_col, others=True).withColumn("__row", F.monotonically_increasing_id())
+    table, rarer = shares(counts, vocab)
+    rows = score(docs, net, vocab, table, id_col, text_col).withColumn("__row", F.monotonically_increasing_id())
     rows = materialise(rows, "lm-scores")  # so the row numbers stay
-    own, unseen = shares(counts, words, buckets)
-    each = rows.select("__row", F.inline("others")).join(own, "word", "left").join(F.broadcast(unseen), "bucket", "left")
-    inside = each.groupBy("__row").agg(F.sum(F.col("k") * F.coalesce("share", "unseen", F.lit(0.0))).alias("inside"))
+    inside = rows.select("__row", F.inline("words")).join(rarer, "word").groupBy("__row").agg(F.sum(F.col("times") * F.log("n")).alias("inside"))
     total = F.col("log_prob") + F.coalesce("inside", F.lit(0.0))
-    out = rows.drop("others", "mean_log_prob").join(inside, "__row", "left").withColumn("log_prob", total)
+    out = rows.drop("words").join(inside, "__row", "left").withColumn("log_prob", total)
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     counts = materialise(count_words(docs), "lm-counts")
-    words, buckets = vocabulary(counts)
-    return score_words(docs, train(docs, words, buckets), words, buckets, counts)
+    vocab = vocabulary(counts)
+    return score_words(docs, train(docs, vocab), vocab, counts)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -61,10 +62,18 @@ def test_sstable_odd_rows(spark, odd, odd_rows, tmp_path):
 def test_sstable_lookup(spark, sf, tmp_path):
     path = f"file://{tmp_path}/t"
     docs = documents(spark, sf)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that there are several shards
     sstable.write(docs, path, BYTE)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     lib = Tokenizer.from_file(BYTE)
     want = {r.doc_id: [*lib.encode(r.text, add_special_tokens=False).ids, 0] for r in docs.collect() if r.doc_id in (0, 7, 77, 199)}
     assert dict(rows(sstable.lookup(spark, path, [0, 7, 77, 199, 10**9, -5, None]))) == want
+    ranges = sstable.key_ranges(spark, path)
+    assert dict(rows(sstable.lookup(spark, path, [0, 7, 77, 199, 10**9, -5, None], ranges))) == want
+    assert rows(sstable.lookup(spark, path, [10**9, -5, None], ranges)) == []
+    first = sorted(rows(ranges.select("first_key", "last_key")))
+    assert all(a[1] < b[0] for a, b in zip(first, first[1:], strict=False)) and ranges.count() > 1
+    assert len(sstable.lookup(spark, path, [7], ranges).inputFiles()) == 1
 
 
 def test_sstable_empty(spark, empty, tmp_path):
@@ -290,6 +299,31 @@ def test_bpe(spark, sf, odd, odd_rows, empty):
     full = bpe.encode(odd, WORD)
     assert sorted(rows(full.drop("ids", "decoded")), key=key) == encoded([r[:2] for r in odd_rows])
     assert all(len(r.ids) == r.n_tokens for r in full.collect()) and rows(bpe.encode(empty, WORD)) == []
+    assert Counter(rows(bpe.decode(full, WORD))) == Counter(rows(full.select("doc_id", "decoded")))
+
+
+def test_bpe_decodes_ids(spark):
+    lib = Tokenizer.from_file(WORD)
+    data = [(1, [320, 5, 49406, 49407, 0]), (2, []), (3, None), (4, [10**6, -1, None, 320]), (1, [320])]
+    got = rows(bpe.decode(spark.createDataFrame(data, "doc_id long, ids array<int>"), WORD))
+    want = [(d, lib.decode([i for i in ids or [] if i is not None and 0 <= i < lib.get_vocab_size()], skip_special_tokens=False)) for d, ids in data]
+    assert sorted(got) == sorted(want)
+
+
+def test_memo_generations_change_nothing(monkeypatch):
+    """A memo far too small for its texts gives the same ids."""
+    monkeypatch.setattr(bpe, "MEMO", 20)
+    monkeypatch.setattr(sstable, "MEMO", 20)
+    rng = np.random.default_rng(2)
+    text = [" ".join("".join(rng.choice(list("abcdeé.,1"), rng.integers(1, 5))) for _ in range(30)) for _ in range(50)]
+    with open(WORD, encoding="utf-8") as f:
+        c = bpe.Codec(f.read())
+    with open(BYTE, encoding="utf-8") as f:
+        e = sstable.Encoder(f.read())
+    for at in range(0, 50, 5):
+        some = text[at : at + 5]
+        assert c.batch(pa.array(some))[1].to_pylist() == [" ".join(map(str, c.lib.encode(t, add_special_tokens=False).ids)) for t in some]
+        assert e.batch(pa.array(some)).to_pylist() == [e.whole(t) for t in some]
 
 
 def test_pair_index_on_random_words():
@@ -299,9 +333,10 @@ def test_pair_index_on_random_words():
     words = ["".join(rng.choice(list("aeinorst'12.,!éß日"), rng.integers(1, 14))) for _ in range(3000)]
     text = [" ".join(words[i : i + 7]) for i in range(0, 3000, 7)] + ["a" * 50, "ss" * 31, "<|endoftext|><|endoftext|>x", "<|ENDOFTEXT|>", "é" * 9]
     lib = Tokenizer.from_file(WORD)
-    for t, (ids, decoded) in zip(text, c.batch(text), strict=True):
+    n, all_ids, texts = c.batch(pa.array(text))
+    for t, k, ids, decoded in zip(text, n, all_ids.to_pylist(), texts.to_pylist(), strict=True):
         want = lib.encode(t, add_special_tokens=False).ids
-        assert ids == " ".join(map(str, want)), t
+        assert ids == " ".join(map(str, want)) and k == len(want), t
         assert decoded == lib.decode(want, skip_special_tokens=False)
 
 
@@ -310,7 +345,7 @@ def test_byte_pieces_on_odd_space():
         e = sstable.Encoder(f.read())
     rng = np.random.default_rng(0)
     text = ["".join(rng.choice(["a", "B", "the", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "!", "'s", "12", "é", "\u00a0", "日", "\0", "<|endoftext|>", "\x1c"], rng.integers(0, 30), p=[0.1, 0.05, 0.15, 0.2, 0.1, 0.03, 0.06, 0.02, 0.02, 0.02, 0.08, 0.04, 0.05, 0.03, 0.01, 0.02, 0.005, 0.005, 0.01])) for _ in range(3000)]
-    got = [np.frombuffer(b, e.dtype).tolist() for b in e.batch(text)]
+    got = [np.frombuffer(b, e.dtype).tolist() for b in e.batch(pa.array(text)).to_pylist()]
     assert got == [e.lib.encode(t, add_special_tokens=False).ids for t in text]
 
 
@@ -506,64 +541,86 @@ def naive(net, ids):
 def test_lm_scores(spark, sf, odd, odd_rows, empty, monkeypatch):
     docs = documents(spark, sf)
     counts = lm_score.count_words(docs)
-    assert dict(rows(counts)) == Counter(w for r in docs.collect() for w in lm_score.tokens(r.text))
-    words, buckets = lm_score.vocabulary(counts)
-    assert len(words) + len(set(buckets)) <= lm_score.VOCAB and not set(words.values()) & set(buckets)
-    net = lm_score.train(docs, words, buckets)
-    table = lm_score.Ids(words, buckets)
-    got = {r.doc_id: r for r in lm_score.score(docs, net, words, buckets).collect()}
+    assert dict(rows(counts)) == Counter(lm_score.word_hash(w) for r in docs.collect() for w in lm_score.tokens(r.text))
+    vocab = lm_score.vocabulary(counts)
+    assert len(vocab.own) + len(set(vocab.buckets)) <= lm_score.VOCAB and not set(vocab.own) & set(vocab.buckets)
+    net = lm_score.train(docs, vocab)
+    got = {r.doc_id: r for r in lm_score.score(docs, net, vocab).collect()}
     for r in docs.limit(4).collect():
-        ids = table.of(r.text)
+        ids = vocab.of(r.text)
         assert got[r.doc_id].n_tokens == len(ids) and abs(got[r.doc_id].log_prob - naive(net.astype(float), ids)) < 1e-3 * len(ids) + 1e-3
-    fresh = sum(r.log_prob for r in lm_score.score(docs, lm_score.fresh(), words, buckets).collect())
-    assert sum(r.log_prob for r in got.values()) > 0.9 * fresh  # log-probabilities are negative: nearer to 0 is better
-    odd_scores = lm_score.score(odd, net, words, buckets).collect()
+    fresh = sum(r.log_prob for r in lm_score.score(docs, lm_score.fresh(), vocab).collect())
+    assert sum(r.log_prob for r in got.values()) > 0.8 * fresh  # log-probabilities are negative: nearer to 0 is better
+    odd_scores = lm_score.score_words(odd, net, vocab, counts).collect()
     assert len(odd_scores) == len(odd_rows) and all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in odd_scores)
-    monkeypatch.setattr(lm_score, "PIECE", 5)
-    ids = table.of("a b c d e f g h i j k l m")
+    monkeypatch.setattr(lm_score, "STEP", 5)
+    ids = vocab.of("a b c d e f g h i j k l m")
     assert abs(lm_score.score_text(net, ids) - naive(net.astype(float), ids)) < 1e-3
-    assert rows(lm_score.score(empty, net, words, buckets)) == []
-    lm_score.train(empty, *lm_score.vocabulary(lm_score.count_words(empty)))
+    assert rows(lm_score.score(empty, net, vocab)) == []
+    assert lm_score.score_words(empty, *(lambda c: (lm_score.fresh(), lm_score.vocabulary(c), c))(lm_score.count_words(empty))).count() == 0
+    lm_score.train(empty, lm_score.vocabulary(lm_score.count_words(empty)))
+
+
+def test_lm_cut_matches_whole_texts(odd_rows):
+    texts = [r[1] for r in odd_rows] + ["Ab\tc-d,e\n\n f\x85g\u3000h  ", "\n", None]
+    cut = lm_score.Cut(pa.array(texts, pa.string()))
+    got = np.split(cut.words[cut.at], cut.ends[:-1])
+    assert [x.tolist() for x in got] == [[lm_score.word_hash(w) for w in lm_score.tokens(t)] for t in texts]
+
+
+def test_lm_gradient_step():
+    """A small step moves the mean log-probability as the numeric gradient says, for windows that share words."""
+    rng = np.random.default_rng(1)
+    ids = np.repeat(rng.integers(0, lm_score.VOCAB, 3), 2)
+    net = lm_score.fresh().astype(np.float64) * 3
+    near = lm_score.neighbours(ids)
+    moved = net.copy()
+    lm_score.train_step(moved, ids, near, 1e-6)
+    d = moved - net
+    value = lambda x: lm_score.log_probs(x, ids, near).sum()
+    assert (value(net + 10 * d) - value(net - 10 * d)) / 20 == pytest.approx((d * d).sum() / 1e-6, rel=1e-3)
 
 
 def test_lm_trains_on_every_window():
     docs = [np.arange(n) for n in (1, 2, 3, 50, 0, 9)]
-    assert lm_score.train_on(lm_score.fresh(), iter(docs), 0.1) == 65
+    sizes = np.array([len(x) for x in docs])
+    assert lm_score.train_on(lm_score.fresh(), iter([(np.concatenate(docs), sizes)]), 0.1) == 65
+    together, apart = lm_score.neighbours(np.concatenate(docs), sizes), [lm_score.neighbours(x) for x in docs if len(x)]
+    assert np.array_equal(together, np.concatenate(apart, axis=1))
 
 
-def test_lm_gives_each_word_its_own_share(spark, sf):
-    """The shares of a bucket's words and of the unseen sum to one; a row's score has them for all its words."""
+@pytest.mark.parametrize("most", [1_000_000, 300, 0])
+def test_lm_gives_each_word_its_own_share(spark, sf, most, monkeypatch):
+    """A row's score has the shares of all its words in buckets, wherever their counts are kept."""
+    monkeypatch.setattr(lm_score, "TABLE_WORDS", most)
     docs = documents(spark, sf)
     counts = lm_score.count_words(docs)
-    words, buckets = lm_score.vocabulary(counts)
-    table = lm_score.Ids(words, buckets)
-    n = {w: k for w, k in rows(counts) if w not in words}
+    vocab = lm_score.vocabulary(counts)
+    table, rarer = lm_score.shares(counts, vocab)
+    n = {w: k for w, k in rows(counts) if w not in set(vocab.hashes.tolist())}
     whole = Counter()
     for w, k in n.items():
-        whole[table.bucket(w)] += k
-    own, unseen = lm_score.shares(counts, words, buckets)
-    mass = Counter({b: np.exp(x) for b, x in rows(unseen)})
-    for w, x in rows(own):
-        mass[table.bucket(w)] += np.exp(x)
-    assert len(n) > 1000 and all(abs(x - 1) < 1e-9 for x in mass.values()) and set(mass) == set(whole)
+        whole[w & (lm_score.BUCKETS - 1)] += k
+    assert len(n) > 1000 and table.whole.tolist() == [whole[b] + 1 for b in range(lm_score.BUCKETS)]
+    assert len(table.hashes) <= most and len(table.hashes) + rarer.count() == sum(k > 1 for k in n.values()) and (most < 1000 or not rarer.count())
     net = lm_score.fresh()
     some = spark.createDataFrame([(1, docs.first().text), (2, "zzqx"), (3, None), (1, docs.first().text)], "doc_id long, text string")
-    got = sorted(rows(lm_score.score_words(some, net, words, buckets, counts)), key=key)
-    plain = sorted(rows(lm_score.score(some, net, words, buckets)), key=key)
+    got = sorted(rows(lm_score.score_words(some, net, vocab, counts)), key=key)
+    plain = sorted(rows(lm_score.score(some, net, vocab)), key=key)
     assert len(got) == 4 and got[0] == got[1]
     for g, p, text in zip(got, plain, (docs.first().text, docs.first().text, "zzqx", None), strict=True):
-        inside = sum(np.log(n.get(w, 1) / (whole[table.bucket(w)] + 1)) for w in lm_score.tokens(text) if w not in words)
+        h = [lm_score.word_hash(w) for w in lm_score.tokens(text)]
+        inside = sum(np.log(n.get(w, 1) / (whole[w & (lm_score.BUCKETS - 1)] + 1)) for w in h if w in n or w not in vocab.hashes)
         assert g[:2] == p[:2] and abs(g[2] - p[2] - inside) < 1e-6 * max(1, abs(inside)), (g, p, inside)
 
 
 def test_lm_prefers_its_own_language(spark):
     rng = np.random.default_rng(0)
-    text = lambda n: " ".join(f"{a} {b}" for a, b in [("red", "apple"), ("blue", "sky"), ("green", "leaf")] for _ in [0] if 1) + " " + " ".join(["red apple", "blue sky", "green leaf"][i] for i in rng.integers(0, 3, n))
+    text = lambda n: " ".join(["red apple", "blue sky", "green leaf"][i] for i in rng.integers(0, 3, n))
     docs = spark.createDataFrame([(i, text(40)) for i in range(200)], "doc_id long, text string")
-    words, buckets = lm_score.vocabulary(lm_score.count_words(docs))
-    net = lm_score.train(docs, words, buckets)
-    ids = lm_score.Ids(words, buckets)
-    assert lm_score.score_text(net, ids.of("red apple blue sky green leaf")) > lm_score.score_text(net, ids.of("apple sky red leaf blue green"))
+    vocab = lm_score.vocabulary(lm_score.count_words(docs))
+    net = lm_score.train(docs, vocab)
+    assert lm_score.score_text(net, vocab.of("red apple blue sky green leaf")) > lm_score.score_text(net, vocab.of("apple sky red leaf blue green"))
 
 
 # --- the pipeline
