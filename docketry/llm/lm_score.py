@@ -358,7 +358,7 @@ def score(docs: DataFrame, net: np.ndarray, vocab: Ids, table: Shares | None = N
                     rare = (lacks & inside)[cut.at]
                     pairs, times = np.unique(text[rare] * len(cut.words) + cut.at[rare], return_counts=True)
                     lists = [np.bincount(pairs // len(cut.words), minlength=b.num_rows) if len(pairs) else lists[0], cut.words[pairs % max(1, len(cut.words))], times]
-                total = np.bincount(text, p, b.num_rows)
+                total = np.bincount(text, p, b.num_rows).astype(np.float64)
                 words = pa.StructArray.from_arrays([pa.array(lists[1]), pa.array(lists[2])], ["word", "times"])
                 words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lists[0]))), pa.int32()), words)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut.sizes), pa.array(total), words], ["doc_id", "n_tokens", "log_prob", "words"])
