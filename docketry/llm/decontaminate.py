@@ -1,14 +1,15 @@
 """Operator 3, benchmark decontamination by winnowing, DataFrame functions only.
 
-Of the 8-word grams, the smallest hash of each sliding window of three is a fingerprint: a window of three
-8-grams spans ten words, so every shared span of ten words has a shared fingerprint. No position is thinned out: windows of
-training texts and benchmark are joined by the fingerprint and all their ten words, an exact 10-gram join in
-place of winnowing, and overlapping spans unite into longer ones. Benchmark items of fewer than ten words are one window each and are
-looked up whole, by length.
+The hashes of all GRAM-word grams are laid out over a text; of each window of ten words (six grams) the smallest
+hash, the rightmost of equal ones, is kept, once for all the windows in which it is the smallest: some two of seven
+grams. Two texts that share ten words share that window's fingerprint, so joining the fingerprints of documents and
+benchmark loses no shared span of ten words. Each hit is extended to the windows around its gram, their words are
+compared, and overlapping windows unite into spans of any length. Benchmark items of fewer than ten words are one
+window each: their fingerprint is the hash of all their words, looked up at each position, in the same scan.
 
-The documents' words are exploded and filtered against the fingerprints inside one scan stage; only hits and
-one row per document shuffle. The fingerprints are broadcast where they are counted to be at most
-BROADCAST_ROWS; beyond, the same join shuffles.
+One scan of the documents gives the fingerprints. The benchmark's fingerprints and windows are broadcast where their
+bytes are counted to be at most BROADCAST_BYTES, and the hits are extended in the scan; beyond, the join shuffles
+(row key, position, hash) of the documents' fingerprints and the texts of the documents that were hit.
 
 Defined results: null text has no words (n_words 0, not contaminated); rows that repeat a doc_id are judged
 each by its own text; repeated rows give repeated results; a null item has no windows; equal items all count;
@@ -17,79 +18,99 @@ extra columns are ignored; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, materialise
+from .common import ascii_lower, documents, materialise, unused
 
 WINDOW = 10
-GRAM = 8
-BROADCAST_ROWS = 500_000
+GRAM = 5
+GRAMS = WINDOW - GRAM + 1
+BROADCAST_BYTES = 64 << 20
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ROW = ["doc_id", "row_key", "n_words"]
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATOR), "")
 
 
-def winnowed(w: Column, i: Column, length: int) -> Column:
-    """The fingerprint of the window of `length` words from position i (from 0)."""
-    if length < WINDOW:
-        return F.xxhash64(F.slice(w, i + 1, length))
-    return F.least(*(F.xxhash64(F.slice(w, i + j, GRAM)) for j in range(1, WINDOW - GRAM + 2)))
+def least_gram(w: Column, i: Column) -> tuple[Column, Column]:
+    """The smallest hash of the grams of the ten words from position i (from 0), and the rightmost place that has it."""
+    h = [F.xxhash64(F.slice(w, F.greatest(i + j, F.lit(0)) + 1, GRAM)) for j in range(GRAMS)]
+    least = F.least(*h)
+    place = F.lit(0)
+    for j in range(1, GRAMS):
+        place = F.when(h[j] == least, j).otherwise(place)
+    return least, i + place
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
-    """(key, length, wtext, set_id), one row per distinct window; (set_id, items); the lengths that occur.
+    """(length, key, wtext, set_id), one row per distinct window; (set_id, items); the lengths that occur.
 
     Windows found in the same items share one set of items, so a passage of many items is listed once."""
     w = materialise(bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0), "bench-words")
     lengths = sorted(r[0] for r in w.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).distinct().collect())  # ten at most
-    parts = []
-    for n in lengths:
-        some = w.filter(F.size("w") >= n) if n == WINDOW else w.filter(F.size("w") == n)
-        at = some.select("item", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
-        parts.append(at.select("item", F.lit(n).alias("length"), winnowed(F.col("w"), F.col("i"), n).alias("key"), F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("wtext")))
-    if not parts:
-        parts = [w.select("item", F.lit(WINDOW).alias("length"), F.lit(0).cast("long").alias("key"), F.lit("").alias("wtext")).limit(0)]
-    each = reduce(DataFrame.unionByName, parts).groupBy("key", "length", "wtext").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    length = F.least(F.size("w"), F.lit(WINDOW))
+    at = w.select("item", "w", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("i"))
+    key = F.when(F.col("length") == WINDOW, least_gram(F.col("w"), F.col("i"))[0]).otherwise(F.xxhash64("w"))
+    each = at.select("item", "length", key.alias("key"), F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("wtext"))
+    each = each.groupBy("length", "key", "wtext").agg(F.array_sort(F.collect_set("item")).alias("items"))
     each = materialise(each.withColumn("set_id", F.sha2(F.to_json("items"), 256)), "bench-windows")
     sets = materialise(each.groupBy("set_id").agg(F.first("items").alias("items")), "bench-sets")
     return each.drop("items"), sets, lengths
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast only after a count; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, size: Column) -> tuple[DataFrame, bool]:
+    """Broadcast only where the rows' bytes, summed up, allow it; else the join shuffles."""
+    small = (df.agg(F.sum(size + 40)).first()[0] or 0) <= BROADCAST_BYTES
+    return (F.broadcast(df) if small else df), small
 
 
-def hits(docs: DataFrame, table: DataFrame, lengths: list[int], keep: bool, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, n_words, i, length, set_id): a row for each window occurrence; if keep, also one
-    row with i = -1 for each document."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("w"))
-    out = []
-    for n in lengths or [WINDOW]:
-        mark = keep and not out  # the first pass bears the rows with i = -1
-        first = F.lit(-1 if mark else 0)
-        last = F.size("w") - n
-        at = base if mark else base.filter(F.size("w") >= n)
-        at = at.select("doc_id", "text_hash", "w", F.explode(F.sequence(first, F.greatest(first, last))).alias("i"))
-        at = at.withColumn("key", F.when(F.col("i") >= 0, winnowed(F.col("w"), F.col("i"), n)))
-        at = at.select("doc_id", "text_hash", F.size("w").alias("n_words"), "i", "key", F.array_join(F.slice("w", F.greatest("i", F.lit(0)) + 1, n), " ").alias("span"))
-        known = _sized(table.filter(F.col("length") == n).drop("length"))
-        found = at.join(known, (at.key == known.key) & (at.span == known.wtext), "left").filter((F.col("i") < 0) | F.col("set_id").isNotNull())
-        out.append(found.select("doc_id", "text_hash", "n_words", "i", F.lit(n).alias("length"), "set_id"))
-    return reduce(DataFrame.unionByName, out)
+def fingerprints(base: DataFrame, lengths: list[int]) -> DataFrame:
+    """(ROW, w, length, p, key): the winnowed grams of each row, p the gram's position; and one row of length -1."""
+    last = F.size("w") - min(lengths, default=WINDOW)
+    at = base.select(*ROW, "w", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("i"))
+    w, i, found = F.col("w"), F.col("i"), []
+    for n in lengths:
+        inside = (i >= 0) & (i + n <= F.col("n_words"))
+        if n == WINDOW:
+            key, p = least_gram(w, i)
+            fresh = inside & ((i == 0) | (p != least_gram(w, i - 1)[1]))
+        else:
+            key, p, fresh = F.xxhash64(F.slice(w, F.greatest(i, F.lit(0)) + 1, n)), i, inside
+        found.append(F.when(fresh, F.struct(F.lit(n).alias("length"), p.alias("p"), key.alias("key"))))
+    mark = F.when(i < 0, F.struct(F.lit(-1).alias("length"), F.lit(-1).alias("p"), F.lit(0).cast("long").alias("key")))
+    rows = at.select(*ROW, "w", F.explode(F.array(mark, *found)).alias("f")).filter("f is not null")
+    return rows.select(*ROW, "w", "f.length", "f.p", "f.key")
+
+
+def hits(docs: DataFrame, table: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:
+    """(ROW, i, length, set_id): a row for each window occurrence, and one row with i = -1 for each document."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_key"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
+    known, small = _sized(table.select("length", "key").distinct().withColumn("known", F.lit(True)), F.lit(0))
+    fps = fingerprints(base, lengths)
+    met = (F.col("length") < 0) | F.col("known")
+    if small:
+        found = fps.join(known, ["length", "key"], "left").filter(met)
+    else:
+        found = materialise(fps.drop("w").join(known, ["length", "key"], "left").filter(met), "bench-hits")
+        texts = base.join(found.filter("known").select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+        found = found.join(texts.select("row_key", "w"), "row_key", "left")
+    whole = F.col("length") == WINDOW
+    low, high = F.when(whole, F.greatest(F.col("p") - GRAMS + 1, F.lit(0))).otherwise(F.col("p")), F.when(whole, F.least("p", F.col("n_words") - WINDOW)).otherwise(F.col("p"))
+    around = found.select(*ROW, "w", "length", F.explode(F.sequence(low, high)).alias("i"))
+    around = around.withColumn("wtext", F.when(F.col("i") >= 0, F.array_join(F.slice("w", F.col("i") + 1, F.greatest("length", F.lit(0))), " ")))
+    checked, _ = _sized(table.select("length", "wtext", "set_id"), F.octet_length("wtext") + 64)
+    return around.join(checked, ["length", "wtext"], "left").filter("i < 0 or set_id is not null").select(*ROW, "i", "length", "set_id")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted as strings), spans (merged [start, end) word ranges)."""
     table, sets, lengths = windows(bench)
-    rows = hits(docs, table, lengths, True, id_col, text_col)
+    rows = hits(docs, table, lengths, id_col, text_col)
     hit = F.col("i") >= 0
-    by_doc = rows.groupBy("doc_id", "text_hash", "n_words").agg(
+    by_doc = rows.groupBy(*ROW).agg(
         F.count(F.when(~hit, 1)).alias("times"),
         F.array_sort(F.collect_set(F.when(hit, F.struct("i", (F.col("i") + F.col("length")).alias("e"))))).alias("ranges"),
         F.collect_set("set_id").alias("set_ids"),
@@ -99,9 +120,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
            concat(slice(acc, 1, size(acc) - 1), array(named_struct('i', element_at(acc, -1).i, 'e', greatest(element_at(acc, -1).e, r.e)))),
            concat(acc, array(named_struct('i', r.i, 'e', r.e)))))""")
     by_doc = by_doc.withColumn("spans", merged).drop("ranges")
-    key = ["doc_id", "text_hash", "n_words"]
-    listed = by_doc.select(*key, "times", "spans", F.explode_outer("set_ids").alias("set_id")).join(_sized(sets), "set_id", "left")
-    listed = listed.groupBy(*key).agg(F.first("times").alias("times"), F.first("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("items", F.expr("cast(array() as array<string>)")))))).alias("items"))
+    listed = by_doc.select(*ROW, "times", "spans", F.explode_outer("set_ids").alias("set_id"))
+    listed = listed.join(_sized(sets, F.octet_length(F.to_json("items")))[0], "set_id", "left")
+    listed = listed.groupBy(*ROW).agg(F.first("times").alias("times"), F.first("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("items", F.expr("cast(array() as array<string>)")))))).alias("items"))
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.e - s.i)")
     out = listed.select("doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("__t"))
     return out.drop("__t")
@@ -111,9 +132,10 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
     """The documents without any benchmark window, with all their columns and no shuffle of clean texts
     beyond what the anti join of the few hit ids needs."""
     table, _, lengths = windows(bench)
-    gone = hits(docs, table, lengths, False, id_col, text_col).select("doc_id", "text_hash").distinct()
-    gone = materialise(gone, "contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+    gone = hits(docs, table, lengths, id_col, text_col).filter("i >= 0").select("row_key").distinct()
+    (name,) = unused(docs, "gone")
+    gone = materialise(gone.withColumnRenamed("row_key", name), "contaminated")
+    return docs.join(gone, F.xxhash64(docs[id_col], docs[text_col]) == F.col(name), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

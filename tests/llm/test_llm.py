@@ -240,11 +240,11 @@ def test_decontaminate_query(spark, sf):
     assert sorted(rows(decontaminate.op3_decontaminate(spark, sf))) == sorted(want)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [1 << 26, -1])
 def test_decontaminate_odd_rows(spark, odd, odd_rows, empty, limit, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     items = [(1, "jumps over the lazy dog while seven small cats watch from a warm"), (2, "one two"), (3, "ONE"), (4, None), (5, "..."), (6, "over the lazy dog while seven small cats watch from a x"), (6, "one"), (7, "other text of id three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.contamination(odd, bench).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), F.col("n_hit") > 0)
@@ -257,6 +257,36 @@ def test_decontaminate_odd_rows(spark, odd, odd_rows, empty, limit, monkeypatch)
     assert rows(decontaminate.contamination(empty, bench)) == []
 
 
+def test_fingerprints_are_winnowed(spark, sf):
+    """Far fewer fingerprints than windows, on either side, and one in every window of ten words."""
+    from pyspark.sql import functions as F
+
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    table, _, lengths = decontaminate.windows(bench)
+    long = table.filter(f"length = {decontaminate.WINDOW}")
+    assert long.select("key").distinct().count() < 0.5 * long.count()
+    base = documents(spark, sf).select("doc_id", F.lit(0).alias("row_key"), decontaminate.words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    at = defaultdict(set)
+    for r in decontaminate.fingerprints(base, [10]).select("doc_id", "p").collect():
+        at[r.doc_id].add(r.p)
+    n = dict(rows(base.select("doc_id", "n_words")))
+    assert sum(map(len, at.values())) - len(n) < 0.35 * sum(n.values())
+    for d, k in n.items():
+        assert all(any(p in at[d] for p in range(i, i + decontaminate.GRAMS)) for i in range(k - 9))
+
+
+def test_decontaminate_repeats_and_names(spark):
+    """Texts of one repeated word, spans longer than a window, and columns that clash with the operator's own."""
+    items = [(1, "a " * 14), (2, " ".join(f"w{i}" for i in range(40))), (3, "x y")]
+    texts = [(1, "a " * 50), (2, "z " + " ".join(f"w{i}" for i in range(7, 33)) + " z"), (3, "q x y x y"), (4, "a " * 9), (5, None)]
+    docs = spark.createDataFrame([(d, t, True, "g") for d, t in texts], "doc_id long, text string, gone boolean, row_key string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(docs, bench)
+    assert sorted(rows(got.select("doc_id", "n_words", "n_hit", "n_items"))) == sorted(w[:4] for w in contamination(texts, items))
+    assert [tuple(x) for x in got.filter("doc_id = 2").first().spans] == [(1, 27)]
+    assert sorted(rows(decontaminate.drop_contaminated(docs, bench))) == [(4, "a " * 9, True, "g"), (5, None, True, "g")]
+
+
 # --- 4: exact dedup
 
 
