@@ -15,12 +15,16 @@
 The pipeline's stage (drop_near_duplicates) asks for more than op2's contract: texts whose sets of 5-word
 shingles have a Jaccard similarity of LIKE at least. Its SimHash has 256 bits; pairs that agree on all BAND bits
 of one of BANDS samples of the bits, and differ in at most NEAR of the first 128 (the same bit-sliced
-comparison), are candidates, and a join confirms each candidate by the two sets themselves. Pairs inside a group
-that SURE links already hold together are not listed again, so a large group of close copies stays cheap.
+comparison), are candidates, and a join confirms each candidate by the two sets themselves. First each bucket lists
+a forest of its candidates, the closest first (RADII), not its pairs, so a large group of copies costs joined rows in
+proportion to its size. Then, of the texts in these, all candidates between groups that are still apart are listed,
+but for those that a SimHash of FINE bits shows to be less alike than LIKE (more than FINE_NEAR bits apart; three
+standard deviations above the mean of texts just alike).
 
 Defined results: null and wordless texts have fingerprint 0 and are linked like any other; fewer than three
 words make one shingle; rows with a null doc_id get the component of their group's smallest known doc_id, or
-null; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result.
+null; repeated rows give repeated results; extra columns are ignored; an empty table gives an empty result. In
+the stage, rows that repeat the doc_id and text that stay are that one document and stay with it.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, join_counted, materialise, unused
 
 RADIUS = 3
 SHINGLE = 3
@@ -45,8 +49,10 @@ LIKE = 0.8
 BANDS = 64
 BAND = 16
 NEAR = 30
-SURE = 8
-SEEDS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+RADII = (10, 16, 22, NEAR)
+FINE = 1024
+FINE_NEAR = 190
+WIDE = np.random.default_rng(64).integers(0, 1 << 63, FINE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
 SAMPLES = np.stack([np.random.default_rng(i).choice(256, BAND, replace=False) for i in range(BANDS)])
 ALL = (1 << 64) - 1
 
@@ -249,13 +255,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp, component_id), one row per row."""
     fps = materialise(fingerprints(docs, id_col, text_col), "simhash-fp")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-nodes")
     comp = connected_components(link(nodes.select("fp")))
-    rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "simhash-rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"))
+    by_fp = with_component(materialise(rooted, "simhash-rooted"), "first_id").select("fp", "n", "component_id")
+    return join_counted(fps, by_fp, "fp", "n").select("doc_id", "text_hash", "fp", "component_id")
+
+
+def with_component(rooted: DataFrame, id_col: str) -> DataFrame:
+    """Add component_id, the smallest id of all rows with the same root."""
+    least = rooted.groupBy("root").agg(F.min(id_col).alias("component_id"), F.count("*").alias("of_root"))
+    return join_counted(rooted, least, "root", "of_root")
 
 
 def shingles(text: bytes | None, shingle: int = STAGE_SHINGLE) -> tuple[int, np.ndarray]:
@@ -271,15 +281,15 @@ def shingles(text: bytes | None, shingle: int = STAGE_SHINGLE) -> tuple[int, np.
     return digest(norm), np.unique(np.array([digest(norm[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=False)], np.uint64))
 
 
-def wide_bits(h: np.ndarray) -> np.ndarray:
-    """The 256 bits of the SimHash of a set of shingle hashes."""
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(h), CHUNK):
-        x = h[at : at + CHUNK, None] * np.array(SEEDS, np.uint64)
+def wide_bits(h: np.ndarray, bits: int = 256) -> np.ndarray:
+    """The bits of the SimHash of a set of shingle hashes: the first 256, or more."""
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(h), CHUNK // 4):
+        x = h[at : at + CHUNK // 4, None] * WIDE[: bits // 64]
         x ^= x >> np.uint64(29)
-        x *= np.uint64(SEEDS[1])
+        x *= WIDE[1]
         x ^= x >> np.uint64(32)
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), 32), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), bits // 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return (2 * ones > len(h)).astype(np.uint8)
 
 
@@ -289,29 +299,39 @@ def bands(bits: np.ndarray) -> np.ndarray:
     return (keys[:, :, 0] << 8 | keys[:, :, 1]) + (np.arange(BANDS, dtype=np.int32) << BAND)
 
 
-def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of lanes at most NEAR bits apart, but those that links of at most SURE bits already join."""
-    lab, size = np.arange(len(fp)), size.copy()
+def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.ndarray, fine: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of lanes of different groups at most NEAR bits apart: those of a forest of a bucket's groups, by growing
+    radius; or, with the bits of `fine`, every pair at most FINE_NEAR of these apart."""
     first = np.arange(len(fp)) - rank
-    for step, (i, j) in enumerate(near_lanes(fp, rank, size, NEAR)):
-        apart = lab[i] != lab[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            continue
-        yield i, j
-        sure = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= SURE
-        lab = _hook(lab, i[sure], j[sure])
-        if step % 8 == 7:  # buckets of one group are done
-            split = np.zeros(len(fp), bool)
-            np.logical_or.at(split, first, lab != first)
-            size[~split[first]] = 0
+    order = np.lexsort((group, first))
+    new = np.concatenate(([True], (first[order][1:] != first[order][:-1]) | (group[order][1:] != group[order][:-1])))
+    lab = np.empty(len(fp), np.int64)  # the first lane of the same bucket and group
+    lab[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
+    for radius in RADII if fine is None else (NEAR,):
+        left = size.copy()
+        for step, (i, j) in enumerate(near_lanes(fp, rank, left, radius)):
+            apart = lab[i] != lab[j]
+            i, j = i[apart], j[apart]
+            if fine is not None and len(i):
+                close = np.bitwise_count(fine[i] ^ fine[j]).sum(1) <= FINE_NEAR
+                i, j = i[close], j[close]
+            if not len(i):
+                continue
+            yield i, j
+            if fine is None:
+                lab = _hook(lab, i, j)
+                if step % 8 == 7:  # buckets of one group are done
+                    split = np.zeros(len(fp), bool)
+                    np.logical_or.at(split, first, lab != lab[first])
+                    left[~split[first]] = 0
 
 
 def _pair_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, w0, w1, node), sorted, whole buckets in one partition -> candidate pairs."""
+    """Rows (bucket, w0, w1, node, group, ...), sorted, whole buckets in one partition -> candidate pairs; with the
+    FINE bits in the further columns every pair, else forests."""
     for rows, rank, size in _whole_buckets(batches, 1):
-        node = rows[:, 3]
-        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size):
+        node, fine = rows[:, 3], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, rows[:, 4], fine if fine.shape[1] else None):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 
@@ -327,20 +347,39 @@ def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longs = pa.list_(pa.int64())
     for b in batches:
         for node, t in zip(b.column(0), b.column(1), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([shingles(t.as_py())[1].view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+            h = shingles(t.as_py())[1]
+            fine = np.packbits(wide_bits(h, FINE), bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([h.view(np.int64)], longs), pa.array([fine], longs)], ["node", "shingles", "fine"])
 
 
 def near_links(docs: DataFrame, wide: DataFrame, text_col: str) -> DataFrame:
     """Edges (a, b) of nodes whose sets of shingles are alike by LIKE."""
     nodes = wide.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("buckets").alias("buckets"))
     nodes = materialise(nodes, "near-nodes")
-    dealt = nodes.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node").repartition("bucket").sortWithinPartitions("bucket", "w0", "w1")
-    pairs = materialise(dealt.mapInArrow(_pair_buckets, "a long, b long").distinct(), "near-pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
+    forest = _candidates(nodes.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", F.col("node").alias("group")))
+    # a text that is in no pair of the forests is in no pair at all
+    met = materialise(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-met")
+    need = met.join(nodes.select("node", "text_hash"), "node")
     texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).join(need, "text_hash").select("node", "text")
-    sets = materialise(texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, shingles array<long>"), "near-sets")
+    sets = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, shingles array<long>, fine array<long>")
+    sets = materialise(sets, "near-sets")
+    edges = materialise(_confirmed(forest, sets), "near-edges")
+    group = met.join(connected_components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+    rest = nodes.join(group, "node").join(sets.select("node", "fine"), "node")
+    rest = rest.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", "group", *(F.col("fine")[k] for k in range(FINE // 64)))
+    return edges.unionByName(_confirmed(_candidates(rest), sets))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "w0", "w1")
+    return materialise(dealt.mapInArrow(_pair_buckets, "a long, b long").distinct(), "near-pairs")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets of shingles are alike by LIKE."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("x", "y")))
@@ -352,18 +391,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     wide = materialise(cols.mapInArrow(_wide_rows, "doc_id long, text_hash long, node long, w0 long, w1 long, buckets array<int>"), "near-wide")
     comp = connected_components(near_links(docs, wide, text_col))
-    rooted = wide.select("doc_id", "text_hash", "node").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialise(rooted.select("doc_id", "text_hash", "root"), "near-rooted")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "text_hash", "component_id")
+    nodes = wide.groupBy("node").agg(F.count("*").alias("n")).join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = materialise(join_counted(wide.select("doc_id", "text_hash", "node"), materialise(nodes, "near-roots"), "node", "n"), "near-rooted")
+    return with_component(rooted, "doc_id").select("doc_id", "text_hash", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component of texts alike by LIKE, the document with the smallest doc_id stays, with all its
     columns; rows without a doc_id always stay."""
-    gone = near_classes(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash").distinct()
-    gone = materialise(gone, "simhash-gone").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash"))
-    return docs.join(gone, (docs[id_col] == F.col("__gone")) & (F.xxhash64(docs[text_col]) == F.col("__hash")), "left_anti")
+    gone, digest = unused(docs, "gone", "digest")
+    out = near_classes(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone), F.col("text_hash").alias(digest)).distinct()
+    out = materialise(out, "simhash-gone")
+    return docs.join(out, (docs[id_col] == F.col(gone)) & (F.xxhash64(docs[text_col]) == F.col(digest)), "left_anti")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
