@@ -1,16 +1,16 @@
 """Operator 8, sharding by a hypergeometric communication matrix, DataFrame functions only.
 
 A uniform shuffle of N rows sends to each shard a hypergeometric share of each partition. The matrix of those
-counts, with the partitions' sizes as row sums and the exact shard sizes as column sums, is drawn on the driver
-(it has at most PARTITIONS rows, whatever the input). Each partition is permuted and cut by its row of the
-matrix, rows are exchanged, and each shard is permuted again. Both permutations are row numbers over seeded
-hashes; a shard is permuted in blocks of about BLOCK rows, whose order is that of the hashes, so that no task
-holds a shard.
+counts, with the input partitions' sizes as row sums and the exact shard sizes as column sums, is drawn on the driver
+(it has at most PARTITIONS rows, whatever the input). Each partition is permuted where it is (sorted by seeded hashes
+in its task, its rows numbered) and cut by its row of the matrix, rows are exchanged, and each shard is permuted
+again: in blocks of about BLOCK rows, whose order is that of other hashes, so that no task holds a shard.
 
-The rows are written once with a row number, so that lost tasks come out the same when repeated.
+The permuted rows are written once with their numbers, so that lost tasks come out the same when repeated.
 
 Defined results: null text has size 8 and the crc32 of no bytes; null and repeated doc_ids and repeated rows
-are rows like any other; extra columns are carried by `shuffle`; an empty table gives an empty result.
+are rows like any other; extra columns are carried by `shuffle`, an input column named shard or slot under that name
+with _input after it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialise
+from .common import documents, materialise, unused
 
 SHARDS = 24
 BLOCK = 20_000
@@ -60,28 +60,28 @@ def matrix(partition_sizes: list[int], shard_sizes: list[int], seed: int) -> np.
 def shuffle(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """All columns, and shard and slot: a uniform shuffle in which shard sizes differ by one at most."""
     spark = df.sparkSession
-    rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "shard-rows")
-    total = rows.count()
-    parts = min(PARTITIONS, max(32, -(-total // BLOCK)))
-    rows = rows.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(seed)), F.lit(parts)).cast("int"))
-    sizes = dict(rows.groupBy("__part").count().collect())  # at most PARTITIONS numbers
-    names = sorted(sizes)
+    for name in ("shard", "slot"):
+        df = df.withColumnsRenamed({c: unused(df, f"{c}_input")[0] for c in df.columns if c.lower() == name})
+    row, place, part, rank, cuts, order, block, before, number = unused(df, "row", "place", "part", "rank", "cuts", "order", "block", "before", "number")
+    rows = df.coalesce(PARTITIONS).withColumn(row, F.monotonically_increasing_id())
+    rows = rows.sortWithinPartitions(F.xxhash64(row, F.lit(seed)), row).withColumn(place, F.monotonically_increasing_id())
+    rows = materialise(rows, "shard-rows")  # place: the partition above 33 bits of the rank in it
+    rows = rows.withColumn(part, F.shiftright(place, 33).cast("int")).withColumn(rank, F.col(place).bitwiseAND((1 << 33) - 1))
+    sizes = dict(rows.groupBy(part).count().collect())  # at most PARTITIONS numbers
+    names, total = sorted(sizes), sum(sizes.values())
     cut = matrix([sizes[p] for p in names], [total // shards + (s < total % shards) for s in range(shards)], seed).cumsum(axis=1)
-    bounds = F.broadcast(spark.createDataFrame([(p, c) for p, c in zip(names, cut.tolist(), strict=True)], "__p int, __bounds array<long>"))
-    first = Window.partitionBy("__part").orderBy(F.xxhash64("__row", F.lit(seed + 1)), "__row")
-    dealt = rows.withColumn("__rank", F.row_number().over(first) - 1).join(bounds, F.col("__part") == F.col("__p"))
-    dealt = dealt.withColumn("shard", F.expr("size(filter(__bounds, b -> b <= __rank))")).drop("__bounds", "__p", "__rank", "__part")
+    bounds = F.broadcast(spark.createDataFrame([(p, c) for p, c in zip(names, cut.tolist(), strict=True)], f"`{part}` int, `{cuts}` array<long>"))
+    shard = F.size(F.filter(cuts, lambda b: b <= F.col(rank)))
     blocks = max(4, -(-total // (shards * BLOCK)))
-    dealt = dealt.withColumn("__order", F.shiftrightunsigned(F.xxhash64("__row", F.lit(seed + 2)), 1))
-    dealt = dealt.withColumn("__block", F.shiftright(F.shiftright("__order", 39) * F.lit(blocks).cast("long"), 24).cast("int"))
-    dealt = materialise(dealt, "shard-dealt")
-    upto = Window.partitionBy("__s").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(F.col("shard").alias("__s"), F.col("__block").alias("__k")).count()
-    starts = starts.select("__s", "__k", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("__start"))
-    again = Window.partitionBy("shard", "__block").orderBy("__order", "__row")
-    placed = dealt.withColumn("__n", F.row_number().over(again) - 1)
-    placed = placed.join(starts, (placed.shard == starts["__s"]) & (placed["__block"] == starts["__k"]))
-    return placed.withColumn("slot", F.col("__start") + F.col("__n")).select(*df.columns, "shard", "slot")
+    dealt = rows.join(bounds, part).withColumn("shard", shard).withColumn(order, F.shiftrightunsigned(F.xxhash64(row, F.lit(seed + 2)), 1))
+    dealt = dealt.withColumn(block, F.shiftright(F.shiftright(order, 39) * F.lit(blocks).cast("long"), 24).cast("int"))
+    dealt = materialise(dealt.drop(cuts, part, rank, place), "shard-dealt")
+    upto = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("shard", block).count()
+    starts = starts.select("shard", block, F.coalesce(F.sum("count").over(upto), F.lit(0)).alias(before))
+    again = Window.partitionBy("shard", block).orderBy(order, row)
+    placed = dealt.withColumn(number, F.row_number().over(again) - 1).join(starts, ["shard", block])
+    return placed.withColumn("slot", F.col(before) + F.col(number)).select(*df.columns, "shard", "slot")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,9 +338,10 @@ def duplicates(texts):
     return sorted(((d, biggest(groups[n]), len(groups[n]), hashlib.sha256(n.encode()).hexdigest()) for d, t in texts for n in [(t or "").translate(UP)]), key=key)
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 64])
-def test_exact_dedup(spark, sf, odd, odd_rows, empty, bits, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)  # a full filter changes nothing but speed
+@pytest.mark.parametrize(("rows_a_word", "broadcast"), [(4, 1 << 20), (1000, 0)])
+def test_exact_dedup(spark, sf, odd, odd_rows, empty, rows_a_word, broadcast, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ROWS_A_WORD", rows_a_word)  # a full filter changes nothing but speed
+    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", broadcast)
     for df, data in ((documents(spark, sf), rows(documents(spark, sf).select("doc_id", "text"))), (odd, [r[:2] for r in odd_rows])):
         got = rows(exact_dedup.decide(df))
         assert sorted(((r[0], r[1], r[2], r[4]) for r in got), key=key) == duplicates(data)
@@ -351,6 +352,31 @@ def test_exact_dedup(spark, sf, odd, odd_rows, empty, bits, monkeypatch):
     assert rows(exact_dedup.decide(empty)) == [] == rows(exact_dedup.drop_exact_duplicates(empty))
 
 
+def test_exact_dedup_names_and_types(spark):
+    """Columns of any name, maps among them, come through whole; of repeated rows one stays."""
+    data = [(1, "x", "u", 1, {"k": 1}), (2, "X", "v", 2, {"k": 2}), (2, "x", "w", 3, {"k": 3}), (None, "x", "n", 4, None), (5, "only", "o", 5, {}), (None, "no id", "p", 6, None), (None, "no id", "q", 7, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, text_sha256 string, row int, gone map<string,int>")
+    docs = docs.withColumnsRenamed({"text_sha256": "digest"}).selectExpr("*", "row as word", "row as bits", "row as again")
+    out = exact_dedup.drop_exact_duplicates(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert [sum(r.doc_id == x and (r.text or "").lower() == t for r in got) for x, t in ((1, "x"), (2, "x"), (5, "only"), (None, "no id"), (None, "x"))] == [0, 1, 1, 1, 0] and len(got) == 3
+    assert all(r.digest == {3: "w", 2: "v", 5: "o", 6: "p", 7: "q"}[r.row] and r.word == r.row for r in got)
+
+
+def test_exact_dedup_filter_keeps_its_share(spark):
+    """At ten times the rows the share of unique rows that take the exact path is as small."""
+    shares = []
+    for n in (4_000, 40_000):
+        keys = spark.range(n).selectExpr("sha2(cast(if(id % 10 = 0, id div 20, id) as string), 256) as sha")
+        words = n // exact_dedup.ROWS_A_WORD
+        one, maybe = exact_dedup.split_by_filter(keys, exact_dedup.repeated_bits(keys, "sha", words), "sha", words)
+        repeated = keys.groupBy("sha").count().filter("count > 1")
+        assert one.join(repeated, "sha", "left_semi").count() == 0 and one.count() + maybe.count() == n
+        shares.append(maybe.join(repeated, "sha", "left_anti").count() / n)
+    assert max(shares) < 0.02, shares
+
+
 # --- 5: BPE
 
 
@@ -508,11 +534,25 @@ def test_sharding(spark, sf, odd, odd_rows, empty):
     texts = {r.doc_id: r.text.encode() for r in documents(spark, sf).collect()}
     assert all(r["size"] == len(texts[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id]) and r.law == "rows" and r.grown_shard is None for r in got)
     check_shards([(r.shard, r.slot) for r in got], len(texts), 24)
-    plain = odd.drop("shard", "__row")
-    out = sharding.shuffle(plain, 5)
+    clash = odd.selectExpr("*", "shard as Slot", "shard as row", "shard as place", "shard as `part`", "shard as `order`", "shard as shard_input")
+    out = sharding.shuffle(clash, 5)
     check_shards(rows(out.select("shard", "slot")), len(odd_rows), 5)
-    assert Counter(rows(out.select(*plain.columns))) == Counter(rows(plain))
-    assert rows(sharding.shuffle(empty.drop("shard", "__row"), 5)) == []
+    kept = [{"shard": "shard_input_", "Slot": "Slot_input"}.get(c, c) for c in clash.columns]
+    assert out.columns == [*kept, "shard", "slot"]
+    assert Counter(rows(out.select(*kept))) == Counter(rows(clash))
+    assert rows(sharding.shuffle(empty, 5)) == []
+
+
+def test_sharding_is_uniform(spark):
+    """Over many seeds each row lands in each shard, and each pair of neighbours together, as often as it should."""
+    times, together, first = 60, 0, Counter()
+    df = spark.range(0, 40, 1, 3)
+    for seed in range(times):
+        at = dict(rows(sharding.shuffle(df, 4, seed).select("id", "shard")))
+        together += sum(at[i] == at[i + 1] for i in range(39))
+        first.update(at[i] for i in range(10))
+    assert abs(together / times - 39 * 9 / 39) < 1.2  # 9 of the 39 others share a row's shard
+    assert all(abs(first[s] / times - 2.5) < 0.7 for s in range(4)), first
 
 
 def test_hypergeometric_is_exact():
