@@ -1,7 +1,7 @@
 """Operator 3, benchmark decontamination by winnowing, DataFrame functions only.
 
 The hashes of all GRAM-word grams are laid out over a text; of each window of ten words (six grams) the smallest
-hash, the rightmost of equal ones, is kept, once for all the windows in which it is the smallest: some two of seven
+hash is kept (one of equal ones), once for all the windows in which it is the smallest: some two of seven
 grams. Two texts that share ten words share that window's fingerprint, so joining the fingerprints of documents and
 benchmark loses no shared span of ten words. Each hit is extended to the windows around its gram, their words are
 compared, and overlapping windows unite into spans of any length. Benchmark items of fewer than ten words are one
@@ -35,14 +35,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), SEPARATOR), "")
 
 
-def least_gram(w: Column, i: Column) -> tuple[Column, Column]:
-    """The smallest hash of the grams of the ten words from position i (from 0), and the rightmost place that has it."""
-    h = [F.xxhash64(F.slice(w, F.greatest(i + j, F.lit(0)) + 1, GRAM)) for j in range(GRAMS)]
-    least = F.least(*h)
-    place = F.lit(0)
-    for j in range(1, GRAMS):
-        place = F.when(h[j] == least, j).otherwise(place)
-    return least, i + place
+def grams(w: Column) -> Column:
+    """The hashes of the grams of a text of ten words or more, in order; the low three bits are the place's."""
+    hashed = lambda i: F.xxhash64(F.slice(w, i, GRAM)).bitwiseAND(-8).bitwiseOR((i - 1).bitwiseAND(7))
+    return F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - GRAM + 1), hashed))
+
+
+def least_gram(g: Column, i: Column) -> Column:
+    """The smallest gram of the ten words from position i (from 0)."""
+    return F.least(*(F.get(g, i + j) for j in range(GRAMS)))
 
 
 def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, list[int]]:
@@ -52,9 +53,10 @@ def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -
     w = materialise(bench.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).filter(F.size("w") > 0), "bench-words")
     lengths = sorted(r[0] for r in w.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).distinct().collect())  # ten at most
     length = F.least(F.size("w"), F.lit(WINDOW))
-    at = w.select("item", "w", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("w") - length)).alias("i"))
-    key = F.when(F.col("length") == WINDOW, least_gram(F.col("w"), F.col("i"))[0]).otherwise(F.xxhash64("w"))
-    each = at.select("item", "length", key.alias("key"), F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("wtext"))
+    at = w.select("item", "w", grams(F.col("w")).alias("g"), length.alias("length"))
+    at = at.select("item", "w", "g", "length", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("length"))).alias("i"))
+    key = F.when(F.col("length") == WINDOW, least_gram(F.col("g"), F.col("i"))).otherwise(F.xxhash64("w"))
+    each = at.select("item", "length", key.bitwiseAND(-8).alias("key"), F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("wtext"))
     each = each.groupBy("length", "key", "wtext").agg(F.array_sort(F.collect_set("item")).alias("items"))
     each = materialise(each.withColumn("set_id", F.sha2(F.to_json("items"), 256)), "bench-windows")
     sets = materialise(each.groupBy("set_id").agg(F.first("items").alias("items")), "bench-sets")
@@ -70,19 +72,21 @@ def _sized(df: DataFrame, size: Column) -> tuple[DataFrame, bool]:
 def fingerprints(base: DataFrame, lengths: list[int]) -> DataFrame:
     """(ROW, w, length, p, key): the winnowed grams of each row, p the gram's position; and one row of length -1."""
     last = F.size("w") - min(lengths, default=WINDOW)
-    at = base.select(*ROW, "w", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("i"))
-    w, i, found = F.col("w"), F.col("i"), []
+    at = base.select(*ROW, "w", grams(F.col("w")).alias("g"))
+    at = at.select(*ROW, "w", "g", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("i"))
+    w, g, i, found = F.col("w"), F.col("g"), F.col("i"), []
     for n in lengths:
         inside = (i >= 0) & (i + n <= F.col("n_words"))
         if n == WINDOW:
-            key, p = least_gram(w, i)
-            fresh = inside & ((i == 0) | (p != least_gram(w, i - 1)[1]))
+            v = least_gram(g, i)
+            inside = inside & ((i == 0) | (v != least_gram(g, i - 1)))
         else:
-            key, p, fresh = F.xxhash64(F.slice(w, F.greatest(i, F.lit(0)) + 1, n)), i, inside
-        found.append(F.when(fresh, F.struct(F.lit(n).alias("length"), p.alias("p"), key.alias("key"))))
-    mark = F.when(i < 0, F.struct(F.lit(-1).alias("length"), F.lit(-1).alias("p"), F.lit(0).cast("long").alias("key")))
-    rows = at.select(*ROW, "w", F.explode(F.array(mark, *found)).alias("f")).filter("f is not null")
-    return rows.select(*ROW, "w", "f.length", "f.p", "f.key")
+            v = F.xxhash64(F.slice(w, F.greatest(i, F.lit(0)) + 1, n))
+        found.append(F.when(inside, F.struct(F.lit(n).alias("length"), v.alias("v"))))
+    mark = F.when(i < 0, F.struct(F.lit(-1).alias("length"), F.lit(0).cast("long").alias("v")))
+    rows = at.select(*ROW, "w", "i", F.explode(F.array(mark, *found)).alias("f")).filter("f is not null")
+    place = F.when(F.col("f.length") == WINDOW, i + F.pmod(F.col("f.v") - i, F.lit(8)).cast("int")).otherwise(i)
+    return rows.select(*ROW, "w", "f.length", place.alias("p"), F.col("f.v").bitwiseAND(-8).alias("key"))
 
 
 def hits(docs: DataFrame, table: DataFrame, lengths: list[int], id_col: str, text_col: str) -> DataFrame:

@@ -214,7 +214,7 @@ def log_probs(net: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
         p = np.zeros(len(own), net.dtype)
         for z, label in zip(logits(net, hidden(net, near[:, at : at + STEP][:, order]), spans), (cls, member), strict=True):
             p += z[place, label]
-            p -= np.log(np.exp(z, out=z).sum(1))
+            p -= np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
         out[at + order] = p
     return out
 
@@ -222,7 +222,7 @@ def log_probs(net: np.ndarray, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
 def errors(z: np.ndarray, label: np.ndarray) -> np.ndarray:
     """The gradient of the log-probability of the labels by the logits z, in place of them."""
     np.exp(z, out=z)
-    z *= -1 / z.sum(1, keepdims=True)
+    z *= (-1 / (z @ np.ones(z.shape[1], z.dtype)))[:, None]
     z[np.arange(len(z)), label] += 1
     return z
 
@@ -235,21 +235,20 @@ def train_step(net: np.ndarray, ids: np.ndarray, near: np.ndarray, rate: float)
     cls, member = np.divmod(ids, MEMBERS)
     outer, inner = logits(net, h, spans)
     outer, inner = errors(outer, cls), errors(inner, member)
-    back = outer @ net[OUT_AT:MEMBER_AT]
+    back, inside = outer @ net[OUT_AT:MEMBER_AT], np.empty_like(h)
     step = np.zeros((ROWS_OF_16 - OUT_AT, DIM), net.dtype)
     step[:CLASSES] = outer.T @ h
     for a, b, lo, hi in spans:
-        back[a:b] += inner[a:b] @ net[lo:hi]
+        np.matmul(inner[a:b], net[lo:hi], out=inside[a:b])
         np.matmul(inner[a:b].T, h[a:b], out=step[lo - OUT_AT : hi - OUT_AT])
     net[OUT_AT:] += rate * np.clip(step, -5, 5, out=step)
+    back += inside
     back *= 1 - h * h
     np.clip(back, -1, 1, out=back)
     back *= np.float32(rate)
-    flat = near.ravel().astype(np.int16)  # OUT_AT rows; small numbers are sorted by radix
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    net[flat[first]] += np.add.reduceat(back.take(order % len(back), axis=0), first, axis=0)
+    flat, columns = net.reshape(-1), np.arange(DIM)
+    for rows in near:
+        np.add.at(flat, (rows[:, None] * DIM + columns).ravel(), back.ravel())
 
 
 def train_on(net: np.ndarray, texts: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:

@@ -87,9 +87,9 @@ class Encoder:
         rest: list[str] = []
         for p in pieces:
             (joined if SPACED.fullmatch(p) else rest).append(p)
-        for at in range(0, len(joined), 512):
-            some = joined[at : at + 512]
-            ids = np.array(self.lib.encode("".join(some), add_special_tokens=False).ids, self.dtype)
+        runs = [joined[at : at + 512] for at in range(0, len(joined), 512)]
+        for some, e in zip(runs, self.lib.encode_batch_fast(["".join(x) for x in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
             first = np.flatnonzero(self.spaced[ids])
             if len(first) != len(some):
                 rest += some
@@ -98,7 +98,7 @@ class Encoder:
             raw = ids.tobytes()
             self.young.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
         if rest:
-            for p, e in zip(rest, self.lib.encode_batch(rest, add_special_tokens=False), strict=True):
+            for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
                 self.young[p] = np.array(e.ids, self.dtype).tobytes()
 
     def known(self, pieces: list[str]) -> list[bytes]:
