@@ -6,6 +6,7 @@ import re
 import unicodedata
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,13 +28,20 @@ def plain(text: str | None) -> str:
 
 
 def distance(a, b) -> int:
-    """Edit distance of two sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+    """Edit distance of two sequences, a row of numpy at a time: what a row gains from its left neighbours is a
+    running minimum."""
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    codes: dict = {}
+    x, y = ([codes.setdefault(t, len(codes)) for t in s] for s in (a, b))
+    y, ramp = np.array(y), np.arange(len(y) + 1)
+    row = ramp.copy()
+    for i, c in enumerate(x, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + (y != c), out=new[1:])
+        row = np.minimum.accumulate(new - ramp) + ramp
+    return int(row[-1])
 
 
 def line_edits(ref: str | None, hyp: str | None) -> tuple[int, int]:
@@ -132,24 +140,21 @@ def toc_lines(lines: pd.Series) -> pd.Series:
     chapter, page = re.compile(r"第[0-9一二三四五六七八九十百]+章"), re.compile(r"\d{1,4}")
 
     def one(raw):
+        rows = [plain(re.sub(r"^[.．,，、]+|[.．,，、]+$", "", re.sub(r"[.．。·∙•…]{2,}", "", x or ""))) for x in (raw if raw is not None else ())]
+        rows = [x for x in rows if x]
+        heading = {i for i, pair in enumerate(zip(rows, rows[1:], strict=False)) if pair == ("目", "录")}
+        rows = ["目录" if i in heading else x for i, x in enumerate(rows) if i - 1 not in heading]
         out: list[str] = []
-        state = "done"
-        for x in raw if raw is not None else ():
-            x = plain(re.sub(r"^[.．,，、]+|[.．,，、]+$", "", re.sub(r"[.．。·∙•…]{2,}", "", x or "")))
-            if not x:
-                continue
+        open_mark = False  # the last line is a chapter mark without its title
+        for x in rows:
             number, mark = page.fullmatch(x), chapter.fullmatch(x)
-            if out and number and not out[-1].endswith(x):
-                out[-1] += x
-                state = "done"
-            elif x == "录" and out and out[-1] == "目":
-                out[-1], state = "目录", "done"
-            elif state == "chapter" and not mark and not number:
-                out[-1] += x
-                state = "done"
+            if number and out and not out[-1].endswith(x):
+                out[-1], open_mark = out[-1] + x, False
+            elif open_mark and not mark and not number:
+                out[-1], open_mark = out[-1] + x, False
             else:
                 out.append(x)
-                state = "chapter" if mark else "done"
+                open_mark = bool(mark)
         return out
 
     return lines.map(one)

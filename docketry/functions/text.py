@@ -52,6 +52,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(s: pd.Series) -> pd.Series:
+    """Of an array of texts, each by itself."""
+    return s.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+
 @pandas_udf(T.StringType())
 def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
@@ -71,6 +77,15 @@ def norm(text: Column) -> Column:
     return compact(nfkc(F.coalesce(text, F.lit(""))))
 
 
+def norm_each(texts: Column) -> Column:
+    return F.transform(nfkc_each(F.coalesce(texts, F.array().cast("array<string>"))), lambda x: compact(F.coalesce(x, F.lit(""))))
+
+
+def counted(text: Column) -> Column:
+    """How many characters count: white space aside, case kept."""
+    return F.length(F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), SPACE, ""))
+
+
 def any_match(text: Column, patterns: Sequence[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -104,10 +119,13 @@ def redact_plain(text: Column) -> Column:
 
 
 def redact_nodes(text: Column) -> Column:
-    """Redact between tags only: tags and text nodes alternate, so both arrays are taken apart and zipped."""
-    tags, nodes = F.regexp_extract_all(text, F.lit("<[^>]+>"), F.lit(0)), F.split(nfkc(F.coalesce(text, F.lit(""))), "<[^>]+>")
+    """Redact between tags only. The raw text is cut at its tags first and each node is normalised by itself, so a
+    full-width bracket in a node never becomes a tag; tags and nodes alternate and are zipped again."""
+    raw = F.coalesce(text, F.lit(""))
+    tags, nodes = F.regexp_extract_all(raw, F.lit("<[^>]+>"), F.lit(0)), nfkc_each(F.split(raw, "<[^>]+>", -1))
 
     def clean(x: Column) -> Column:
+        x = F.regexp_replace(x, "　", " ")
         for pattern, mark in REDACTIONS:
             x = F.regexp_replace(x, pattern, mark)
         return x
@@ -142,7 +160,7 @@ def key_fields(text: Column, fields: Sequence[tuple[str, str]] = FIELDS) -> Colu
 
 def is_toc(text: Column) -> Column:
     """A contents heading (in one line or two), or three lines with long leaders."""
-    lines = F.filter(F.transform(F.split(text, "\n"), compact), lambda x: x != "")
+    lines = F.filter(norm_each(F.split(text, "\n")), lambda x: x != "")
     split_heading = F.exists(F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("b")), lambda z: (z["a"] == "目") & (z["b"] == "录"))
     leaders = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[.．。·…]{8,}")))
     return F.array_contains(lines, "目录") | split_heading | (leaders >= 3)
@@ -168,3 +186,44 @@ def without_fences(text: Column) -> Column:
 def better_of(local: Column, cloud: Column) -> Column:
     """The cloud's text if it is at least 1.05 times as long."""
     return F.when(F.length(F.trim(cloud)) >= F.length(F.trim(local)) * 1.05, cloud).otherwise(local)
+
+
+#: Fixed value: landline numbers, masked after names.
+LANDLINE = r"(?<!\d)0\d{2,3}-?\d{7,8}(?!\d)"
+
+
+def masked_names(text: Column, names: dict[str, str], mark: str = "［已隐去电话］") -> Column:
+    """Names by their placeholders, longest first, then landline numbers."""
+    return F.regexp_replace(replaced(text, names), LANDLINE, mark)
+
+
+def rehydrated(text: Column, names: dict[str, str]) -> Column:
+    """Placeholders back to names, longest placeholder first."""
+    return replaced(text, {v: k for k, v in names.items()})
+
+
+def safe_filename(name: Column) -> Column:
+    """The last part of a path with odd characters as underscores, never empty."""
+    last = F.regexp_extract(F.coalesce(name, F.lit("")), r"[^/\\\\]*$", 0)
+    clean = F.left(F.regexp_replace(F.trim(last), r"[^\w.\-一-鿿]+", "_"), F.lit(120))
+    return F.when(F.regexp_replace(clean, r"[._]", "") == "", F.lit("file")).otherwise(clean)
+
+
+def iso_valid(value: Column) -> Column:
+    """A date or a moment in ISO form, Z accepted."""
+    return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$") & F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00")).isNotNull(), F.lit(False))
+
+
+def field_hit(text: Column, value: Column) -> Column:
+    """A field's value stands in a text, both normalised."""
+    return norm(text).contains(norm(value))
+
+
+def harvested(line: Column) -> Column:
+    """Lines worth keeping: 2 to 40 characters, some of them letters, digits or Chinese."""
+    t = F.trim(F.coalesce(line, F.lit("")))
+    return F.length(t).between(2, 40) & t.rlike("[A-Za-z0-9一-鿿]")
+
+
+def sparse(text: Column, least: int = 50) -> Column:
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) < least

@@ -82,3 +82,53 @@ def visible(projects: DataFrame, members: DataFrame, user: str) -> DataFrame:
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()])
+
+
+def by_key(df: DataFrame, **key) -> DataFrame:
+    """Point lookup; the filter reaches the scan."""
+    for name, value in key.items():
+        df = df.filter(F.col(name) == F.lit(value))
+    return df
+
+
+def get_or_create(asked: DataFrame, table: DataFrame, keys: Sequence[str], **default: Column) -> DataFrame:
+    """One row per key asked for: the stored one, or one of defaults; `created` tells which."""
+    both = asked.select(*keys).distinct().join(table.withColumn("found", F.lit(True)), list(keys), "left")
+    both = both.withColumns({n: F.when(F.col("found"), F.col(n)).otherwise(v) for n, v in default.items()})
+    return both.withColumn("created", F.col("found").isNull()).drop("found")
+
+
+def replace_children(children: DataFrame, parents: DataFrame, new: DataFrame, parent: str) -> DataFrame:
+    """The children of the parents given give way to the new ones; those of other parents stay."""
+    return children.join(parents.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
+def returned(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows that an update changed, as they are after it."""
+    values = [c for c in old.columns if c not in keys]
+    before = old.select(*keys, F.struct(*values).alias("before"))
+    return new.join(before, list(keys), "left").filter(~F.struct(*values).eqNullSafe(F.col("before"))).drop("before")
+
+
+def same_ids(given: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(side, key) of ids that only one of the two has: none if the sets are equal."""
+    a, b = given.select(key).distinct(), wanted.select(key).distinct()
+    return a.join(b, key, "left_anti").select(F.lit("not_wanted").alias("side"), key).unionByName(b.join(a, key, "left_anti").select(F.lit("not_given").alias("side"), key))
+
+
+def met_on_either(rows: DataFrame, known: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows whose key is in any of the columns of the known rows."""
+    urls = known.select(F.explode(F.array(*columns)).alias(key)).filter(F.col(key).isNotNull()).distinct()
+    return rows.join(urls, key, "left_semi")
+
+
+def to_documents(df: DataFrame, keys: Sequence[str], document: str = "document") -> DataFrame:
+    """All but the keys packed into one JSON text."""
+    return df.select(*keys, F.to_json(F.struct(*(c for c in df.columns if c not in keys))).alias(document))
+
+
+def from_documents(df: DataFrame, schema: str, keys: Sequence[str], document: str = "document") -> DataFrame:
+    """The rows back; a text that is no JSON object gives nulls and is marked."""
+    parsed = F.from_json(document, schema)
+    is_object = F.coalesce(F.trim(document).startswith("{"), F.lit(False)) & F.try_parse_json(document).isNotNull()
+    return df.select(*keys, F.when(is_object, parsed).alias("d"), is_object.alias("valid")).select(*keys, "d.*", "valid")

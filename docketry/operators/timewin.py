@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -53,8 +54,8 @@ def chain_hash(prev: Column, *parts: Column) -> Column:
 def verify_chain(rows: DataFrame, scope: str, order: str, parts: Sequence[str]) -> DataFrame:
     """The first broken row per scope. Each row is checked against its stored predecessor, so rows verify in parallel."""
     w = Window.partitionBy(scope).orderBy(order)
-    seen = rows.withColumn("__prev", F.coalesce(F.lag("event_hash").over(w), F.lit("")))
-    bad = (F.coalesce(F.col("prev_hash"), F.lit("")) != F.col("__prev")) | (F.col("event_hash") != chain_hash(F.col("prev_hash"), *map(F.col, parts)))
+    seen = rows.withColumn("before", F.coalesce(F.lag("event_hash").over(w), F.lit("")))
+    bad = (F.coalesce(F.col("prev_hash"), F.lit("")) != F.col("before")) | (F.col("event_hash") != chain_hash(F.col("prev_hash"), *map(F.col, parts)))
     return seen.groupBy(scope).agg(F.count("*").alias("events"), F.min(F.when(bad, F.col(order))).alias("first_break"))
 
 
@@ -79,3 +80,74 @@ def expired_runs(runs: DataFrame, settings: DataFrame, now: Column) -> DataFrame
     """Runs past their workspace's retention (365 days where none is set)."""
     days = F.coalesce(F.col("retention_days"), F.lit(365))
     return runs.join(settings, "workspace_id", "left").filter(F.col("created_at") < now - F.make_dt_interval(days))
+
+
+def append_chain(last: DataFrame, rows: DataFrame, scope: str, order: str, parts: Sequence[str]) -> DataFrame:
+    """New rows with prev_hash and event_hash, after each scope's last hash (scope, event_hash). A hash needs the one
+    before it, so a scope's rows are folded in order, one task a scope, with one hash as the only state."""
+    types = dict(rows.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, prev = object(), None
+        for f in frames:
+            before, own = [], []
+            for k, start, body in zip(f["k"].tolist(), f["start"].tolist(), f["body"].tolist(), strict=True):
+                if k != at:
+                    at, prev = k, start
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev or ''}|{body}".encode()).hexdigest()
+                own.append(prev)
+            yield pd.DataFrame({"k": f["k"], "o": f["o"], "prev_hash": before, "event_hash": own})
+
+    body = F.concat_ws("|", *(F.col(p).cast("string") for p in parts))
+    known = last.select(scope, F.col("event_hash").alias("start"))
+    each = rows.join(known, scope, "left").select(F.col(scope).alias("k"), F.col(order).alias("o"), "start", body.alias("body"))
+    done = each.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, f"k {types[scope]}, o {types[order]}, prev_hash string, event_hash string")
+    return done.withColumnsRenamed({"k": scope, "o": order})
+
+
+#: What a caller may do how often in how many seconds.
+LIMITS = {"login": (5, 900), "mfa": (8, 300), "token-auth": (20, 300), "write": (240, 60), "export": (30, 300)}
+
+
+def limited(events: DataFrame, scope: str, bucket: str, ts: str, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
+    """Each event of a named limit with the hits in its window, whether it is rejected (the window is full with it),
+    and then after how many seconds the oldest hit leaves."""
+    out = None
+    for name, (most, seconds) in limits.items():
+        w = Window.partitionBy(scope, bucket).orderBy(micros(F.col(ts))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+        rows = events.filter(F.col(scope) == name).withColumns({"hits": F.count("*").over(w), "oldest": F.min(micros(F.col(ts))).over(w)})
+        rejected = F.col("hits") >= most
+        wait = F.greatest(F.lit(1), F.floor(seconds - (micros(F.col(ts)) - F.col("oldest")) / 1_000_000).cast("int"))
+        rows = rows.withColumns({"rejected": rejected, "retry_after": F.when(rejected, wait)}).drop("oldest")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def cooled(events: DataFrame, key: str, ts: str, order: str, seconds: int) -> DataFrame:
+    """Sends that are let through: the first, and each that comes `seconds` or more after the last one let through.
+    It is the opening hit of a fixed window."""
+    rows = fixed_windows(events, key, ts, order, seconds, 1)
+    return rows.withColumn("sent", F.col("hits") == 1)
+
+
+def attempts_left(tries: DataFrame, key: str, order: str, most: int = 5) -> DataFrame:
+    """tries (key, order, ok) of a challenge: what each gives. The first success within `most` tries consumes it."""
+    w = Window.partitionBy(key).orderBy(order)
+    seen = tries.withColumns({"n": F.row_number().over(w), "before": F.count_if(F.col("ok")).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    result = F.when(F.col("before") > 0, "CONSUMED").when(F.col("n") > most, "EXHAUSTED").when(F.col("ok"), "ACCEPTED").otherwise("WRONG")
+    return seen.withColumn("result", result).drop("n", "before")
+
+
+def due_message(days_left: Column, title: Column) -> Column:
+    late = F.format_string("%s is overdue by %d days", title, -days_left)
+    return F.when(days_left < 0, late).when(days_left == 0, F.format_string("%s is due today", title)).otherwise(F.format_string("%s is due in %d days", title, days_left))
+
+
+def age_hours(at: Column, now: Column) -> Column:
+    return F.round((micros(now) - micros(at)) / 3_600_000_000, 2)
+
+
+def job_guard(old: Column, new: Column) -> Column:
+    """A cancelled job stays cancelled."""
+    return F.when((old != "CANCELLED") | (new == "CANCELLED"), new).otherwise(old)

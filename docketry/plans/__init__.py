@@ -1,3 +1,3 @@
 """Registered queries and their SQL forms."""
 
-from . import catalog, evidence, lifecycle  # noqa: F401
+from . import catalog, evidence, lifecycle, quality, reviewing  # noqa: F401

@@ -9,12 +9,15 @@ from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE = "filename string, page int, kind string, label string, text string, blocks array<string>, error string"
 MAX_BYTES = 50_000_000
+MAX_PARTS = 10_000
+MAX_PAGES = 2_000
 MAGIC = {"pdf": "25504446", "docx": "504B0304", "xlsx": "504B0304", "pptx": "504B0304"}
 
 
@@ -82,6 +85,23 @@ def _pptx(z: zipfile.ZipFile) -> Iterator[tuple[str, str, str, list[str]]]:
         yield "slide", f"幻灯片 {n}", "\n".join(blocks), blocks
 
 
+def unsafe_archive(z: zipfile.ZipFile) -> str | None:
+    """Why an archive must not be opened: it expands too far, leaves its folder, or holds macros, scripts, embedded
+    objects or links to the outside."""
+    names = [i.filename for i in z.infolist()]
+    if sum(i.file_size for i in z.infolist()) > 20 * MAX_BYTES or len(names) > MAX_PARTS:
+        return "archive expands too far"
+    for n in names:
+        low = n.lower().replace("\\", "/")
+        if low.startswith("/") or ".." in low.split("/") or ":" in low:
+            return f"path leaves the archive: {n}"
+        if low.endswith(("vbaproject.bin", ".js", ".vbs", ".exe", ".dll", ".bat", ".ps1")) or "/activex/" in low or "/embeddings/" in low:
+            return f"active content: {n}"
+        if low.endswith(".rels") and re.search(rb'TargetMode\s*=\s*"External"[^>]*Target\s*=\s*"(?!https?:|mailto:)|Target\s*=\s*"(?:file|javascript):', z.read(n), re.I):
+            return f"unsafe relationship: {n}"
+    return None
+
+
 def parse(name: str, content: bytes) -> Iterator[tuple]:
     """Page rows of one file; a file that can't be read is one row with an error."""
     kind = name.rpartition(".")[2].lower()
@@ -91,32 +111,39 @@ def parse(name: str, content: bytes) -> Iterator[tuple]:
             pages = [("line_range", "全文", text, [x.strip() for x in text.splitlines() if x.strip()])]
         elif kind in ("docx", "xlsx", "pptx"):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
-                if sum(i.file_size for i in z.infolist()) > 20 * MAX_BYTES:
-                    raise ValueError("archive expands too far")
+                if reason := unsafe_archive(z):
+                    raise ValueError(reason)
                 pages = list({"docx": _docx, "xlsx": _xlsx, "pptx": _pptx}[kind](z)) or [("empty", "", "", [])]
         else:
             raise ValueError(f"unsupported type: {kind}")
     except Exception as e:  # one bad file must not stop the table; the row says why
         yield name, None, None, None, None, None, f"{type(e).__name__}: {e}"
         return
+    if kind == "pptx" and len(pages) > MAX_PAGES:
+        yield name, None, None, None, None, None, "too many pages"
+        return
     for n, (k, label, text, blocks) in enumerate(pages, 1):
         yield name, n, k, label, text, blocks, None
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder -> page rows. Suffix, size and magic bytes are tested before a file is opened."""
+    """Files of a folder -> page rows. Suffix, size and magic bytes are tested before a file is opened; a file that
+    is refused is one row that says why."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"[^/]+$", 0)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     magic = F.lit(True)
     for kind, start in MAGIC.items():
         magic = magic & ((suffix != kind) | F.startswith("content", F.unhex(F.lit(start))))
-    files = files.filter(F.col("length") <= MAX_BYTES).select(name.alias("name"), F.when(magic, F.col("content")).otherwise(F.lit(b"")).alias("content"))
+    small = F.col("length") <= MAX_BYTES
+    unsafe = F.when(~small, F.lit("file is too large")).when(~magic, F.lit("content does not fit the suffix"))
+    files = files.select(name.alias("name"), F.when(small & magic, F.col("content")).alias("content"), unsafe.alias("unsafe"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for n, c in zip(f["name"], f["content"], strict=True):
-                yield pd.DataFrame(parse(n, bytes(c)), columns=[x.split(" ")[0] for x in PAGE.split(", ")]).astype({"page": "Int32"})
+            for n, c, e in zip(f["name"], f["content"], f["unsafe"], strict=True):
+                rows = parse(n, bytes(c)) if e is None else [(n, None, None, None, None, None, e)]
+                yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in PAGE.split(", ")]).astype({"page": "Int32"})
 
     return files.mapInPandas(run, PAGE)
 
@@ -132,17 +159,70 @@ def read_ledger(spark: SparkSession, path: str, columns: Sequence[str]) -> DataF
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=False, mode="FAILFAST")
 
 
-def unfinished(tasks: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Resume: tasks without a finished result."""
-    return tasks.join(done.filter(F.col("status") == "EXTRACTED").select(*keys), list(keys), "left_anti")
+def unfinished(tasks: DataFrame, done: DataFrame, keys: Sequence[str], retry_failed: bool = False) -> DataFrame:
+    """Resume: tasks without a result; with retry_failed also those whose result failed."""
+    closed = done.filter(F.col("status") == "EXTRACTED") if retry_failed else done
+    return tasks.join(closed.select(*keys), list(keys), "left_anti")
+
+
+def read_cached(spark: SparkSession, path: str, schema: str = "page int, status string, provider string, text string") -> DataFrame:
+    """Finished results of a folder of JSON pages."""
+    return spark.read.schema(schema).json(path, multiLine=True).filter(F.col("status") == "EXTRACTED")
+
+
+def read_or_empty(read, spark: SparkSession, schema: str) -> DataFrame:
+    """What `read` gives, or an empty table of the schema where the path is missing."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON report's one row; no row where it is missing, nulls where it is invalid."""
+    return read_or_empty(lambda: spark.read.schema(schema).json(path, multiLine=True), spark, schema)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+AUDIT_COLUMNS = ("event_id", "workspace_id", "run_id", "user_id", "event_type", "payload", "created_at", "outcome", "event_hash")
+BOM = "\ufeff"
+
+
+def _contract(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    if tuple(df.columns) != tuple(columns):
+        raise ValueError(f"columns must be {list(columns)}, not {df.columns}")
+    return df
+
+
+def write_report(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """CSV of exactly the report's columns."""
+    _contract(df, columns).write.mode("overwrite").csv(path, header=True)
 
 
 def write_audit(df: DataFrame, path: str) -> None:
-    df.withColumn("payload", F.to_json("payload")).write.mode("overwrite").csv(path, header=True)
+    """CSV of exactly the audit columns, the payload as JSON; each file begins with a byte-order mark, on its header."""
+    rows = _contract(df, AUDIT_COLUMNS).withColumn("payload", F.to_json("payload"))
+    rows.withColumnRenamed(AUDIT_COLUMNS[0], BOM + AUDIT_COLUMNS[0]).write.mode("overwrite").csv(path, header=True)
+
+
+def append_ledger(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Append rows of exactly the ledger's columns; a ledger there must have the same header."""
+    spark = df.sparkSession
+    there = read_or_empty(lambda: read_ledger(spark, path, columns), spark, ", ".join(f"`{c}` string" for c in columns))
+    there.limit(1).count()  # fails on another header
+    _contract(df, columns).write.mode("append").csv(path, header=True)
+
+
+def refuse_ledger(path: str) -> str:
+    """The path, unless it looks like a business ledger, which reports must never overwrite."""
+    if re.search(r"ledger", path.rpartition("/")[2], re.I):
+        raise ValueError(f"refusing to write over a ledger: {path}")
+    return path
+
+
+def write_json_report(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(refuse_ledger(path))
 
 
 def write_snapshot(df: DataFrame, path: str, digest: str) -> None:
