@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 SPACE = r"(?U)\s+"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 
 #: Lines that hold personal data.
 PII_LINES = (r"1[3-9]\d{9}", r"0\d{2,3}-?\d{7,8}", r"\d{17}[\dXx]", r"[一-鿿]{1,3}(?:女士|先生|主任|科长)", r"(?:联系人|电话|地址|邮箱|E-?mail)\s*[:：]", r"(?i)https?://|www\.")
@@ -68,6 +69,11 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def stripped(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def compact(text: Column) -> Column:
     """Without white space, lower case; the built-in part of `norm`."""
     return F.lower(F.regexp_replace(text, SPACE, ""))
@@ -140,7 +146,7 @@ def redact(text: Column) -> Column:
 def html_to_text(raw: Column) -> Column:
     """Tags to line breaks, entities resolved, blanks squeezed, empty lines dropped; script bodies stay."""
     text = F.regexp_replace(unescape(F.regexp_replace(F.coalesce(raw, F.lit("")), "<[^>]+>", "\n")), r"[ \t]+", " ")
-    return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|[\n\r\u000b\u000c\u0085  ]"), F.trim), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(F.split(text, LINE_END), stripped), lambda x: x != ""), "\n")
 
 
 def is_pii(value: Column) -> Column:
@@ -180,7 +186,7 @@ def residual_hits(text: Column, pattern: str, most: int = 20) -> Column:
 def without_fences(text: Column) -> Column:
     """Recognised text without code fences and tags, entities resolved, blank lines collapsed."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?m)^```[A-Za-z]*\s*$", "")
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]+>", "")), r"\n{3,}", "\n\n"))
+    return stripped(F.regexp_replace(unescape(F.regexp_replace(text, "<[^>]+>", "")), r"\n{3,}", "\n\n"))
 
 
 def better_of(local: Column, cloud: Column) -> Column:

@@ -210,7 +210,7 @@ def append_ledger(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append rows of exactly the ledger's columns; a ledger there must have the same header."""
     spark = df.sparkSession
     there = read_or_empty(lambda: read_ledger(spark, path, columns), spark, ", ".join(f"`{c}` string" for c in columns))
-    there.limit(1).count()  # fails on another header
+    there.limit(1).collect()  # fails on another header
     _contract(df, columns).write.mode("append").csv(path, header=True)
 
 
