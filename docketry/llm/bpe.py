@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices
 
-MEMO = 250_000
+MEMO = 100_000
+SLICE = 1 << 21
 SHORT = 24
 MARK = "<|"  # each special token begins so
 CONTROL = re.compile("[\0-\x08\x0e-\x1f\x7f]")
@@ -279,7 +280,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content.value)
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE):
                 n, ids, texts = c.batch(b.column(1).cast(pa.string()))
                 more = [pa.array([list(map(int, x.split())) for x in ids.to_pylist()], pa.list_(pa.int32())), texts] if full else []
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), digests(ids), digests(texts), *more], names)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import documents, materialise, slices, unused
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -39,6 +39,7 @@ TRAIN_CHARS = 20_000
 EPOCHS = 6
 BATCH = 32
 PIECE = 1 << 16
+SLICE = 1 << 22
 CALIBRATE_POSITIVES = 30
 THRESHOLD = 0.3
 BIN = 0.01
@@ -245,7 +246,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 2, SLICE)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(shared.value.scores(b.column(2).to_pylist()))], ["doc_id", "held_out", "lang", "score"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -271,16 +272,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     if not model.fitted:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    (name,) = unused(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.append_column("__score", pa.array(shared.value.scores(b.column(text_col).to_pylist())))
+        for b in (s for whole in batches for s in slices(whole, whole.schema.get_field_index(text_col), SLICE)):
+            yield b.append_column(name, pa.array(shared.value.scores(b.column(text_col).to_pylist())))
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = materialise(docs.mapInArrow(run, f"{names}, __score double"), "toxicity-scored")
+    rows = materialise(docs.mapInArrow(run, f"{names}, `{name}` double"), "toxicity-scored")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    calibrate(model, rows.select("doc_id", lang.alias("lang"), F.col("__score").alias("score")), labels, fitted)
-    return rows.filter(F.col("__score") < threshold(model, lang)).drop("__score")
+    calibrate(model, rows.select("doc_id", lang.alias("lang"), F.col(name).alias("score")), labels, fitted)
+    return rows.filter(F.col(name) < threshold(model, lang)).drop(name)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
