@@ -175,6 +175,7 @@ def fit(texts: list[str | None], labels: np.ndarray, seed: int = 7) -> Model:
                     part = g[:, side * DIM : (side + 1) * DIM]
                     np.add.at(heat[side], rows[:, side], (part * part).sum(1))
                     np.add.at(tables[side], rows[:, side], -0.05 * part / np.sqrt(heat[side][rows[:, side], None]))
+                    tables[side][0] = 0
     return model
 
 

@@ -6,7 +6,12 @@ Each level's prior has the level above's posterior mean, and a strength (pseudo-
 of moments from the spread of that level's rates around their priors. A host is blocked if the lower bound of its bad rate, mean
 less Z standard deviations of its beta posterior, exceeds TOLERANCE.
 
-Everything is grouping and joining by host; only three strengths and one mean pass through the driver.
+Everything is grouping and joining by host; only three strengths and one mean pass through the driver. A host with
+more pages than HOT_ROWS (common.py) meets its pages by a broadcast of such hosts, of which there are few by count.
+
+Names are registered one label below a public suffix: the longest of `suffixes` that a host ends in, else its last
+label. The table is a parameter; `read_suffixes` reads a file in the public suffix list's format (plain rules and
+`*.` rules), and SECOND_LEVEL stands in where none is given.
 
 Defined results: a null url or one without `://` has empty host and path and is judged by all pages' rate; a
 host without labels has its domain's rate, and so on up; rows of repeated page_ids are judged each; pages and
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER
+from .common import UPPER, join_counted, materialise
 
 TOLERANCE = 0.2
 Z = 1.0
@@ -40,14 +45,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels, three under a second-level suffix."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL), F.substring_index(host, ".", -3)).otherwise(two)
+def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """(suffix, labels) of a public suffix file; a rule `*.x` stands for one label more than x."""
+    line = F.lower(F.trim(F.regexp_extract("value", r"^[^\s]*", 0)))
+    rules = spark.read.text(path).select(line.alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//") & ~F.col("rule").startswith("!"))
+    bare = F.regexp_replace("rule", r"^\*\.", "")
+    extra = F.col("rule").startswith("*.").cast("int")
+    return rules.select(bare.alias("suffix"), (F.size(F.split(bare, r"\.")) + extra).alias("labels")).groupBy("suffix").agg(F.max("labels").alias("labels"))
 
 
-def suffix_of(domain: Column) -> Column:
-    return F.when(domain.contains("."), F.regexp_replace(domain, r"(?s)^[^.]*\.", "")).otherwise(F.lit(""))
+def with_domain(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Add domain and suffix to a table of distinct hosts. A suffix table is some ten thousand rows: broadcast."""
+    parts = F.split("host", r"\.")
+    tail = lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), ".")
+    each = hosts.select("host", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("k")).withColumn("suffix", tail(F.col("k")))
+    best = each.join(F.broadcast(suffixes), "suffix").groupBy("host").agg(F.max("labels").alias("labels"))
+    found = hosts.join(best, "host", "left").withColumn("labels", F.least(F.coalesce("labels", F.lit(1)) + 1, F.size(parts)))
+    found = found.withColumn("domain", tail(F.col("labels"))).drop("labels")
+    return found.withColumn("suffix", F.when(F.col("domain").contains("."), F.regexp_replace("domain", r"(?s)^[^.]*\.", "")).otherwise(F.lit("")))
 
 
 def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
@@ -72,38 +87,39 @@ def strength(groups: DataFrame) -> float:
     return STRENGTHS[1] if rho <= 1 / (1 + STRENGTHS[1]) else max(STRENGTHS[0], min(STRENGTHS[1], 1 / rho - 1))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """pages (page_id, host, domain, suffix) and outcomes (page_id, bad 0/1) -> one row per host: host, rate, bound."""
-    seen = pages.join(outcomes, "page_id", "left")
-    hosts = seen.groupBy("host", "domain", "suffix").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.checkpoint()  # one row a host
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """pages (page_id, host) and outcomes (page_id, bad 0/1) -> one row per host: host, pages, rate, bound."""
+    labelled = pages.join(outcomes, "page_id").groupBy("host").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad"))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).join(labelled, "host", "left").na.fill(0, ["n", "bad"])
+    hosts = materialise(with_domain(hosts, suffixes), "url-hosts")  # one row a host
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     n, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
     mean = ((bad or 0) + 0.5) / ((n or 0) + 1.0) if n else 0.0
-    suffixes = suffixes.withColumn("prior", F.lit(mean))
-    suffixes = suffixes.select("suffix", _posterior(strength(suffixes)).alias("prior"))
-    domains = domains.join(suffixes, "suffix")
+    suffix = suffix.withColumn("prior", F.lit(mean))
+    suffix = suffix.select("suffix", _posterior(strength(suffix)).alias("prior"))
+    domains = domains.join(suffix, "suffix")
     domains = domains.select("domain", _posterior(strength(domains)).alias("prior"))
     rated = hosts.join(domains, "domain")
     m = strength(rated)
-    rated = rated.select("host", "n", _posterior(m).alias("rate"))
+    rated = rated.select("host", "pages", "n", _posterior(m).alias("rate"))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.lit(m) + F.col("n") + 1))
-    return rated.select("host", "rate", (F.col("rate") - F.lit(Z) * sd).alias("bound"))
+    return rated.select("host", "pages", "rate", (F.col("rate") - F.lit(Z) * sd).alias("bound"))
 
 
 def _posterior(m: float) -> Column:
     return (F.col("prior") * F.lit(m) + F.col("bad")) / (F.lit(m) + F.col("n"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, rate, bound: one row per row."""
+    if suffixes is None:
+        suffixes = pages.sparkSession.createDataFrame([(x, x.count(".") + 1) for x in SECOND_LEVEL], "suffix string, labels int")
     url = F.col(url_col)
     cut = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    cut = cut.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-    known = reputation(cut.drop("path"), outcomes.select("page_id", "bad"))
+    known = materialise(reputation(cut.drop("path"), outcomes.select("page_id", "bad"), suffixes), "url-known")
     name, verdict = rule_of(F.col("host"), F.col("path"))
-    out = cut.join(known, "host", "left")
+    out = join_counted(cut, known, "host", "pages")
     method = F.when(F.col("bound") > TOLERANCE, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "rate", "bound")
 

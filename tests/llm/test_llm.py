@@ -468,6 +468,56 @@ def test_license_ranking_by_saving():
     assert s.names[best] == "GPL-3.0" and saving > 20
 
 
+def test_license_scan_of_whole_tables_by_containment(spark, sf):
+    """Not by the scanner's own code: every template whose words stand in a document one after the other is found,
+    once for each time it stands there, and nothing is found without the words that it claims to have."""
+    flat = lambda t: re.findall(r"[^\W_]+(?:[.][^\W_]+)*", t.lower())
+    wanted, texts = Counter(), {}
+    for r in documents(spark, sf).collect():
+        words = " " + " ".join(flat(r.text)) + " "
+        texts[r.doc_id] = words
+        taken = []
+        for name, t in sorted(license_scan.TEMPLATES, key=lambda x: -len(x[1])):
+            notice = " " + " ".join(flat(t)) + " "
+            at = words.find(notice)
+            while at >= 0:
+                if not any(a < at + len(notice) - 1 and at < b for a, b in taken):
+                    taken.append((at, at + len(notice) - 1))
+                    wanted[r.doc_id, name] += 1
+                at = words.find(notice, at + 1)
+    got = [r for r in license_scan.op6_license_scan(spark, sf).collect() if r.license]
+    found = Counter((r.doc_id, r.license) for r in got)
+    assert sum(wanted.values()) > 0 and not wanted - found
+    shortest = {n: min(len(set(flat(t))) for m, t in license_scan.TEMPLATES if m == n) for n, _ in license_scan.TEMPLATES}
+    for r in got:
+        best = max(sum(f" {w} " in texts[r.doc_id] for w in set(flat(t))) / len(set(flat(t))) for n, t in license_scan.TEMPLATES if n == r.license)
+        assert best >= 0.8 and shortest[r.license] > 2
+    assert all(r.missing == 0 for r in got if (r.doc_id, r.license) in wanted and found[r.doc_id, r.license] == wanted[r.doc_id, r.license])
+
+
+def test_license_recall_on_wrapped_and_edited_notices(spark, sf):
+    """Notices planted in real documents, wrapped, some with a word or two changed: recall of 0.9 at least."""
+    import textwrap
+
+    rng = np.random.default_rng(11)
+    s = license_scan.Scanner()
+    docs = [r.text for r in documents(spark, sf).collect() if not any(c in r.text.lower() for c in license_scan.CUES)]
+    hit = total = 0
+    for i in range(150):
+        name, t = license_scan.TEMPLATES[i % len(license_scan.TEMPLATES)]
+        w = t.split()
+        for at in rng.choice(len(w), len(w) // 25, replace=False):
+            w[at] = "altered"
+        lines = docs[int(rng.integers(len(docs)))].split("\n")
+        at = int(rng.integers(len(lines) + 1))
+        notice = "\n".join(rng.choice(["", "# ", " * ", "// "]) + x for x in textwrap.wrap(" ".join(w), int(rng.integers(40, 90))))
+        found = [f[3] for f in s.scan("\n".join([*lines[:at], notice, *lines[at:]]))]
+        hit += name in found
+        total += 1
+    print("recall", hit / total)
+    assert hit / total >= 0.9
+
+
 @pytest.mark.parametrize("width", [60, 70, 80])
 def test_license_notices_wrapped(width):
     import textwrap
@@ -517,6 +567,22 @@ def test_url_shrinkage(spark):
     assert verdict[0] == verdict[9000] == "allow" and verdict[5001] == verdict[9001] == "block"
 
 
+def test_url_suffixes_and_hot_hosts(spark, tmp_path, monkeypatch):
+    """A suffix file decides where names are registered; hosts of many pages are broadcast, with the same result."""
+    from docketry.llm import common
+
+    (tmp_path / "psl.txt").write_text("// comment\n\ncom\nuk\nco.uk\nblog.example.com  // private\n*.ck\n!www.ck\n")
+    suffixes = url_filter.read_suffixes(spark, f"file://{tmp_path}/psl.txt")
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.blog.example.com",), ("z.example.com",), ("p.q.r.ck",), ("one",), ("",)], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in url_filter.with_domain(hosts, suffixes).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "uk"), "x.y.blog.example.com": ("y.blog.example.com", "blog.example.com"), "z.example.com": ("example.com", "com"), "p.q.r.ck": ("q.r.ck", "r.ck"), "one": ("one", ""), "": ("", "")}
+    pages = spark.createDataFrame([(i, f"http://h{i % 3}.x.co.uk/{i}") for i in range(60)] + [(None, None)] * 5, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(50)], "page_id long, bad int")
+    want = sorted(rows(url_filter.judge(pages, outcomes, suffixes=suffixes)), key=key)
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    assert sorted(rows(url_filter.judge(pages, outcomes, suffixes=suffixes)), key=key) == want and len(want) == 65
+
+
 # --- 8: sharding
 
 
@@ -598,12 +664,32 @@ def test_toxicity_odd_rows(spark, odd, odd_rows, empty):
     m = toxicity.train(odd, labels)
     assert toxicity.score(odd, m).count() == len(odd_rows)
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+    clash = odd.withColumnsRenamed({"rate": "score", "fp": "threshold"})
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
     none = toxicity.train(odd, labels.limit(0))
     assert {r.score for r in toxicity.score(odd, none).collect()} == {0.0}
     assert toxicity.drop_toxic(odd, labels.limit(0)).count() == len(odd_rows)
     assert rows(toxicity.score(empty, m)) == []
 
 
+def test_toxicity_forward_pass_word_by_word():
+    """The score of a text, place by place and filter by filter, without the model's own vector code."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["good", "fine", "idiot", "tree", "sea", "Straße"], rng.integers(0, 12))) for _ in range(40)]
+    m = toxicity.fit(texts, np.array([int("idiot tree" in t) for t in texts]))
+    for t in [*texts, None, ""]:
+        words = re.findall(r"\w+", (t or "").lower())
+        rows = [[h % (toxicity.BUCKETS - 1) + 1, (h >> 32) % (toxicity.BUCKETS - 1) + 1] for h in map(xxhash.xxh64_intdigest, words)] or [[0, 0]]
+        vectors = [[*m.tables[0][a], *m.tables[1][b]] for a, b in rows] + [[0.0] * 2 * toxicity.DIM] * (max(toxicity.WIDTHS) - 1)
+        pooled = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                places = [m.bias[k][f] + sum(float(vectors[i + j][d]) * float(m.weights[k][j][d][f]) for j in range(width) for d in range(2 * toxicity.DIM)) for i in range(len(rows))]
+                pooled.append(max(0.0, max(places)))
+        z = sum(p * float(o) for p, o in zip(pooled, m.out, strict=True)) + m.out_bias
+        assert abs(m.scores([t])[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
 def test_pieces_score_as_whole_texts(monkeypatch):
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["good", "fine", "idiot", "tree", "sea"], rng.integers(1, 90))) for _ in range(60)]
