@@ -49,7 +49,8 @@ BLOOM_BITS = 10
 BLOOM_PROBES = 7
 FOOTER = struct.Struct("<QQQQQQBB6s")
 MAGIC = b"DKTSS1"
-MEMO = 300_000  # pieces of a generation; a worker keeps two
+MEMO = 250_000  # pieces of a generation; a worker keeps two
+SLICE = 1 << 22
 
 #: White space and separators other than plain ASCII ones (and NUL, the cut mark): such texts are encoded whole.
 ODD = r"[\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -87,8 +88,9 @@ class Encoder:
         rest: list[str] = []
         for p in pieces:
             (joined if SPACED.fullmatch(p) else rest).append(p)
-        runs = [joined[at : at + 512] for at in range(0, len(joined), 512)]
-        for some, e in zip(runs, self.lib.encode_batch_fast(["".join(x) for x in runs], add_special_tokens=False), strict=True):
+        for at in range(0, len(joined), 512):
+            some = joined[at : at + 512]
+            (e,) = self.lib.encode_batch_fast(["".join(some)], add_special_tokens=False)  # one at a time: these are large
             ids = np.array(e.ids, self.dtype)
             first = np.flatnonzero(self.spaced[ids])
             if len(first) != len(some):
@@ -97,8 +99,9 @@ class Encoder:
             cut = [*(first * self.width).tolist(), len(ids) * self.width]
             raw = ids.tobytes()
             self.young.update(zip(some, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-        if rest:
-            for p, e in zip(rest, self.lib.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.young[p] = np.array(e.ids, self.dtype).tobytes()
 
     def known(self, pieces: list[str]) -> list[bytes]:
@@ -287,7 +290,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         out, end, some = Writer(e.width), np.array([end_id], e.dtype).tobytes(), False
         section = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["value"])
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE):
                 for doc_id, ids in zip(b.column(0).to_pylist(), e.batch(b.column(1).cast(pa.string())).to_pylist(), strict=True):
                     some = True
                     if (block := out.add(key_of(doc_id), ids + end)) is not None:
