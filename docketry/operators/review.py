@@ -137,3 +137,72 @@ def flat_evidence(runs: DataFrame) -> DataFrame:
 def rescans(runs: DataFrame, asked: DataFrame) -> DataFrame:
     """The new runs (new_run_id, run_id of the parent): one version up, linked to their parents."""
     return asked.join(runs.select("run_id", "workspace_id", "version_number"), "run_id").select(F.col("new_run_id").alias("run_id"), F.col("run_id").alias("parent_run_id"), "workspace_id", (F.coalesce("version_number", F.lit(1)) + 1).alias("version_number"))
+
+
+def run_summaries(runs: DataFrame, requirements: DataFrame) -> DataFrame:
+    """runs (run_id, ...) with what a listing shows of their requirements, zero where there are none."""
+    counts = requirements.groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("UNKNOWN", "NEEDS_REVIEW")).alias("unresolved"), F.count_if((F.col("category") == "FATAL") & (F.col("status") != "PASS")).alias("fatal"))
+    return runs.join(counts, "run_id", "left").na.fill(0, ["total", "unresolved", "fatal"])
+
+
+def initial_runs(asked: DataFrame, now: Column) -> DataFrame:
+    """A new run's document for each row asked for (run_id, filename)."""
+    empty = F.array().cast("array<string>")
+    state = F.struct(F.lit("INGEST").alias("phase"), F.lit("PROCESSING").alias("status"), empty.alias("review_events"), empty.alias("action_plan"))
+    return asked.select("run_id", "filename", F.lit("PROCESSING").alias("status"), F.lit(1).alias("revision"), F.lit(1).alias("version_number"), F.lit(False).alias("favorite"), empty.alias("tags"), state.alias("state"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def review_packet(requirements: DataFrame) -> DataFrame:
+    """What an independent reviewer is given: open requirements with their source, without any verdict."""
+    return requirements.filter(F.col("status").isin("UNKNOWN", "NEEDS_REVIEW")).select("run_id", "requirement_id", "category", F.left("title", F.lit(160)).alias("title"), locator_label(F.col("source")).alias("locator"), F.left("source.quote", F.lit(240)).alias("quote"))
+
+
+def document_index(fields: DataFrame, doc: str, page: str, name: str) -> DataFrame:
+    """Each document's pages and field names, sorted."""
+    return fields.groupBy(doc).agg(F.sort_array(F.collect_set(page)).alias("pages"), F.sort_array(F.collect_set(name)).alias("fields"))
+
+
+def metric_eligible(entries: DataFrame) -> DataFrame:
+    """Confirmed entries of public sources with a whole digest that were reviewed independently."""
+    return entries.filter((F.col("review_status") == "CONFIRMED") & (F.col("origin") == "public") & (F.length("sha256") == 64) & F.coalesce(F.col("independent"), F.lit(False)))
+
+
+def scored(rows: DataFrame, forbidden: Sequence[str]) -> DataFrame:
+    """Rows that count: no synthetic ids, no forbidden sources, and a score."""
+    bad = F.coalesce("doc_id", F.lit("")).startswith("synthetic-")
+    for prefix in forbidden:
+        bad = bad | F.coalesce("source_url", F.lit("")).startswith(prefix)
+    return rows.filter(~bad & F.col("score").isNotNull())
+
+
+def review_queue(requirements: DataFrame, reviews: DataFrame, confirmed: bool) -> DataFrame:
+    """Requirements whose latest review (by seq) confirms them, or all the others."""
+    last = reviews.groupBy("requirement_id").agg(F.max_by("decision", "seq").alias("decision"))
+    both = requirements.join(last, "requirement_id", "left")
+    done = F.coalesce(F.col("decision").isin("PASS", "CONFIRM"), F.lit(False))
+    return both.filter(done if confirmed else ~done)
+
+
+def with_decisions(ledger: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """A first-pass ledger after independent decisions: a decided row takes the verdict and says by whom."""
+    both = ledger.join(decisions.select(key, F.col("verdict").alias("decided"), F.col("reviewer").alias("by")), key, "left")
+    return both.withColumns({"verdict": F.coalesce("decided", "verdict"), "reviewer": F.coalesce("by", "reviewer"), "second_pass": F.col("decided").isNotNull()}).drop("decided", "by")
+
+
+def dashboard(requirements: DataFrame, *keys: str) -> DataFrame:
+    """Totals, open and decided rows, and the decided share in whole percent."""
+    decided = F.count_if(F.col("status").isin("PASS", "FAIL"))
+    return requirements.groupBy(*keys).agg(F.count("*").alias("total"), (F.count("*") - decided).alias("open"), decided.alias("decided"), F.floor(100 * decided / F.count("*")).alias("percent"))
+
+
+def name_uuid(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of a name: the same for the same name, whoever makes it."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
+    variant = F.element_at(F.split(F.lit("8 9 a b"), " "), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def delivered(rows: DataFrame, at: Column) -> DataFrame:
+    """Mark a delivery: one of two columns takes the time, by how it went."""
+    ok = F.col("succeeded")
+    return rows.withColumns({"delivered_at": F.when(ok, at).otherwise(F.col("delivered_at")), "failed_at": F.when(~ok, at).otherwise(F.col("failed_at"))})

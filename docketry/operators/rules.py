@@ -132,3 +132,27 @@ def overlaps(boxes: DataFrame, others: DataFrame, page: str, item: str) -> DataF
     shared = F.when(F.col("__item").isNotNull(), F.least("hi", "__hi") - F.greatest("lo", "__lo"))  # both skip nulls
     both = boxes.join(b, meet, "left").groupBy(page, item).agg(F.count("__item").alias("touching"), F.coalesce(F.sum(shared), F.lit(0.0)).alias("overlap"))
     return both.withColumn("overlap", F.round("overlap", 6))
+
+
+def locator_or_page(block_label: Column, page_label: Column, page: Column) -> Column:
+    return F.coalesce(block_label, page_label, F.concat(F.lit("第 "), page.cast("string"), F.lit(" 页")))
+
+
+def located(found: DataFrame, pages: DataFrame, doc: str, page: str) -> DataFrame:
+    """Add title and locator to the rows of `scan`: the label of the page's first block that holds the hit, else the
+    page's own. pages: (doc, page, label, blocks array<struct<text, label>>)."""
+    both = found.join(pages.select(doc, page, "label", "blocks").withColumnRenamed("label", "page_label"), [doc, page], "left")
+    block = F.get(F.filter(F.coalesce("blocks", F.array().cast("array<struct<text:string,label:string>>")), lambda b: F.contains(b["text"], F.col("hit")) & b["label"].isNotNull()), 0)
+    return both.withColumns({"title": F.left("quote", F.lit(160)), "locator": locator_or_page(block["label"], F.col("page_label"), F.col(page))}).drop("page_label", "blocks")
+
+
+def with_citation(matched: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add to the rows of `match_evidence` the citation: of the evidence page the first block that holds a term, its
+    place, its quote, the score and the state of its review. pages: (doc, page, text, label, filename, blocks)."""
+    cited = pages.select("doc", F.col("page").alias("evidence_page"), F.col("text").alias("page_text"), F.col("label").alias("page_label"), "filename", "blocks")
+    rows = matched.join(cited, ["doc", "evidence_page"], "left").withColumn("asked", terms(F.col("title"), F.col("category")))
+    block = F.get(F.filter("blocks", lambda b: F.exists("asked", lambda t: F.contains(compact(b["text"]), t))), 0)
+    rows = rows.withColumn("block", block)
+    found = F.col("status") == "NEEDS_REVIEW"
+    quote = F.left(squeezed(F.coalesce("block.text", "page_text")), F.lit(240))
+    return rows.withColumns({"locator": F.when(found, locator_or_page(F.col("block.label"), F.col("page_label"), F.col("evidence_page"))), "evidence_quote": F.when(found, quote), "rule_score": F.when(found, F.size("matched_terms")), "match_review_status": F.when(found, "PENDING")}).drop("asked", "block", "blocks", "page_text", "page_label")

@@ -153,3 +153,18 @@ def slot_issues(seed: DataFrame, manifest: DataFrame) -> DataFrame:
         sha256_mismatch=public & ~lost & (F.lower(F.trim(F.coalesce("sha256", F.lit("")))) != F.col("m_sha")),
     )
     return rows.withColumn("issues", F.when(F.col("again"), F.array(F.lit("duplicate_page"))).otherwise(issues)).drop("again", "document_id", "m_url", "m_sha")
+
+
+def merge_manifest(manifest: DataFrame, fetched: DataFrame) -> DataFrame:
+    """The manifest after a fetch (same columns): a finished row takes the place of the failures of its url; one whose
+    digest or url is finished already is left out; of new rows with one digest the first id stays; failures come in
+    for urls that have no row yet."""
+    old_done, old_off = completed(manifest), failed(manifest)
+    new = completed(fetched)
+    new = new.join(old_done.select("sha256"), "sha256", "left_anti").join(old_done.select("source_url"), "source_url", "left_anti")
+    rest = [c for c in new.columns if c not in ("sha256", "document_id")]
+    new = new.groupBy("sha256").agg(F.min(F.struct("document_id", *rest)).alias("row")).select("sha256", "row.*").select(*manifest.columns)
+    kept_off = old_off.join(new.select("source_url"), "source_url", "left_anti").select(*manifest.columns)
+    known = old_done.select("source_url").unionByName(new.select("source_url")).unionByName(old_off.select("source_url"))
+    new_off = failed(fetched).join(known, "source_url", "left_anti").select(*manifest.columns)
+    return old_done.select(*manifest.columns).unionByName(new).unionByName(kept_off).unionByName(new_off)

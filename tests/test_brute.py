@@ -145,6 +145,13 @@ def test_train_val_split(spark, sf):
     assert a == {r.doc_id: r.split for r in cohorts.hash_split(docs, "doc_id").collect()} and 0.02 < sum(x == "val" for x in a.values()) / len(a) < 0.2
 
 
+def test_run_uuids(spark, sf):
+    import uuid
+
+    got = {r.o_orderkey: r.run_id for r in run(spark, sf, "run_uuids")}
+    assert got == {k: str(uuid.uuid5(uuid.NAMESPACE_URL, f"job:{k}")) for k in got} and len(got) > 1000
+
+
 def shared(a, b, c, d):
     return max(0.0, min(b, d) - max(a, c))
 
