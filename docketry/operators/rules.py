@@ -59,7 +59,8 @@ def polarity(text: Column) -> Column:
 def scan(pages: DataFrame, doc: str, page: str, text: str, patterns: Sequence[tuple[str, str, str]] = PROCUREMENT) -> DataFrame:
     """(doc, page, seq, label, category, at, hit, quote): one row per match, in page, pattern and text order."""
     each = [F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(cat).alias("category"), occurrences(F.col(text), p).alias("found")) for i, (label, cat, p) in enumerate(patterns)]
-    rows = pages.filter(F.col(text).isNotNull()).select(doc, page, text, F.explode(F.array(*each)).alias("r"))
+    some = F.col(text).rlike("(?i)" + "|".join(f"(?:{p})" for _, _, p in patterns))  # most lines hold none; null is none
+    rows = pages.filter(some).select(doc, page, text, F.explode(F.array(*each)).alias("r"))
     rows = rows.select(doc, page, text, "r.rule", "r.label", "r.category", F.posexplode("r.found").alias("n", "f"))
     rows = rows.select(doc, page, "rule", "n", "label", "category", F.col("f.at").alias("at"), F.col("f.hit").alias("hit"), snippet(F.col(text), F.col("f.at"), F.col("f.hit")).alias("quote"))
     return rows.withColumn("seq", F.row_number().over(Window.partitionBy(doc).orderBy(page, "rule", "n")))
