@@ -1,6 +1,11 @@
 """The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, decontamination, BPE.
 
-Each stage takes all the documents that its predecessor kept, written as Parquet and read again."""
+Each stage takes all the documents that its predecessor kept, written as Parquet and read again.
+
+Defined results: a null or empty text is scored as an empty one, equals all others of its kind (the one with the largest
+doc_id stays), is its own near-duplicate class, holds no benchmark passage and has no tokens. Texts of any length are
+read whole. Of repeated rows one stays after exact dedup. A row without a doc_id is never dropped as a near copy. Extra
+columns of any name are carried up to the last stage; an empty table gives an empty result."""
 
 from __future__ import annotations
 
