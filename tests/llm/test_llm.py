@@ -821,6 +821,22 @@ def test_lm_prefers_its_own_language(spark):
     assert lm_score.score_text(net, vocab.of("red apple blue sky green leaf")) > lm_score.score_text(net, vocab.of("apple sky red leaf blue green"))
 
 
+def test_lm_scores_texts_that_occur_twice_apart(spark, sf):
+    """Texts of made-up words, half of them in two documents: a model of the whole corpus finds the second kind likelier."""
+    rng = np.random.default_rng(6)
+    made = [" ".join("".join(rng.choice(list("aeioulnrstdkm"), rng.integers(4, 9))) for _ in range(60)) for _ in range(120)]
+    plain = documents(spark, sf).select("doc_id", "text")
+    twice = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(made + made[:60])], "doc_id long, text string")
+    docs = plain.unionByName(twice).repartition(4)
+    counts = lm_score.count_words(docs)
+    vocab = lm_score.vocabulary(counts)
+    got = {r.doc_id: r.log_prob for r in lm_score.score_words(docs, lm_score.train(docs, vocab), vocab, counts).collect()}
+    two, one = np.array([got[10_000 + i] for i in range(60)]), np.array([got[10_060 + i] for i in range(60)])
+    caught = (two > np.quantile(one, 0.9)).mean()
+    print("caught at 0.9 of the others left alone:", caught)
+    assert caught > 0.9
+
+
 # --- the pipeline
 
 
