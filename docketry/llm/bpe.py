@@ -31,9 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, lean, slices
 
-MEMO = 100_000
+MEMO = 60_000
 SLICE = 1 << 21
 SHORT = 24
 MARK = "<|"  # each special token begins so
@@ -96,7 +96,7 @@ class Codec:
         self.inner, self.last = np.full(512, -1, np.int64), np.full(512, -1, np.int64)  # symbols of a byte's character
         for x in self.byte.values():
             self.inner[ord(x)], self.last[ord(x)] = vocab[x], vocab[x + end]
-        self.words, self.memo = Memo(MEMO), Memo(MEMO)  # -> (ids as decimal numbers, decoded text, number of ids)
+        self.words, self.memo = Memo(MEMO), Memo(MEMO)  # -> ids, as bytes of four each
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merge; -1 where it has none."""
@@ -174,10 +174,8 @@ class Codec:
 
     def learn_words(self, words: list[str]) -> None:
         ids, ends = self.merge(words)
-        offsets = np.concatenate(([0], ends))
-        numbers = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.decimals.take(pa.array(ids))), " ")
-        numbers, texts = (x.to_numpy(zero_copy_only=False).tolist() for x in (numbers, self.decode_lists(pa.array(ids), offsets)))
-        self.words.young.update(zip(words, zip(numbers, texts, np.diff(offsets).tolist(), strict=True), strict=True))
+        raw, cut = ids.astype("<i4").tobytes(), [0, *(ends * 4).tolist()]
+        self.words.young.update(zip(words, [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
 
     def cut_words(self, pieces: list[str]) -> list[list[str]]:
         """The words of each piece without special tokens, each byte as its character."""
@@ -217,17 +215,11 @@ class Codec:
         known, memo = self.words.young, self.memo.young
         rest = iter(cuts[len(pieces) :])
         cuts += [[w for x in part for w in ([x] if x in self.special else next(rest))] for part in parts]
-        of_special = {x: (str(i), x, 1) for x, i in self.special.items()} if special else {}
-        for k, p in enumerate(pieces + special):
-            own = cuts[k if k < len(pieces) else k - len(pieces) - len(special)]
-            if len(own) == 1 and k < len(pieces):
-                memo[p] = known[own[0]]
-            elif own:
-                found = [known[w] for w in own] if k < len(pieces) else [of_special.get(w) or known[w] for w in own]
-                ids, texts, n = zip(*found, strict=True)
-                memo[p] = (" ".join(ids), " ".join(texts), sum(n))
-            else:
-                memo[p] = ("", "", 0)
+        of_special = {x: i.to_bytes(4, "little") for x, i in self.special.items()} if special else {}
+        for p, own in zip(pieces, cuts, strict=False):
+            memo[p] = known[own[0]] if len(own) == 1 else b"".join([known[w] for w in own])
+        for p, own in zip(special, cuts[len(cuts) - len(special) :], strict=True):
+            memo[p] = b"".join([of_special.get(w) or known[w] for w in own])
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
         """For each text the number of ids, the ids as decimal numbers joined by a space, and the decoded text."""
@@ -243,7 +235,9 @@ class Codec:
             self.learn(lacking)
         memo = self.memo.young
         found = [memo[x] for x in names]
-        count = np.fromiter([x[2] for x in found], np.int64, len(found))
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids, of_piece = pa.array(np.frombuffer(b"".join(found), "<i4")), np.concatenate(([0], np.cumsum(count)))
+        numbers = pc.binary_join(pa.ListArray.from_arrays(pa.array(of_piece, pa.int32()), self.decimals.take(ids)), " ")
         where = np.asarray(pieces.indices)
         counts = count[where]
         if not count.all():  # pieces without ids, as between two separators
@@ -251,7 +245,7 @@ class Codec:
             where, counts, offsets = where[keep], counts[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
         total = np.concatenate(([0], np.cumsum(counts)))[offsets]
         where, lists = pa.array(where), pa.array(offsets, pa.int32())
-        joined = [pc.binary_join(pa.ListArray.from_arrays(lists, pa.array([x[k] for x in found], pa.string()).take(where)), " ") for k in (0, 1)]
+        joined = [pc.binary_join(pa.ListArray.from_arrays(lists, x.take(where)), " ") for x in (numbers, self.decode_lists(ids, of_piece))]
         return np.diff(total), *joined
 
 
@@ -279,7 +273,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(content.value)
-        for whole in batches:
+        for whole in lean(batches):
             for b in slices(whole, 1, SLICE):
                 n, ids, texts = c.batch(b.column(1).cast(pa.string()))
                 more = [pa.array([list(map(int, x.split())) for x in ids.to_pylist()], pa.list_(pa.int32())), texts] if full else []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,3 +79,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[
         end = max(at + 1, int(np.searchsorted(size, size[at] + most, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each, free memory goes back to the system, as idle Python workers stay beside the JVM."""
+    libc = ctypes.CDLL(None)
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, materialise, unused
+from .common import documents, join_counted, lean, materialise, unused
 
 RADIUS = 3
 SHINGLE = 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text_hash, fp): one row per row; text_hash tells rows with one doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             fp = np.array([fingerprint(t) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["doc_id", "text_hash", "fp"])
 
@@ -336,7 +336,7 @@ def _pair_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lean(batches):
         nodes, bits = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 256), np.uint8)
         for i, t in enumerate(b.column(2)):
             nodes[i], h = shingles(t.as_py())
@@ -348,7 +348,7 @@ def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     longs = pa.list_(pa.int64())
-    for b in batches:
+    for b in lean(batches):
         for node, t in zip(b.column(0), b.column(1), strict=True):
             h = shingles(t.as_py())[1]
             fine = np.packbits(wide_bits(h, FINE), bitorder="little").view(np.int64)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import documents, materialise, scratch, slices
+from .common import documents, lean, materialise, scratch, slices
 
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS = 10
@@ -289,7 +289,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
         e = encoder(content.value)
         out, end, some = Writer(e.width), np.array([end_id], e.dtype).tobytes(), False
         section = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["value"])
-        for whole in batches:
+        for whole in lean(batches):
             for b in slices(whole, 1, SLICE):
                 for doc_id, ids in zip(b.column(0).to_pylist(), e.batch(b.column(1).cast(pa.string())).to_pylist(), strict=True):
                     some = True

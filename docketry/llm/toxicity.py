@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, slices, unused
+from .common import documents, lean, materialise, slices, unused
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -247,7 +247,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, 2, SLICE)):
+        for b in (s for whole in lean(batches) for s in slices(whole, 2, SLICE)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(shared.value.scores(b.column(2).to_pylist()))], ["doc_id", "held_out", "lang", "score"])
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -276,7 +276,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     (name,) = unused(docs, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for whole in batches for s in slices(whole, whole.schema.get_field_index(text_col), SLICE)):
+        for b in (s for whole in lean(batches) for s in slices(whole, whole.schema.get_field_index(text_col), SLICE)):
             yield b.append_column(name, pa.array(shared.value.scores(b.column(text_col).to_pylist())))
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
