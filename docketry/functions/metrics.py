@@ -174,3 +174,13 @@ def gate(**metrics: Column) -> Column:
         m = metrics[name]
         ok = ok & F.coalesce(m <= bound if kind == "max" else m >= bound, F.lit(False))
     return F.when(ok, F.lit("GATE_PASS")).otherwise(F.lit("GATE_FAIL"))
+
+
+def prepared(text: Column, lines: Column) -> Column:
+    """A page's lines before line CER: of a contents page they are cut and joined anew, of the others each is redacted;
+    no page is left out. `text` is the truth's, which says what kind of page it is."""
+    from docketry.functions.text import is_toc, norm_each, redact_each
+
+    clean = redact_each(lines)
+    kept = F.filter(F.arrays_zip(clean.alias("x"), norm_each(clean).alias("n")), lambda z: z["n"] != "")
+    return F.when(is_toc(text), toc_lines(clean)).otherwise(F.transform(kept, lambda z: z["x"]))

@@ -119,3 +119,20 @@ def lines_in_grid(lines: DataFrame, grid: DataFrame, page: str) -> DataFrame:
     parts = best.withColumn("part", F.explode(F.arrays_zip(F.col("cells.col").alias("col"), split_over(F.col("text"), spans).alias("text"))))
     parts = parts.select(page, "row", "part.col", F.struct(((F.col("y0") + F.col("y1")) / 2).alias("at"), F.col("x0"), F.trim("part.text").alias("text")).alias("p")).filter(F.col("p.text") != "")
     return parts.groupBy(page, "row", "col").agg(texts.squeezed(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "")).alias("text"))
+
+
+def line_boxes(lines: DataFrame, *keys: str) -> DataFrame:
+    """Recognised lines (keys, lines array<struct<text, confidence, box array<array<double>>>>) -> one row a line with
+    its number and the box around its corners; lines without text or corners are left out."""
+    each = lines.select(*keys, F.posexplode("lines").alias("line", "l")).filter((F.trim("l.text") != "") & (F.size("l.box") > 0))
+    edge = lambda f, k: f(F.transform("l.box", lambda p: F.get(p, k)))
+    return each.select(*keys, "line", F.trim("l.text").alias("text"), F.col("l.confidence").alias("confidence"), edge(F.array_min, 0).alias("x0"), edge(F.array_min, 1).alias("y0"), edge(F.array_max, 0).alias("x1"), edge(F.array_max, 1).alias("y1"))
+
+
+def best_overlap(tables: DataFrame, doc: str, seq: str, least: float = 0.5) -> DataFrame:
+    """Of tables (doc, seq, rows, page_text) the one whose cells stand in the page's text most, the first of equals, if
+    that share is `least` at least."""
+    rows = tables.withColumn("flat", F.flatten(clean_rows(F.col("rows"))))
+    rows = rows.withColumns({"flat_n": texts.norm_each(F.col("flat")), "text_n": texts.norm(F.col("page_text"))})
+    rows = rows.withColumn("share", support(F.col("flat_n"), F.col("text_n"))).filter(F.col("share") >= least)
+    return rows.groupBy(doc).agg(F.max_by(F.struct(seq, "share"), F.struct("share", -F.col(seq))).alias("t")).select(doc, "t.*")

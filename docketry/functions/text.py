@@ -233,3 +233,20 @@ def harvested(line: Column) -> Column:
 
 def sparse(text: Column, least: int = 50) -> Column:
     return F.length(F.trim(F.coalesce(text, F.lit("")))) < least
+
+
+def redact_each(lines: Column) -> Column:
+    """Each plain line of an array redacted by itself."""
+
+    def clean(x: Column) -> Column:
+        x = F.regexp_replace(x, "　", " ")
+        for pattern, mark in REDACTIONS:
+            x = F.regexp_replace(x, pattern, mark)
+        return x
+
+    return F.transform(nfkc_each(lines), clean)
+
+
+def fetch_outcome(code: Column, size: Column, magic_ok: Column, most: int = 50_000_000) -> Column:
+    """Why a fetched file does not count; ok if it does."""
+    return F.when(code.isNull(), "unreachable").when(code != 200, F.concat(F.lit("http_"), code.cast("string"))).when(size == 0, "empty").when(size > most, "too_large").when(~magic_ok, "not_a_pdf").otherwise("ok")

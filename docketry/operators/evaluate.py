@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.metrics import cer
+
 MEASURABLE_FROM = 20
 
 
@@ -48,3 +50,18 @@ def last_fields(rows: DataFrame, line: str = "line") -> DataFrame:
     """Explode (doc_id, line, fields array<struct<name, value>>); the last line's value wins."""
     each = rows.select("doc_id", line, F.posexplode("fields").alias("n", "f")).filter(F.trim("f.value") != "")
     return each.groupBy("doc_id", F.col("f.name").alias("name")).agg(F.max_by("f.value", F.struct(line, "n")).alias("value"))
+
+
+def page_rows(truth: DataFrame, guess: DataFrame, mode: str) -> DataFrame:
+    """truth (doc_id, page, text_n, fields_n array) and guess (doc_id, page, text_n, line), texts normalised: each page
+    of the truth against the last guess of its key: cer, and how many of its fields' values the guess holds."""
+    last = guess.groupBy("doc_id", "page").agg(F.max_by("text_n", F.struct("line", "text_n")).alias("guess_n"))
+    both = truth.join(last, ["doc_id", "page"], "left").withColumn("guess_n", F.coalesce("guess_n", F.lit("")))
+    hits = F.size(F.filter("fields_n", lambda f: F.contains(F.col("guess_n"), f)))
+    return both.select("doc_id", "page", F.lit(mode).alias("mode"), cer(F.col("text_n"), F.col("guess_n")).alias("cer"), hits.alias("field_hits"), F.size("fields_n").alias("field_total"))
+
+
+def fetch_summary(outcomes: DataFrame, *keys: str) -> DataFrame:
+    """How many fetches there were, how many went well, and how many failed by no answer and by a bad one."""
+    o = F.col("outcome")
+    return outcomes.groupBy(*keys).agg(F.count("*").alias("fetched"), F.count_if(o == "ok").alias("ok"), F.count_if(o == "unreachable").alias("unreachable"), F.count_if((o != "ok") & (o != "unreachable")).alias("bad"))

@@ -206,3 +206,17 @@ def delivered(rows: DataFrame, at: Column) -> DataFrame:
     """Mark a delivery: one of two columns takes the time, by how it went."""
     ok = F.col("succeeded")
     return rows.withColumns({"delivered_at": F.when(ok, at).otherwise(F.col("delivered_at")), "failed_at": F.when(~ok, at).otherwise(F.col("failed_at"))})
+
+
+def candidate_ledger(fixtures: DataFrame, digests: DataFrame, rejections: DataFrame) -> DataFrame:
+    """fixtures (fixture_id, sha256, candidates array<struct<category, page, quote>>) flattened, one row a candidate, with
+    whether the file at hand is the one that was read (digests: fixture_id, sha256) and why a category was rejected."""
+    each = fixtures.select("fixture_id", "sha256", F.posexplode("candidates").alias("seq", "c")).select("fixture_id", "sha256", "seq", "c.*")
+    both = each.join(digests.select("fixture_id", F.col("sha256").alias("at_hand")), "fixture_id", "left").join(rejections, ["fixture_id", "category"], "left")
+    source = F.when(F.col("at_hand").isNull(), "MISSING").when(F.col("at_hand") != F.col("sha256"), "CHANGED").otherwise("VERIFIED")
+    return both.withColumn("source_status", source).drop("at_hand", "sha256")
+
+
+def source_file(documents: Column, source_id: Column) -> Column:
+    """The entry of a run's documents with an id; null if it has none."""
+    return F.get(F.filter(documents, lambda d: d["source_id"] == source_id), 0)

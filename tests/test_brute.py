@@ -145,6 +145,23 @@ def test_train_val_split(spark, sf):
     assert a == {r.doc_id: r.split for r in cohorts.hash_split(docs, "doc_id").collect()} and 0.02 < sum(x == "val" for x in a.values()) / len(a) < 0.2
 
 
+def test_prepared_pages(spark, sf):
+    def contents(lines):
+        out = [SPACE.sub("", unicodedata.normalize("NFKC", re.sub(r"^[.．,，、]+|[.．,，、]+$", "", re.sub(r"[.．。·∙•…]{2,}", "", x)))).lower() for x in lines]
+        merged = []
+        for x in (y for y in out if y):  # no heading and no chapter marks in these texts
+            if re.fullmatch(r"\d{1,4}", x) and merged and not merged[-1].endswith(x):
+                merged[-1] += x
+            else:
+                merged.append(x)
+        return merged
+
+    for r, d in zip(sorted(run(spark, sf, "prepared_pages"), key=lambda r: r.doc_id), sorted(table(spark, sf, "documents"), key=lambda r: r.doc_id), strict=True):
+        lines = [redacted(x) for x in d.text.split("\n")]
+        want = contents(lines) if d.doc_id % 3 == 0 else [x for x in lines if SPACE.sub("", unicodedata.normalize("NFKC", x))]
+        assert r.lines == want, d.doc_id
+
+
 def test_run_uuids(spark, sf):
     import uuid
 
