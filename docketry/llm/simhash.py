@@ -54,6 +54,8 @@ FINE = 1024
 FINE_NEAR = 190
 WIDE = np.random.default_rng(64).integers(0, 1 << 63, FINE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
 SAMPLES = np.stack([np.random.default_rng(i).choice(256, BAND, replace=False) for i in range(BANDS)])
+BAND_BITS = np.zeros((BANDS, 4), np.uint64)  # the bits of each band among the first 256
+np.bitwise_or.at(BAND_BITS, (np.arange(BANDS)[:, None], SAMPLES // 64), np.uint64(1) << (SAMPLES % 64).astype(np.uint64))
 ALL = (1 << 64) - 1
 
 
@@ -299,9 +301,17 @@ def bands(bits: np.ndarray) -> np.ndarray:
     return (keys[:, :, 0] << 8 | keys[:, :, 1]) + (np.arange(BANDS, dtype=np.int32) << BAND)
 
 
-def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.ndarray, fine: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def first_band(apart: np.ndarray) -> np.ndarray:
+    """For pairs, (n, 4) words of the bits in which they differ: the first band on all of whose bits they agree."""
+    first = np.full(len(apart), BANDS)
+    for b in reversed(range(BANDS)):
+        first[~(apart & BAND_BITS[b]).any(1)] = b
+    return first
+
+
+def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.ndarray, fine: np.ndarray | None, band: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of lanes of different groups at most NEAR bits apart: those of a forest of a bucket's groups, by growing
-    radius; or, with the bits of `fine`, every pair at most FINE_NEAR of these apart."""
+    radius; or, with the bits of `fine`, every pair at most FINE_NEAR of these apart, in the first band that it shares."""
     first = np.arange(len(fp)) - rank
     order = np.lexsort((group, first))
     new = np.concatenate(([True], (first[order][1:] != first[order][:-1]) | (group[order][1:] != group[order][:-1])))
@@ -313,7 +323,9 @@ def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.nda
             apart = lab[i] != lab[j]
             i, j = i[apart], j[apart]
             if fine is not None and len(i):
-                close = np.bitwise_count(fine[i] ^ fine[j]).sum(1) <= FINE_NEAR
+                differ = fine[i] ^ fine[j]
+                close = np.flatnonzero(np.bitwise_count(differ).sum(1) <= FINE_NEAR)
+                close = close[first_band(differ[close, :4]) == band[i[close]]]
                 i, j = i[close], j[close]
             if not len(i):
                 continue
@@ -331,7 +343,7 @@ def _pair_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     FINE bits in the further columns every pair, else forests."""
     for rows, rank, size in _whole_buckets(batches, 1):
         node, fine = rows[:, 3], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
-        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, rows[:, 4], fine if fine.shape[1] else None):
+        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, rows[:, 4], fine if fine.shape[1] else None, rows[:, 0] >> BAND):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 

@@ -235,6 +235,20 @@ def test_stage_on_a_large_group_of_copies(spark):
     assert sum(listed) < 0.2 * 1501 * 1500 / 2, listed  # a third of the group is barely not alike
 
 
+def test_first_band_of_a_pair():
+    """The band in which a pair is listed is the first in which its bucket numbers agree."""
+    rng = np.random.default_rng(3)
+    h = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(6)]
+    h += [np.concatenate([x[:170], rng.integers(0, 1 << 63, 30, dtype=np.uint64)]) for x in h]
+    fine = np.stack([np.packbits(simhash.wide_bits(x, simhash.FINE), bitorder="little").view(np.uint64) for x in h])
+    keys = simhash.bands(np.stack([simhash.wide_bits(x) for x in h]))
+    for i in range(12):
+        for j in range(12):
+            same = np.flatnonzero(keys[i] == keys[j])
+            assert simhash.first_band((fine[i] ^ fine[j])[None, :4])[0] == (same[0] if len(same) else simhash.BANDS)
+    assert any(0 < (keys[i] == keys[i + 6]).sum() < 64 for i in range(6))
+
+
 def test_rows_meet_their_component_by_key_counts(spark, odd, odd_rows, monkeypatch):
     """Keys of many rows are broadcast, the others shuffle; the result is the same."""
     from docketry.llm import common
