@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import bpe, decontaminate, exact_dedup, license_scan, lm_score, sharding, simhash, sstable, toxicity, url_filter
+    from . import bpe, decontaminate, exact_dedup, license_scan, lm_score, periodic_runs, phrases, sentencepieces, sharding, simhash, sstable, toxicity, url_filter
 
     return {
         "op1_sstable": sstable.op1_sstable,
@@ -21,10 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_lm_score": lm_score.op10_lm_score,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_sentencepieces": sentencepieces.op12_sentencepieces,
+        "op13_phrases": phrases.op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, exact_dedup, url_filter
+    from . import decontaminate, exact_dedup, phrases, url_filter
 
-    return {"op3_decontaminate": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op7_url_filter": url_filter.ORACLE, "op13_phrases": phrases.ORACLE}

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[
         at = end
 
 
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words between ASCII white space of all texts, one after the other, and where each text's begin; null has none."""
+    cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    values, offsets = cut.flatten(), np.asarray(cut.offsets).astype(np.int64)
+    real = np.asarray(pc.not_equal(values, ""))  # white space at a text's ends leaves empty ones
+    return values.filter(pa.array(real)).dictionary_encode(), np.concatenate(([0], np.cumsum(real)))[offsets - offsets[0]]
+
+
 def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; after each, free memory goes back to the system, as idle Python workers stay beside the JVM."""
     libc = ctypes.CDLL(None)
