@@ -15,10 +15,47 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+CHUNKS = 64  # of a window's length
+
+
+def windowed(events: DataFrame, keys: Sequence[str], ts: str, seconds: Column, oldest: bool = False) -> DataFrame:
+    """Add `hits`, the key's events in the window that ends at each event and is open at its start, and if asked for
+    `oldest`, the microsecond of the first of them. seconds may depend on the keys.
+
+    A key's timeline is cut into chunks of a 64th of the window, so that no task holds a key. The window of an event in
+    chunk c is what chunk c has up to it, all of the chunks between, and of chunk c - 64 what comes after the window's
+    start. An event therefore goes to two chunks: to its own and, moved on by a window's length, to the one whose windows
+    start around it; there a running sum over both counts it in or out. Counts of whole chunks are aggregated before the
+    shuffle and summed over at most 64. An event without a time has no hits."""
+    rows = events.withColumns({"__t": micros(F.col(ts)), "__w": seconds.cast("long") * 1_000_000})
+    chunk = lambda at: F.expr(f"({at} - pmod({at}, __w div {CHUNKS})) div (__w div {CHUNKS})")
+    row = F.struct(*events.columns)
+    sides = F.array(F.struct(F.lit(1).alias("side"), F.col("__t").alias("at"), row.alias("row")), F.struct(F.lit(-1).alias("side"), (F.col("__t") + F.col("__w")).alias("at"), F.lit(None).alias("row")))
+    known = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    names = [f"__k{i}" for i in range(len(keys))]
+    sent = rows.filter("__t is not null").select(*known, "__w", F.explode(sides).alias("s")).select(*names, "__w", "s.*").withColumn("chunk", chunk("at"))
+    cell = Window.partitionBy(*names, "chunk")
+    seen = sent.withColumn("running", F.sum("side").over(cell.orderBy("at")))
+    if oldest:
+        own, moved = F.when(F.col("side") == 1, F.col("at")), F.when(F.col("side") == -1, F.col("at") - F.col("__w"))
+        seen = seen.withColumns({"own_first": F.min(own).over(cell.orderBy("at")), "start_first": F.min(moved).over(cell.orderBy(-F.col("at")).rangeBetween(Window.unboundedPreceding, -1))})
+    each = rows.filter("__t is not null").select(*known, chunk("__t").alias("chunk"), "__t").groupBy(*names, "chunk").agg(F.count("*").alias("n"), F.min("__t").alias("first"))
+    past = Window.partitionBy(*names).orderBy("chunk")
+    whole = each.select(*(F.col(x).alias(f"{x}_") for x in names), F.col("chunk").alias("chunk_"), F.sum("n").over(past.rangeBetween(-CHUNKS, -1)).alias("before"), F.min("first").over(past.rangeBetween(1 - CHUNKS, -1)).alias("between_first"))
+    same = F.col("chunk") == F.col("chunk_")
+    for x in names:
+        same = same & F.col(x).eqNullSafe(F.col(f"{x}_"))
+    found = seen.filter("side = 1").join(whole, same)
+    out = {"hits": F.coalesce("before", F.lit(0)) + F.col("running")}
+    if oldest:
+        out["oldest"] = F.coalesce("start_first", "between_first", "own_first")
+    done = found.select("row.*", *(v.alias(k) for k, v in out.items()))
+    return done.unionByName(rows.filter("__t is null").select(*events.columns, *(F.lit(None).cast("long").alias(k) for k in out)))
+
+
 def sliding_hits(events: DataFrame, keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
     """Hits of the key in the window that ends at each event and is open at its start."""
-    w = Window.partitionBy(*keys).orderBy(micros(F.col(ts))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("hits", F.count("*").over(w))
+    return windowed(events, keys, ts, F.lit(seconds))
 
 
 def fixed_windows(events: DataFrame, key: str, ts: str, order: str, seconds: int, most: int) -> DataFrame:
@@ -51,12 +88,31 @@ def chain_hash(prev: Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(prev, F.lit("")), *(p.cast("string") for p in parts)), 256)
 
 
-def verify_chain(rows: DataFrame, scope: str, order: str, parts: Sequence[str]) -> DataFrame:
-    """The first broken row per scope. Each row is checked against its stored predecessor, so rows verify in parallel."""
-    w = Window.partitionBy(scope).orderBy(order)
-    seen = rows.withColumn("before", F.coalesce(F.lag("event_hash").over(w), F.lit("")))
-    bad = (F.coalesce(F.col("prev_hash"), F.lit("")) != F.col("before")) | (F.col("event_hash") != chain_hash(F.col("prev_hash"), *map(F.col, parts)))
-    return seen.groupBy(scope).agg(F.count("*").alias("events"), F.min(F.when(bad, F.col(order))).alias("first_break"))
+RANGES = 64
+
+
+def verify_chain(rows: DataFrame, scope: str, order: str, parts: Sequence[str], ranges: int = RANGES) -> DataFrame:
+    """The first broken row per scope. Each row is checked against its stored predecessor, so rows verify in parallel.
+
+    The order is cut into ranges of about as many rows (by approximate percentiles, one aggregate), which all scopes share:
+    a scope of any size is spread over them, and only one of few rows has them to itself. Inside its range a row has its
+    predecessor by a window; a range hands its last hash on to the scope's next range by the ranges' numbers."""
+    cuts = rows.agg(F.percentile_approx(F.col(order), [i / ranges for i in range(1, ranges)], 100 * ranges).alias("__cuts"))
+    placed = rows.join(F.broadcast(cuts)).withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))).drop("__cuts")
+    w = Window.partitionBy(scope, "__range").orderBy(order)
+    before, prev = F.coalesce("__before", F.lit("")), F.coalesce("prev_hash", F.lit(""))
+    wrong = ~F.col("event_hash").eqNullSafe(chain_hash(F.col("prev_hash"), *map(F.col, parts)))
+    seen = placed.withColumns({"__before": F.lag("event_hash").over(w), "__first": F.row_number().over(w) == 1})
+    bad = wrong | (~F.col("__first") & (prev != before))
+    cells = seen.groupBy(scope, "__range").agg(
+        F.count("*").alias("n"),
+        F.min(F.when(bad, F.col(order))).alias("bad"),
+        F.min(F.when(F.col("__first"), F.struct(F.col(order).alias("order"), prev.alias("prev")))).alias("head"),
+        F.max(F.struct(F.col(order).alias("order"), F.coalesce("event_hash", F.lit("")).alias("hash"))).alias("tail"),
+    )
+    handed = F.coalesce(F.lag("tail.hash").over(Window.partitionBy(scope).orderBy("__range")), F.lit(""))
+    joint = cells.withColumn("bad", F.least("bad", F.when(handed != F.col("head.prev"), F.col("head.order"))))
+    return joint.groupBy(scope).agg(F.sum("n").alias("events"), F.min("bad").alias("first_break"))
 
 
 def due_alerts(items: DataFrame, due: str, today: Column, days: int = 3) -> DataFrame:
@@ -112,16 +168,12 @@ LIMITS = {"login": (5, 900), "mfa": (8, 300), "token-auth": (20, 300), "write":
 
 def limited(events: DataFrame, scope: str, bucket: str, ts: str, limits: dict[str, tuple[int, int]] = LIMITS) -> DataFrame:
     """Each event of a named limit with the hits in its window, whether it is rejected (the window is full with it),
-    and then after how many seconds the oldest hit leaves."""
-    out = None
-    for name, (most, seconds) in limits.items():
-        w = Window.partitionBy(scope, bucket).orderBy(micros(F.col(ts))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-        rows = events.filter(F.col(scope) == name).withColumns({"hits": F.count("*").over(w), "oldest": F.min(micros(F.col(ts))).over(w)})
-        rejected = F.col("hits") >= most
-        wait = F.greatest(F.lit(1), F.floor(seconds - (micros(F.col(ts)) - F.col("oldest")) / 1_000_000).cast("int"))
-        rows = rows.withColumns({"rejected": rejected, "retry_after": F.when(rejected, wait)}).drop("oldest")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    and then after how many seconds the oldest hit leaves. All limits share one shuffle, see `windowed`."""
+    by_scope = lambda i: F.coalesce(*(F.when(F.col(scope) == name, F.lit(limit[i])) for name, limit in limits.items()))
+    rows = windowed(events.filter(F.col(scope).isin(*limits)), [scope, bucket], ts, by_scope(1), oldest=True)
+    rejected = F.col("hits") >= by_scope(0)
+    wait = F.greatest(F.lit(1), F.floor(by_scope(1) - (micros(F.col(ts)) - F.col("oldest")) / 1_000_000).cast("int"))
+    return rows.withColumns({"rejected": rejected, "retry_after": F.when(rejected, wait)}).drop("oldest")
 
 
 def cooled(events: DataFrame, key: str, ts: str, order: str, seconds: int) -> DataFrame:
@@ -132,11 +184,17 @@ def cooled(events: DataFrame, key: str, ts: str, order: str, seconds: int) -> Da
 
 
 def attempts_left(tries: DataFrame, key: str, order: str, most: int = 5) -> DataFrame:
-    """tries (key, order, ok) of a challenge: what each gives. The first success within `most` tries consumes it."""
+    """tries (key, order, ok) of a challenge: what each gives. The first success within `most` tries consumes it.
+
+    A challenge is two values: the order of its first success and that of its last try that counts. Both come from
+    aggregates that combine before the shuffle, so a challenge of any size is spread over the tasks."""
+    first = tries.groupBy(key).agg(F.min(F.when(F.col("ok"), F.col(order))).alias("__ok"))
     w = Window.partitionBy(key).orderBy(order)
-    seen = tries.withColumns({"n": F.row_number().over(w), "before": F.count_if(F.col("ok")).over(w.rowsBetween(Window.unboundedPreceding, -1))})
-    result = F.when(F.col("before") > 0, "CONSUMED").when(F.col("n") > most, "EXHAUSTED").when(F.col("ok"), "ACCEPTED").otherwise("WRONG")
-    return seen.withColumn("result", result).drop("n", "before")
+    last = tries.select(key, order).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).groupBy(key).agg(F.max(order).alias("__last"))
+    ends = first.withColumnRenamed(key, "__key").unionByName(last.withColumnRenamed(key, "__key"), allowMissingColumns=True).groupBy("__key").agg(F.min("__ok").alias("__ok"), F.max("__last").alias("__last"))
+    seen = tries.join(ends, F.col(key).eqNullSafe(F.col("__key")))
+    result = F.when(F.col("__ok") < F.col(order), "CONSUMED").when(F.col(order) > F.col("__last"), "EXHAUSTED").when(F.col("ok"), "ACCEPTED").otherwise("WRONG")
+    return seen.withColumn("result", result).drop("__key", "__ok", "__last")
 
 
 def due_message(days_left: Column, title: Column) -> Column:
