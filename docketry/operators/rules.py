@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions.text import compact, squeezed
+from docketry.operators.termscan import term_hits
 
 #: Fixed values: (label, category, pattern) of the procurement lexicon.
 PROCUREMENT = (
@@ -85,17 +86,21 @@ def match_evidence(requirements: DataFrame, evidence: DataFrame) -> DataFrame:
     matched_terms and the first page that holds a term by itself.
 
     Terms are looked for in all pages joined without white space, so a term may run over a page break; pages
-    whose recognition failed are left out. A match is NEEDS_REVIEW, never PASS."""
-    good = evidence.filter(~F.coalesce(F.col("ocr_status") == "FAILED", F.lit(False))).select("doc", "page", compact(F.col("text")).alias("c"))
-    pages = good.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "c"))).alias("pages"))
-    rows = requirements.join(pages, "doc", "left").withColumn("terms", terms(F.col("title"), F.col("category")))
-    whole = F.array_join(F.transform("pages", lambda p: p["c"]), "")
-    rows = rows.withColumn("whole", whole)
-    rows = rows.withColumn("matched_terms", F.expr("filter(terms, t -> contains(coalesce(whole, ''), t))"))
-    rows = rows.withColumn("evidence_page", F.expr("get(filter(pages, p -> exists(terms, t -> contains(p.c, t))), 0).page"))
+    whose recognition failed are left out. A match is NEEDS_REVIEW, never PASS. The text is read once, by
+    `termscan.term_hits`, and does not stand beside the requirements."""
+    good = evidence.filter(~F.coalesce(F.col("ocr_status") == "FAILED", F.lit(False))).select("doc", "page", compact(F.col("text")).alias("text"))
+    key = ["doc", "title", "category"]
+    asked = requirements.select(*key).distinct().select(*key, F.posexplode(terms(F.col("title"), F.col("category"))).alias("at", "term"))
+    hits = term_hits(asked.select("doc", "term"), good)
+    found = asked.join(hits, ["doc", "term"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("found"), F.min("page").alias("evidence_page"))
+    found = found.select(*(F.col(k).alias(f"__{k}") for k in key), F.col("found.term").alias("__terms"), "evidence_page")
+    same = F.lit(True)
+    for k in key:
+        same = same & requirements[k].eqNullSafe(F.col(f"__{k}"))
+    rows = requirements.join(found, same, "left").withColumn("matched_terms", F.coalesce("__terms", F.array().cast("array<string>"))).drop("__terms", *(f"__{k}" for k in key))
     hit = (F.size("matched_terms") > 0) & F.col("evidence_page").isNotNull()
     status = F.when(~F.col("category").isin(*EVIDENCE_CATEGORIES), F.lit(None)).when(hit, "NEEDS_REVIEW").otherwise("UNKNOWN")
-    return rows.withColumn("status", status).withColumn("suggested_status", F.when(F.col("status") == "NEEDS_REVIEW", "PASS")).drop("pages", "whole", "terms")
+    return rows.withColumn("status", status).withColumn("suggested_status", F.when(F.col("status") == "NEEDS_REVIEW", "PASS"))
 
 
 #: Terms that make a candidate of a category strong, and patterns with their bonus.
