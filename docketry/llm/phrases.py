@@ -6,10 +6,10 @@ occurs ceil(support * w / W) times in one shard at least. So:
 
 1. all words are counted (pass one);
 2. each shard (some two million places of a task, memory is bounded by that) is mined completely at that lowered support,
-   pairs first and longer phrases where all their pairs are left over; it sends a 64-bit hash and a count for each locally
-   frequent phrase. The union is the candidates. A phrase that a shard doesn't send occurs there less often than the local
-   support, so a candidate stays only if its sent counts and those gaps can reach the support: two phrases of one hash
-   only add up, none is lost;
+   pairs first and longer phrases where all their pairs are left over; it sends the slot of a hash and a count for each
+   locally frequent phrase, as compressed lists by ranges of slots, about one byte and a half a phrase. The union is the
+   candidates. A phrase that a shard doesn't send occurs there less often than the local support, so a slot stays only if
+   its sent counts and those gaps can reach the support: two phrases of one slot only add up, none is lost;
 3. every candidate's words are counted over all texts, exactly, by the words themselves.
 
 With many shards the local support is 1 and a shard sends each of its phrases once; what bounds the rows then are the
@@ -25,11 +25,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ from .common import documents, lean, materialise, slices, words_of
 
 SUPPORT, MAX_WORDS, TOP, CONTAINED = 30, 4, 2000, 80
 SLICE, PLACES = 1 << 22, 1 << 21
+RANGE = 1 << 21  # places in all texts for each range of slots
 FILTER_BITS = 1 << 27
 MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\n\v\f\r", np.uint8))
 BLANKS = MARKS | np.isin(np.arange(256), np.frombuffer(b" \t", np.uint8))
@@ -66,10 +69,11 @@ class Words:
         self.langs, self.lang = langs.dictionary.to_pylist(), np.asarray(langs.indices)[doc]
 
     def hashes(self, most: int) -> list[np.ndarray]:
-        """Of the phrases of 1, 2, ... words that begin at each place; no phrase of more words than are left."""
-        of_word = np.fromiter((xxhash.xxh64_intdigest(x) for x in self.words.cast(pa.binary()).to_pylist()), np.uint64, len(self.words))[self.code]
+        """Of each place the word's own hash, as Spark's xxhash64, and those of the phrases of 1, 2, ... words that begin
+        there, with the language; no phrase of more words than are left."""
+        of_word = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in self.words.cast(pa.binary()).to_pylist()), np.uint64, len(self.words))[self.code]
         h = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 1) for x in self.langs), np.uint64, len(self.langs))[self.lang]
-        out = []
+        out = [of_word]
         for k in range(min(most, len(of_word))):
             h = mixed(h[: len(h) - (k > 0)] ^ of_word[k:])
             out.append(h)
@@ -86,6 +90,24 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Slots(NamedTuple):
+    """How hashes fall into slots, some 16 for each place in all texts, and slots into ranges."""
+
+    bits: int
+    range_bits: int
+
+    @classmethod
+    def of(cls, places: int) -> Slots:
+        return cls(min(63, max(20, (16 * places).bit_length())), min(20, (places // RANGE).bit_length()))
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return h >> np.uint64(64 - self.bits)
+
+    def key(self, h: np.ndarray) -> np.ndarray:
+        """What a filter of slots holds."""
+        return mixed(self.slot(h))
+
+
 class Filter:
     """A Bloom filter of hashes, two bits each."""
 
@@ -100,20 +122,32 @@ class Filter:
         return ((self.words[a >> np.uint64(6)] >> (a & np.uint64(63))) & (self.words[b >> np.uint64(6)] >> (b & np.uint64(63))) & one).astype(bool)
 
 
-def filter_of(hashes: DataFrame, name: str = "h"):
-    """The broadcast filter of a stored table's hashes; Spark sets the bits, the driver gets FILTER_BITS of them at most."""
+def filter_of(hashes: DataFrame):
+    """The broadcast filter of a table (h); Spark sets the bits, the driver gets FILTER_BITS of them at most."""
     bits = min(FILTER_BITS, max(1 << 12, 1 << (32 * hashes.count()).bit_length()))
-    slot = F.explode(F.array(F.col(name).bitwiseAND(bits - 1), F.shiftrightunsigned(name, 32).bitwiseAND(bits - 1)))
+    slot = F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1)))
     words = hashes.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
     columns = [words[c].to_numpy().astype(np.int64) for c in ("at", "bits")]
     return hashes.sparkSession.sparkContext.broadcast(Filter(bits, *columns))
 
 
+def packed(slots: np.ndarray, gains: np.ndarray) -> bytes:
+    """Ascending numbers and their gains: differences, byte by byte, compressed."""
+    both = np.stack((np.diff(slots, prepend=np.uint64(0)), gains.astype(np.uint64)))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(both.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)).tobytes())
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(2, 8, -1)
+    steps, gains = np.ascontiguousarray(raw.transpose(0, 2, 1)).view(np.uint64).reshape(2, -1)
+    return np.cumsum(steps, dtype=np.uint64), gains.astype(np.int64)
+
+
 class Shard:
-    """The places of a shard: hashes with their language's number, and how many words each language has in it."""
+    """The places of a shard: slots with their language's number, and how many words each language has in it."""
 
-    def __init__(self, support: int) -> None:
-        self.support, self.langs, self.totals = support, {}, []
+    def __init__(self, support: int, plan: Slots) -> None:
+        self.support, self.plan, self.langs, self.totals = support, plan, {}, []
         self.clear()
 
     def clear(self) -> None:
@@ -128,21 +162,55 @@ class Shard:
         self.words = np.concatenate((self.words, np.zeros(len(self.totals) - len(self.words), np.int64)))
         np.add.at(self.words, own, np.bincount(w.lang, minlength=len(own)))
         for h, at in hashes:
-            self.parts.append((h[at], own[w.lang[at]]))
+            self.parts.append((self.plan.slot(h[at]), own[w.lang[at]]))
             self.size += len(at)
 
     def mined(self) -> pa.RecordBatch:
-        """(h, gain): the locally frequent hashes with count less local support plus one; null: the largest local support
-        less one, by which any language's unsent phrases may fall short."""
-        h, lang = (np.concatenate([p[x] for p in self.parts]) if self.parts else np.zeros(0, t) for x, t in ((0, np.uint64), (1, np.int32)))
+        """(range, slots, slack): by ranges the locally frequent slots, with count less local support plus one. One more
+        row has the largest local support less one, by which any language's unsent phrases may fall short."""
         some = np.flatnonzero(self.words)
         least = np.ones(len(self.words), np.int64)
         least[some] = [-(-self.support * int(self.words[i]) // max(self.totals[i], 1)) for i in some]
-        h, first, count = np.unique(h, return_index=True, return_counts=True)
-        gain = count - least[lang[first]] + 1
-        keep = gain > 0
-        slack = int(least[some].max(initial=1)) - 1
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(h[keep].view(np.int64)), pa.array([None], pa.int64())]), pa.array(np.append(gain[keep], slack))], ["h", "gain"])
+        ranges, blobs = [None], [None]
+        if self.size:
+            slot, lang = (np.concatenate([p[x] for p in self.parts]) for x in (0, 1))
+            order = np.argsort(slot)
+            slot = slot[order]
+            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+            gain = np.diff(np.append(first, len(slot))) - np.minimum.reduceat(least[lang[order]], first) + 1
+            slot, gain = slot[first][gain > 0], gain[gain > 0]
+            rest = np.uint64(self.plan.bits - self.plan.range_bits)
+            own, cuts = np.unique(slot >> rest, return_index=True)
+            slot &= (np.uint64(1) << rest) - np.uint64(1)
+            for r, a, b in zip(own.tolist(), cuts.tolist(), [*cuts.tolist(), len(slot)][1:], strict=True):
+                ranges.append(r)
+                blobs.append(packed(slot[a:b], gain[a:b]))
+        slack = [int(least[some].max(initial=1)) - 1, *[0] * (len(ranges) - 1)]
+        return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(blobs, pa.binary()), pa.array(slack, pa.int64())], ["range", "slots", "slack"])
+
+
+def _reached(batches: Iterator[pa.RecordBatch], plan: Slots, least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (range, slots), whole ranges one after the other -> (h): the filter's keys of slots whose gains reach it."""
+    at, parts = None, []
+
+    def close() -> pa.RecordBatch:
+        slot, gain = (np.concatenate([p[x] for p in parts]) for x in (0, 1))
+        order = np.argsort(slot)
+        slot = slot[order]
+        first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        enough = np.add.reduceat(gain[order], first) >= least
+        slot = slot[first][enough] | np.uint64(at << (plan.bits - plan.range_bits))
+        return pa.RecordBatch.from_arrays([pa.array(mixed(slot).view(np.int64))], ["h"])
+
+    for b in batches:
+        for r, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if r != at:
+                if parts:
+                    yield close()
+                at, parts = r, []
+            parts.append(unpacked(blob.as_py()))
+    if parts:
+        yield close()
 
 
 def lang_texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -162,7 +230,7 @@ def _counted(w: Words, values: pa.Array, lang: np.ndarray) -> Iterator[pa.Record
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n, h) of single words, exactly; h as in Words.hashes."""
+    """(lang, phrase, n) of single words, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches):
@@ -171,52 +239,51 @@ def count_words(texts: DataFrame) -> DataFrame:
                 continue
             key = w.lang.astype(np.int64) * len(w.words) + w.code
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            h = w.hashes(1)[0][first].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()).take(pa.array(w.lang[first])), w.words.take(pa.array(w.code[first])), pa.array(n), pa.array(h)], ["lang", "phrase", "n", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.langs, pa.string()).take(pa.array(w.lang[first])), w.words.take(pa.array(w.code[first])), pa.array(n)], ["lang", "phrase", "n"])
 
-    return texts.mapInArrow(run, "lang string, phrase string, n long, h long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.first("h").alias("h"))
+    return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def candidates(texts: DataFrame, totals: DataFrame, sizes: range, parts, support: int, name: str) -> DataFrame:
-    """(h): hashes of the phrases of these sizes that may reach the support. parts: the filter of what they are made of,
-    words for pairs, and pairs for longer ones."""
+def candidates(texts: DataFrame, totals: DataFrame, sizes: range, parts, support: int, plan: Slots, name: str) -> DataFrame:
+    """(h): keys of the slots of phrases of these sizes that may reach the support. parts: the filter of what they are made
+    of, words for pairs, and pairs for longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, fits, many = Shard(support), parts.value, 1 if sizes[0] == 2 else 2
+        shard, fits, many = Shard(support, plan), parts.value, 1 if sizes[0] == 2 else 2
         for b in _sliced(batches):
             w = Words(b)
             h = w.hashes(max(sizes))
-            if len(h) < many:
+            if len(h) <= many:
                 continue
-            good = fits(h[many - 1]) & w.inside(many)
+            good = (fits(h[0]) if many == 1 else fits(plan.key(h[many]))) & w.inside(many)
             hashes = []
             for k in sizes:
-                if len(h) >= k:
-                    n = len(h[k - 1])
-                    ok = w.inside(k)
+                if len(h) > k:
+                    n, ok = len(h[k]), w.inside(k)
                     for j in range(k - many + 1):
                         ok &= good[j : j + n]
-                    hashes.append((h[k - 1], np.flatnonzero(ok)))
+                    hashes.append((h[k], np.flatnonzero(ok)))
             shard.add(w, dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), hashes)
             if shard.size >= PLACES:
                 yield shard.mined()
                 shard.clear()
         yield shard.mined()
 
-    sent = materialise(texts.join(totals, "lang").select("lang", "text", "total").mapInArrow(run, "h long, gain long").groupBy("h").agg(F.sum("gain").alias("gain")), name)
-    slack = sent.filter("h is null").agg(F.coalesce(F.sum("gain"), F.lit(0))).first()[0]
-    return sent.filter(F.col("h").isNotNull() & (F.col("gain") >= support - slack)).select("h")
+    sent = materialise(texts.join(totals, "lang").select("lang", "text", "total").mapInArrow(run, "range long, slots binary, slack long"), name)
+    slack = sent.agg(F.coalesce(F.sum("slack"), F.lit(0))).first()[0]
+    dealt = sent.filter("range is not null").select("range", "slots").repartition("range").sortWithinPartitions("range")
+    return materialise(dealt.mapInArrow(lambda batches: _reached(batches, plan, support - slack), "h long"), f"{name}-left")
 
 
-def count_phrases(texts: DataFrame, wanted, most: int) -> DataFrame:
-    """(lang, phrase, n) of the phrases of 2 to most words whose hash is in the filter, counted by their words."""
+def count_phrases(texts: DataFrame, wanted, most: int, plan: Slots) -> DataFrame:
+    """(lang, phrase, n) of the phrases of 2 to most words whose slot is in the filter, counted by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = wanted.value
         for b in _sliced(batches):
             w = Words(b)
-            for k, h in list(enumerate(w.hashes(most), 1))[1:]:
-                at = np.flatnonzero(fits(h) & w.inside(k))
+            for k, h in list(enumerate(w.hashes(most)))[2:]:
+                at = np.flatnonzero(fits(plan.key(h)) & w.inside(k))
                 if len(at):
                     words = [w.words.take(pa.array(w.code[at + j])) for j in range(k)]
                     yield from _counted(w, pc.binary_join_element_wise(*words, " "), w.lang[at])
@@ -231,12 +298,13 @@ def mine(docs: DataFrame, support: int = SUPPORT, max_words: int = MAX_WORDS, la
     texts = lang_texts(docs, lang_col, text_col)
     words = materialise(count_words(texts), "words")
     totals = materialise(words.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    pairs = candidates(texts, totals, range(2, 3), filter_of(words.filter(F.col("n") >= support)), support, "pairs")
+    plan = Slots.of(totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0])
+    pairs = candidates(texts, totals, range(2, 3), filter_of(words.filter(F.col("n") >= support).select(F.xxhash64("phrase").alias("h"))), support, plan, "pairs")
     found = [pairs]
     if max_words > 2:
-        found.append(candidates(texts, totals, range(3, max_words + 1), filter_of(pairs), support, "longer"))
-    counted = count_phrases(texts, filter_of(reduce(DataFrame.unionByName, found)), max_words)
-    return totals, words.select("lang", "phrase", "n"), materialise(counted.filter(F.col("n") >= support), "phrases")
+        found.append(candidates(texts, totals, range(3, max_words + 1), filter_of(pairs), support, plan, "longer"))
+    counted = count_phrases(texts, filter_of(reduce(DataFrame.unionByName, found)), max_words, plan)
+    return totals, words, materialise(counted.filter(F.col("n") >= support), "phrases")
 
 
 def joined(words: str, start: str, size: str) -> F.Column:

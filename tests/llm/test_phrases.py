@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from docketry.llm import phrases
@@ -55,9 +56,10 @@ def rows_of(seed, n=300):
     return [(rnd.choice(["en", "en", "en", None, "und", "fr"]), rnd.choice([None, "", *[None] * (i % 2)]) if rnd.random() < 0.05 else "".join(rnd.choice(words) + rnd.choice([" "] * 9 + ["\t", "  ", ". ", "\n", ",", "\x0b", "!?"]) for _ in range(rnd.randint(0, 40)))) for i in range(n)]
 
 
-@pytest.mark.parametrize(("parts", "places", "bits"), [(1, 1 << 21, 1 << 27), (7, 200, 1 << 27), (40, 1, 1 << 12)])
+@pytest.mark.parametrize(("parts", "places", "bits"), [(1, 1 << 21, 1 << 27), (7, 200, 1 << 27), (24, 1, 1 << 12)])
 def test_brute_force(spark, monkeypatch, parts, places, bits):
-    """One shard at the whole support, many shards at a support of one, and a filter that is full."""
+    """One shard at the whole support, many shards at a support of one and ranges, and a filter that is full."""
+    monkeypatch.setattr(phrases, "RANGE", 1 << 21 if parts == 1 else 300)
     monkeypatch.setattr(phrases, "PLACES", places)
     monkeypatch.setattr(phrases, "FILTER_BITS", bits)
     rows = rows_of(parts)
@@ -66,6 +68,16 @@ def test_brute_force(spark, monkeypatch, parts, places, bits):
         assert sorted(map(tuple, phrases.collocations(docs, support, most, top).collect())) == expected(rows, support, most, top)
 
 
+def test_packed_lists():
+    rng = np.random.default_rng(1)
+    slots = np.unique(rng.integers(0, 1 << 62, 5000, dtype=np.uint64))
+    gains = rng.integers(1, 1 << 40, len(slots))
+    for n in (0, 1, len(slots)):
+        got = phrases.unpacked(phrases.packed(slots[:n], gains[:n]))
+        assert (got[0] == slots[:n]).all() and (got[1] == gains[:n]).all() and len(got[0]) == n
+    assert len(phrases.packed(np.arange(0, 300_000, 3, dtype=np.uint64), np.ones(100_000, np.int64))) < 2_000
+
+
 def test_local_support_is_lowered_in_proportion(spark):
     """A phrase that stands in one shard only, and one that is spread thinly over all."""
     rows = [("en", "rare pair. ")] * 30 + [("en", "thin line. " + "x. " * 50)] * 30
