@@ -72,6 +72,28 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> Dat
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+FILTER_WORDS = 1 << 20  # of 64 bits, that a broadcast filter has at most
+
+
+def without(rows: DataFrame, gone: DataFrame, ids: dict[str, str], digest: Column, gone_digest: str) -> DataFrame:
+    """The rows that are not in the stored table of keys (an id, null equal to null, and a digest). A blocked Bloom filter
+    of the keys, a word for four of them, is broadcast: rows that miss it pass straight through, and only the others
+    meet the keys in a join. With more keys than FILTER_WORDS can hold apart, more rows meet them, with the same result."""
+    words = min(FILTER_WORDS, max(1, gone.count() // 4))
+    word, mask, bits = unused(rows, "word", "mask", "bits")
+    bit = lambda h, at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
+    slot = lambda h: (F.pmod(h, F.lit(words)).alias(word), bit(h, 40).bitwiseOR(bit(h, 50)).alias(mask))
+    h = lambda d: F.xxhash64(d, F.lit(3))
+    filled = F.broadcast(gone.select(*slot(h(F.col(gone_digest)))).groupBy(word).agg(F.bit_or(mask).alias(bits)))
+    at, own = slot(h(digest))
+    probed = rows.withColumn(word, at).join(filled, word, "left").withColumn(mask, own)
+    maybe = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    same = digest == F.col(gone_digest)
+    for mine, theirs in ids.items():
+        same = same & F.col(mine).eqNullSafe(F.col(theirs))
+    return probed.filter(~maybe).select(*rows.columns).unionByName(probed.filter(maybe).select(*rows.columns).join(gone, same, "left_anti"))
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the column's bytes pass `most`; a longer text is a slice of its own."""
     size = np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[1], np.int64)[batch.column(column).offset :][: batch.num_rows + 1]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, materialise, unused
+from .common import ascii_lower, documents, materialise, unused, without
 
 WINDOW = 10
 GRAM = 5
@@ -95,18 +95,25 @@ def hits(docs: DataFrame, table: DataFrame, lengths: list[int], id_col: str, tex
     known, small = _sized(table.select("length", "key").distinct().withColumn("known", F.lit(True)), F.lit(0))
     fps = fingerprints(base, lengths)
     met = (F.col("length") < 0) | F.col("known")
+    marks = None  # of each document; they meet no table where that would shuffle them
     if small:
         found = fps.join(known, ["length", "key"], "left").filter(met)
     else:
-        found = materialise(fps.drop("w").join(known, ["length", "key"], "left").filter(met), "bench-hits")
-        texts = base.join(found.filter("known").select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+        marks = base.select(*ROW, F.lit(-1).alias("i"), F.lit(-1).alias("length"), F.lit(None).cast("string").alias("set_id"))
+        found = materialise(fps.filter("length >= 0").drop("w").join(known, ["length", "key"]), "bench-hits")
+        texts = base.join(found.select("row_key").distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
         found = found.join(texts.select("row_key", "w"), "row_key", "left")
     whole = F.col("length") == WINDOW
     low, high = F.when(whole, F.greatest(F.col("p") - GRAMS + 1, F.lit(0))).otherwise(F.col("p")), F.when(whole, F.least("p", F.col("n_words") - WINDOW)).otherwise(F.col("p"))
     around = found.select(*ROW, "w", "length", F.explode(F.sequence(low, high)).alias("i"))
-    around = around.withColumn("wtext", F.when(F.col("i") >= 0, F.array_join(F.slice("w", F.col("i") + 1, F.greatest("length", F.lit(0))), " ")))
-    checked, _ = _sized(table.select("length", "wtext", "set_id"), F.octet_length("wtext") + 64)
-    return around.join(checked, ["length", "wtext"], "left").filter("i < 0 or set_id is not null").select(*ROW, "i", "length", "set_id")
+    around = around.select(*ROW, "length", "i", F.when(F.col("i") >= 0, F.array_join(F.slice("w", F.col("i") + 1, F.greatest("length", F.lit(0))), " ")).alias("wtext"))
+    checked, small_too = _sized(table.select("length", "wtext", "set_id"), F.octet_length("wtext") + 64)
+    if small and not small_too:
+        around = materialise(around, "bench-around")
+        marks = around.filter("i < 0").select(*ROW, "i", "length", F.lit(None).cast("string").alias("set_id"))
+        around = around.filter("i >= 0")
+    out = around.join(checked, ["length", "wtext"], "left").filter("i < 0 or set_id is not null").select(*ROW, "i", "length", "set_id")
+    return out if marks is None else out.unionByName(marks)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,13 +140,11 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without any benchmark window, with all their columns and no shuffle of clean texts
-    beyond what the anti join of the few hit ids needs."""
+    """The documents without any benchmark window, with all their columns; a clean text does not shuffle (`without`)."""
     table, _, lengths = windows(bench)
-    gone = hits(docs, table, lengths, id_col, text_col).filter("i >= 0").select("row_key").distinct()
-    (name,) = unused(docs, "gone")
-    gone = materialise(gone.withColumnRenamed("row_key", name), "contaminated")
-    return docs.join(gone, F.xxhash64(docs[id_col], docs[text_col]) == F.col(name), "left_anti")
+    own, name = unused(docs, "own", "gone")
+    gone = hits(docs, table, lengths, id_col, text_col).filter("i >= 0").select(F.col("doc_id").alias(own), F.col("row_key").alias(name)).distinct()
+    return without(docs, materialise(gone, "contaminated"), {id_col: own}, F.xxhash64(id_col, text_col), name)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@
 5. Components by alternating large-star and small-star rounds, each written to the shared folder.
 
 The pipeline's stage (drop_near_duplicates) asks for more than op2's contract: texts whose sets of 5-word
-shingles have a Jaccard similarity of LIKE at least. Its SimHash has 256 bits; pairs that agree on all BAND bits
-of one of BANDS samples of the bits, and differ in at most NEAR of the first 128 (the same bit-sliced
+shingles have a Jaccard similarity of LIKE at least. Its SimHash has 256 bits; pairs that agree on all bits of one of
+the samples of the bits (Bands: 64 of 16 bits, wider and more of them beyond 262,144 texts), and differ in at most NEAR of the first 128 (the same bit-sliced
 comparison), are candidates, and a join confirms each candidate by the two sets themselves. First each bucket lists
 a forest of its candidates, the closest first (RADII), not its pairs, so a large group of copies costs joined rows in
 proportion to its size. Then, of the texts in these, all candidates between groups that are still apart are listed,
@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, lean, materialise, unused
+from .common import documents, join_counted, lean, materialise, unused, without
 
 RADIUS = 3
 SHINGLE = 3
@@ -46,16 +46,13 @@ BUCKET = 1024
 CHUNK = 1 << 16
 STAGE_SHINGLE = 5
 LIKE = 0.8
-BANDS = 64
-BAND = 16
+BAND = 16  # bits of a band at least
+MISSED = 1e-4  # of pairs that are NEAR bits apart, how many may share no band
 NEAR = 30
 RADII = (10, 16, 22, NEAR)
 FINE = 1024
 FINE_NEAR = 190
 WIDE = np.random.default_rng(64).integers(0, 1 << 63, FINE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
-SAMPLES = np.stack([np.random.default_rng(i).choice(256, BAND, replace=False) for i in range(BANDS)])
-BAND_BITS = np.zeros((BANDS, 4), np.uint64)  # the bits of each band among the first 256
-np.bitwise_or.at(BAND_BITS, (np.arange(BANDS)[:, None], SAMPLES // 64), np.uint64(1) << (SAMPLES % 64).astype(np.uint64))
 ALL = (1 << 64) - 1
 
 
@@ -295,21 +292,32 @@ def wide_bits(h: np.ndarray, bits: int = 256) -> np.ndarray:
     return (2 * ones > len(h)).astype(np.uint8)
 
 
-def bands(bits: np.ndarray) -> np.ndarray:
-    """(n, 256) bits -> (n, BANDS) bucket numbers; each band has its own."""
-    keys = np.packbits(bits[:, SAMPLES], axis=2).astype(np.int32)
-    return (keys[:, :, 0] << 8 | keys[:, :, 1]) + (np.arange(BANDS, dtype=np.int32) << BAND)
+class Bands:
+    """Samples of the 256 bits, as wide as the number of texts asks for: a bucket of unlike texts holds some four of them at
+    any size. The wider a band, the more of them, so that as many pairs are met."""
 
+    def __init__(self, texts: int) -> None:
+        self.width = max(BAND, (max(texts, 1) - 1).bit_length() - 2)
+        agree = (1 - NEAR / 256) ** self.width  # of pairs just alike, some NEAR of the 256 bits differ
+        self.count = max(64, int(np.ceil(np.log(MISSED) / np.log1p(-agree))))
+        self.samples = np.stack([np.random.default_rng(i).choice(256, self.width, replace=False) for i in range(self.count)])
+        self.bits = np.zeros((self.count, 4), np.uint64)  # the bits of each band among the first 256
+        np.bitwise_or.at(self.bits, (np.arange(self.count)[:, None], self.samples // 64), np.uint64(1) << (self.samples % 64).astype(np.uint64))
 
-def first_band(apart: np.ndarray) -> np.ndarray:
-    """For pairs, (n, 4) words of the bits in which they differ: the first band on all of whose bits they agree."""
-    first = np.full(len(apart), BANDS)
-    for b in reversed(range(BANDS)):
-        first[~(apart & BAND_BITS[b]).any(1)] = b
-    return first
+    def buckets(self, bits: np.ndarray) -> np.ndarray:
+        """(n, 256) bits -> (n, count) bucket numbers; each band has its own."""
+        powers = np.int64(1) << np.arange(self.width, dtype=np.int64)
+        return np.stack([bits[:, x] @ powers for x in self.samples], 1) + (np.arange(self.count, dtype=np.int64) << self.width)
 
+    def first(self, apart: np.ndarray) -> np.ndarray:
+        """For pairs, (n, 4) words of the bits in which they differ: the first band on all of whose bits they agree."""
+        first = np.full(len(apart), self.count)
+        for b in reversed(range(self.count)):
+            first[~(apart & self.bits[b]).any(1)] = b
+        return first
 
-def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.ndarray, fine: np.ndarray | None, band: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.ndarray, fine: np.ndarray | None, band: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of lanes of different groups at most NEAR bits apart: those of a forest of a bucket's groups, by growing
     radius; or, with the bits of `fine`, every pair at most FINE_NEAR of these apart, in the first band that it shares."""
     first = np.arange(len(fp)) - rank
@@ -325,7 +333,7 @@ def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.nda
             if fine is not None and len(i):
                 differ = fine[i] ^ fine[j]
                 close = np.flatnonzero(np.bitwise_count(differ).sum(1) <= FINE_NEAR)
-                close = close[first_band(differ[close, :4]) == band[i[close]]]
+                close = close[bands.first(differ[close, :4]) == band[i[close]]]
                 i, j = i[close], j[close]
             if not len(i):
                 continue
@@ -338,23 +346,23 @@ def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.nda
                     left[~split[first]] = 0
 
 
-def _pair_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_buckets(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, w0, w1, node, group, ...), sorted, whole buckets in one partition -> candidate pairs; with the
     FINE bits in the further columns every pair, else forests."""
     for rows, rank, size in _whole_buckets(batches, 1):
         node, fine = rows[:, 3], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
-        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, rows[:, 4], fine if fine.shape[1] else None, rows[:, 0] >> BAND):
+        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, rows[:, 4], fine if fine.shape[1] else None, rows[:, 0] >> bands.width, bands):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 
-def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _wide_rows(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
     for b in lean(batches):
         nodes, bits = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 256), np.uint8)
         for i, t in enumerate(b.column(2)):
             nodes[i], h = shingles(t.as_py())
             bits[i] = wide_bits(h)
         w = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * BANDS), pa.array(bands(bits).ravel()))
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands.count), pa.array(bands.buckets(bits).ravel()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes.view(np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), keys], ["doc_id", "text_hash", "node", "w0", "w1", "buckets"])
 
 
@@ -367,11 +375,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([h.view(np.int64)], longs), pa.array([fine], longs)], ["node", "shingles", "fine"])
 
 
-def near_links(docs: DataFrame, wide: DataFrame, text_col: str) -> DataFrame:
+def near_links(docs: DataFrame, wide: DataFrame, text_col: str, bands: Bands) -> DataFrame:
     """Edges (a, b) of nodes whose sets of shingles are alike by LIKE."""
     nodes = wide.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("buckets").alias("buckets"))
     nodes = materialise(nodes, "near-nodes")
-    forest = _candidates(nodes.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", F.col("node").alias("group")))
+    forest = _candidates(nodes.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", F.col("node").alias("group")), bands)
     # a text that is in no pair of the forests is in no pair at all
     met = materialise(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-met")
     need = met.join(nodes.select("node", "text_hash"), "node")
@@ -382,12 +390,12 @@ def near_links(docs: DataFrame, wide: DataFrame, text_col: str) -> DataFrame:
     group = met.join(connected_components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("group"))
     rest = nodes.join(group, "node").join(sets.select("node", "fine"), "node")
     rest = rest.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", "group", *(F.col("fine")[k] for k in range(FINE // 64)))
-    return edges.unionByName(_confirmed(_candidates(rest), sets))
+    return edges.unionByName(_confirmed(_candidates(rest, bands), sets))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
+def _candidates(rows: DataFrame, bands: Bands) -> DataFrame:
     dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "w0", "w1")
-    return materialise(dealt.mapInArrow(_pair_buckets, "a long, b long").distinct(), "near-pairs")
+    return materialise(dealt.mapInArrow(lambda batches: _pair_buckets(batches, bands), "a long, b long").distinct(), "near-pairs")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -401,8 +409,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, component_id), one row per row, of the stage's own similarity."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    wide = materialise(cols.mapInArrow(_wide_rows, "doc_id long, text_hash long, node long, w0 long, w1 long, buckets array<int>"), "near-wide")
-    comp = connected_components(near_links(docs, wide, text_col))
+    bands = Bands(docs.count())
+    wide = materialise(cols.mapInArrow(lambda batches: _wide_rows(batches, bands), "doc_id long, text_hash long, node long, w0 long, w1 long, buckets array<long>"), "near-wide")
+    comp = connected_components(near_links(docs, wide, text_col, bands))
     nodes = wide.groupBy("node").agg(F.count("*").alias("n")).join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialise(join_counted(wide.select("doc_id", "text_hash", "node"), materialise(nodes, "near-roots"), "node", "n"), "near-rooted")
     return with_component(rooted, "doc_id").select("doc_id", "text_hash", "component_id")
@@ -414,7 +423,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone, digest = unused(docs, "gone", "digest")
     out = near_classes(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(gone), F.col("text_hash").alias(digest)).distinct()
     out = materialise(out, "simhash-gone")
-    return docs.join(out, (docs[id_col] == F.col(gone)) & (F.xxhash64(docs[text_col]) == F.col(digest)), "left_anti")
+    return without(docs, out, {id_col: gone}, F.xxhash64(text_col), digest)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,11 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docketry.llm import bpe, decontaminate, exact_dedup, license_scan, lm_score, sharding, simhash, sstable, toxicity, url_filter
+from docketry.llm import bpe, common, decontaminate, exact_dedup, license_scan, lm_score, sharding, simhash, sstable, toxicity, url_filter
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -241,12 +242,40 @@ def test_first_band_of_a_pair():
     h = [rng.integers(0, 1 << 63, 200, dtype=np.uint64) for _ in range(6)]
     h += [np.concatenate([x[:170], rng.integers(0, 1 << 63, 30, dtype=np.uint64)]) for x in h]
     fine = np.stack([np.packbits(simhash.wide_bits(x, simhash.FINE), bitorder="little").view(np.uint64) for x in h])
-    keys = simhash.bands(np.stack([simhash.wide_bits(x) for x in h]))
-    for i in range(12):
-        for j in range(12):
-            same = np.flatnonzero(keys[i] == keys[j])
-            assert simhash.first_band((fine[i] ^ fine[j])[None, :4])[0] == (same[0] if len(same) else simhash.BANDS)
-    assert any(0 < (keys[i] == keys[i + 6]).sum() < 64 for i in range(6))
+    for texts in (100, 1 << 22):
+        bands = simhash.Bands(texts)
+        keys = bands.buckets(np.stack([simhash.wide_bits(x) for x in h]))
+        for i in range(12):
+            for j in range(12):
+                same = np.flatnonzero(keys[i] == keys[j])
+                assert bands.first((fine[i] ^ fine[j])[None, :4])[0] == (same[0] if len(same) else bands.count)
+        assert any(0 < (keys[i] == keys[i + 6]).sum() < bands.count for i in range(6))
+
+
+def test_bands_grow_with_the_texts():
+    """Four texts a bucket at any size, and as many pairs that are NEAR bits apart share a band."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 2, (2000, 256)).astype(np.uint8)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(256, simhash.NEAR, replace=False)] ^= 1
+    for texts in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 22, 1 << 28):
+        bands = simhash.Bands(texts)
+        assert texts / 2**bands.width <= 4 and (bands.width, bands.count) >= (16, 64)
+        assert (bands.buckets(a) == bands.buckets(b)).any(1).mean() > 0.998
+
+
+@pytest.mark.parametrize("words", [2000, 40])
+def test_without(spark, monkeypatch, words):
+    """A filter that holds the keys apart, and one that is full."""
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    table = spark.range(3000).selectExpr("if(id % 50 = 0, null, id) AS id", "concat('t', id % 700) AS text", "1L AS gone", "'w' AS word")
+    gone = table.filter("gone = 1 and text >= 't3'").select(F.col("id").alias("g"), F.xxhash64("text").alias("d")).distinct()
+    got = common.without(table, common.materialise(gone, "gone"), {"id": "g"}, F.xxhash64("text"), "d")
+    assert Counter(map(tuple, got.collect())) == Counter(tuple(r) for r in table.collect() if r.text < "t3") and got.columns == table.columns
+    other = common.materialise(gone.withColumn("g", F.lit(-1).cast("long")), "gone")  # the same text of another id stays
+    assert common.without(table, other, {"id": "g"}, F.xxhash64("text"), "d").count() == 3000
+    assert common.without(table, common.materialise(gone.limit(0), "gone"), {"id": "g"}, F.xxhash64("text"), "d").count() == 3000
 
 
 def test_rows_meet_their_component_by_key_counts(spark, odd, odd_rows, monkeypatch):
