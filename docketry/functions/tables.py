@@ -65,9 +65,9 @@ def rows_to_html(rows: Column, header: bool = True) -> Column:
 
 
 def clean_rows(rows: Column) -> Column:
-    """Cells with white space squeezed; rows without any text are dropped."""
+    """Cells with white space squeezed and personal data taken out; rows without any text are dropped."""
     squeezed = F.transform(rows, lambda r: F.transform(r, lambda c: texts.squeezed(F.coalesce(c, F.lit("")))))
-    return F.filter(squeezed, lambda r: F.exists(r, lambda c: c != ""))
+    return texts.redact_rows(F.filter(squeezed, lambda r: F.exists(r, lambda c: c != "")))
 
 
 def support(cells_n: Column, text_n: Column) -> Column:
@@ -109,7 +109,8 @@ def lines_in_grid(lines: DataFrame, grid: DataFrame, page: str) -> DataFrame:
     """Lines (page, line, text, x0, y0, x1, y1) into cells (page, row, col, x0, y0, x1, y1) -> (page, row, col, text).
 
     A line goes to the row that shares most of its height, if that is half of it at least, and is split over that
-    row's cells by the widths it shares with them; a cell's parts are joined by height, then by left edge."""
+    row's cells by the widths it shares with them; a cell's parts are joined by height, then by left edge, and personal
+    data is taken out of what they make."""
     rows = grid.groupBy(page, "row").agg(F.array_sort(F.collect_list(F.struct("col", "x0", "y0", "x1", "y1"))).alias("cells"))
     both = lines.join(rows, page)
     tall = F.array_max(F.transform("cells", lambda c: overlap(F.col("y0"), F.col("y1"), c["y0"], c["y1"])))
@@ -118,7 +119,16 @@ def lines_in_grid(lines: DataFrame, grid: DataFrame, page: str) -> DataFrame:
     spans = F.transform("cells", lambda c: overlap(F.col("x0"), F.col("x1"), c["x0"], c["x1"]))
     parts = best.withColumn("part", F.explode(F.arrays_zip(F.col("cells.col").alias("col"), split_over(F.col("text"), spans).alias("text"))))
     parts = parts.select(page, "row", "part.col", F.struct(((F.col("y0") + F.col("y1")) / 2).alias("at"), F.col("x0"), F.trim("part.text").alias("text")).alias("p")).filter(F.col("p.text") != "")
-    return parts.groupBy(page, "row", "col").agg(texts.squeezed(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "")).alias("text"))
+    whole = parts.groupBy(page, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "").alias("text"))
+    return whole.withColumn("text", texts.squeezed(texts.redact(F.col("text"))))
+
+
+def grid_html(filled: DataFrame, grid: DataFrame, page: str) -> DataFrame:
+    """The rows of `lines_in_grid` as one HTML table a page, with an empty cell where nothing was recognised."""
+    cells = grid.select(page, "row", "col").join(filled, [page, "row", "col"], "left")
+    rows = cells.groupBy(page, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("text")))), lambda c: c["text"]).alias("cells"))
+    tables = rows.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("rows"))
+    return tables.select(page, rows_to_html(F.col("rows")).alias("html"))
 
 
 def line_boxes(lines: DataFrame, *keys: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -140,7 +141,29 @@ def redact_nodes(text: Column) -> Column:
 
 
 def redact(text: Column) -> Column:
-    return F.when(text.rlike(r"(?i)</?(?:table|thead|tbody|tr|td|th)\b"), redact_nodes(text)).otherwise(redact_plain(text))
+    return F.when(text.rlike(TABLE_TAG), redact_nodes(text)).otherwise(redact_plain(text))
+
+
+TABLE_TAG = r"(?i)</?(?:table|thead|tbody|tr|td|th)\b"
+
+
+def _redacted(value: str) -> str:
+    def node(x: str) -> str:
+        x = unicodedata.normalize("NFKC", x).replace("　", " ")
+        for pattern, mark in REDACTIONS:
+            x = re.sub(pattern, mark, x)
+        return x
+
+    if not re.search(TABLE_TAG, value):
+        return node(value)
+    parts = re.split("(<[^>]+>)", value)
+    return "".join(x if k % 2 else node(x) for k, x in enumerate(parts))
+
+
+@pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def redact_rows(s: pd.Series) -> pd.Series:
+    """`redact` of each cell of a table by itself."""
+    return s.map(lambda rows: None if rows is None else [[_redacted(c or "") for c in r] for r in rows])
 
 
 def html_to_text(raw: Column) -> Column:

@@ -140,9 +140,15 @@ def rescans(runs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def run_summaries(runs: DataFrame, requirements: DataFrame) -> DataFrame:
-    """runs (run_id, ...) with what a listing shows of their requirements, zero where there are none."""
-    counts = requirements.groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("UNKNOWN", "NEEDS_REVIEW")).alias("unresolved"), F.count_if((F.col("category") == "FATAL") & (F.col("status") != "PASS")).alias("fatal"))
-    return runs.join(counts, "run_id", "left").na.fill(0, ["total", "unresolved", "fatal"])
+    """runs (run_id, ...) with what a listing shows of their requirements. A run without any shows its stored counters
+    (requirement_count, unresolved_count, blocker_count, fatal_risk_count; zero where a column or value is missing)."""
+    open_ = F.col("status").isin("UNKNOWN", "NEEDS_REVIEW")
+    blocks = F.col("category").isin("FATAL", "QUALIFICATION") & (open_ | (F.col("status") == "FAIL"))
+    counts = requirements.groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(open_).alias("unresolved"), F.count_if(blocks).alias("blockers"), F.count_if(F.col("category") == "FATAL").alias("fatal"))
+    stored = {"total": "requirement_count", "unresolved": "unresolved_count", "blockers": "blocker_count", "fatal": "fatal_risk_count"}
+    kept = {n: F.col(c).cast("long") if c in runs.columns else F.lit(None).cast("long") for n, c in stored.items()}
+    both = runs.join(counts, "run_id", "left").withColumns({n: F.coalesce(F.col(n), kept[n], F.lit(0)) for n in stored})
+    return both.drop(*stored.values())
 
 
 def initial_runs(asked: DataFrame, now: Column) -> DataFrame:

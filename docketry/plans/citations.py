@@ -49,10 +49,15 @@ def evidence_citations(t):
     return got.select(F.col("doc").alias("doc_id"), F.col("requirement_id").alias("seq"), "locator", "evidence_quote", "rule_score", "match_review_status")
 
 
-@query(f"SELECT o_orderkey AS run_id, o_orderstatus, coalesce(total, 0) AS total, coalesce(unresolved, 0) AS unresolved, coalesce(fatal, 0) AS fatal FROM orders LEFT JOIN (SELECT run_id, count(*) AS total, count_if(status IN ('UNKNOWN', 'NEEDS_REVIEW')) AS unresolved, count_if(category = 'FATAL' AND status <> 'PASS') AS fatal FROM ({REQ}) GROUP BY ALL) ON run_id = o_orderkey")
+@query(
+    f"""WITH r AS (SELECT run_id, count(*) AS total, count_if(status IN ('UNKNOWN', 'NEEDS_REVIEW')) AS unresolved, count_if(category IN ('FATAL', 'QUALIFICATION') AND status IN ('FAIL', 'UNKNOWN', 'NEEDS_REVIEW')) AS blockers, count_if(category = 'FATAL') AS fatal FROM ({REQ}) WHERE l_suppkey % 3 > 0 GROUP BY ALL)
+    SELECT o_orderkey AS run_id, o_orderstatus, coalesce(total, o_custkey % 9) AS total, coalesce(unresolved, 0) AS unresolved, coalesce(blockers, CASE WHEN o_custkey % 2 = 0 THEN 4 END, 0) AS blockers, coalesce(fatal, 1) AS fatal FROM orders LEFT JOIN r ON run_id = o_orderkey"""
+)
 def run_summaries(t):
-    runs = t("orders").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus")
-    return review.run_summaries(runs, requirements(t))
+    """Listing counters from the requirements; a run whose lines all come from each third supplier shows stored ones."""
+    k = F.col("o_custkey")
+    runs = t("orders").select(F.col("o_orderkey").alias("run_id"), "o_orderstatus", (k % 9).alias("requirement_count"), F.when(k % 2 == 0, 4).alias("blocker_count"), F.lit(1).alias("fatal_risk_count"))
+    return review.run_summaries(runs, requirements(t).filter("l_suppkey % 3 > 0"))
 
 
 @query("SELECT page_id AS run_id, 'PROCESSING' AS status, 1 AS revision, 'INGEST' AS phase, 0 AS events FROM pages")

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PAGE = "filename string, page int, kind string, label string, text string, blocks array<string>, error string"
-MAX_BYTES = 50_000_000
+#: Bounds of an upload and of an archive, suffixes and schemes that are refused.
+MAX_BYTES = 50 * 1024 * 1024
+MAX_EXPANDED = 250 * 1024 * 1024
 MAX_PARTS = 10_000
-MAX_PAGES = 2_000
+MAX_RELATIONS = 2 * 1024 * 1024
+MAX_PAGES = 500
+REFUSED_SUFFIXES = (".exe", ".dll", ".com", ".scr", ".bat", ".cmd", ".ps1", ".vbs", ".js")
+REFUSED_SCHEMES = (b"javascript:", b"file:", b"ms-msdt:")
 MAGIC = {"pdf": "25504446", "docx": "504B0304", "xlsx": "504B0304", "pptx": "504B0304"}
 
 
@@ -86,19 +91,22 @@ def _pptx(z: zipfile.ZipFile) -> Iterator[tuple[str, str, str, list[str]]]:
 
 
 def unsafe_archive(z: zipfile.ZipFile) -> str | None:
-    """Why an archive must not be opened: it expands too far, leaves its folder, or holds macros, scripts, embedded
-    objects or links to the outside."""
-    names = [i.filename for i in z.infolist()]
-    if sum(i.file_size for i in z.infolist()) > 20 * MAX_BYTES or len(names) > MAX_PARTS:
+    """Why an archive must not be opened: it expands too far, leaves its folder, or holds macros, programs or links
+    to the outside by a scheme that runs or reads something. Embedded objects are allowed."""
+    parts = z.infolist()
+    if len(parts) > MAX_PARTS or sum(i.file_size for i in parts) > MAX_EXPANDED:
         return "archive expands too far"
-    for n in names:
-        low = n.lower().replace("\\", "/")
-        if low.startswith("/") or ".." in low.split("/") or ":" in low:
-            return f"path leaves the archive: {n}"
-        if low.endswith(("vbaproject.bin", ".js", ".vbs", ".exe", ".dll", ".bat", ".ps1")) or "/activex/" in low or "/embeddings/" in low:
-            return f"active content: {n}"
-        if low.endswith(".rels") and re.search(rb'TargetMode\s*=\s*"External"[^>]*Target\s*=\s*"(?!https?:|mailto:)|Target\s*=\s*"(?:file|javascript):', z.read(n), re.I):
-            return f"unsafe relationship: {n}"
+    for i in parts:
+        path = i.filename.replace("\\", "/")
+        low = path.casefold()
+        if path.startswith("/") or ".." in path.split("/"):
+            return f"path leaves the archive: {i.filename}"
+        if low.endswith(("vbaproject.bin", *REFUSED_SUFFIXES)):
+            return f"active content: {i.filename}"
+        if low.endswith(".rels") and i.file_size <= MAX_RELATIONS:
+            relations = z.read(i).lower()
+            if re.search(rb"targetmode\s*=\s*[\"']external[\"']", relations) and any(x in relations for x in REFUSED_SCHEMES):
+                return f"unsafe relationship: {i.filename}"
     return None
 
 
@@ -128,24 +136,25 @@ def parse(name: str, content: bytes) -> Iterator[tuple]:
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder -> page rows. Suffix, size and magic bytes are tested before a file is opened; a file that
-    is refused is one row that says why."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"[^/]+$", 0)
+    is refused is one row that says why. Files that are too large are listed by a scan of their names and sizes alone,
+    so their content, which may be of any size, is never loaded."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_extract("path", r"[^/]+$", 0).alias("name")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     magic = F.lit(True)
     for kind, start in MAGIC.items():
         magic = magic & ((suffix != kind) | F.startswith("content", F.unhex(F.lit(start))))
-    small = F.col("length") <= MAX_BYTES
-    unsafe = F.when(~small, F.lit("file is too large")).when(~magic, F.lit("content does not fit the suffix"))
-    files = files.select(name.alias("name"), F.when(small & magic, F.col("content")).alias("content"), unsafe.alias("unsafe"))
+    names = [x.split(" ")[0] for x in PAGE.split(", ")]
+    large = every.filter(F.col("length") > MAX_BYTES).select(*(name.alias(n) if n == "filename" else F.lit("file is too large" if n == "error" else None).cast(kind).alias(n) for n, kind in (x.split(" ") for x in PAGE.split(", "))))
+    files = every.filter(F.col("length") <= MAX_BYTES).select(name, F.when(magic, F.col("content")).alias("content"), F.when(~magic, F.lit("content does not fit the suffix")).alias("unsafe"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for n, c, e in zip(f["name"], f["content"], f["unsafe"], strict=True):
                 rows = parse(n, bytes(c)) if e is None else [(n, None, None, None, None, None, e)]
-                yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in PAGE.split(", ")]).astype({"page": "Int32"})
+                yield pd.DataFrame(rows, columns=names).astype({"page": "Int32"})
 
-    return files.mapInPandas(run, PAGE)
+    return files.mapInPandas(run, PAGE).unionByName(large)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:

@@ -269,7 +269,7 @@ def test_refused_files_keep_a_row(spark, tmp_path, monkeypatch):
     archive("ok.docx", doc)
     archive("macro.docx", doc | {"word/vbaProject.bin": "x"})
     archive("path.docx", doc | {"../evil.xml": "x"})
-    archive("link.docx", doc | {"word/_rels/document.xml.rels": '<Relationship Target="file:///etc/passwd"/>'})
+    archive("link.docx", doc | {"word/_rels/document.xml.rels": '<Relationship Target="file:///etc/passwd" TargetMode="External"/>'})
     (tmp_path / "big.txt").write_text("y" * 3000)
     (tmp_path / "fake.docx").write_text("z")
     got = {r.filename: r.error for r in files.read_pages(spark, f"file://{tmp_path}").collect()}
