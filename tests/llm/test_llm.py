@@ -534,7 +534,7 @@ def test_license_scan_of_whole_tables_by_containment(spark, sf):
     shortest = {n: min(len(set(flat(t))) for m, t in license_scan.TEMPLATES if m == n) for n, _ in license_scan.TEMPLATES}
     for r in got:
         best = max(sum(f" {w} " in texts[r.doc_id] for w in set(flat(t))) / len(set(flat(t))) for n, t in license_scan.TEMPLATES if n == r.license)
-        assert best >= 0.8 and shortest[r.license] > 2
+        assert best >= 0.8 and shortest[r.license] >= 2
     assert all(r.missing == 0 for r in got if (r.doc_id, r.license) in wanted and found[r.doc_id, r.license] == wanted[r.doc_id, r.license])
 
 
@@ -561,6 +561,89 @@ def test_license_recall_on_wrapped_and_edited_notices(spark, sf):
     assert hit / total >= 0.9
 
 
+LGPL21 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+NEAR_MISSES = [  # notices and what they are; None: a license of which no template speaks
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 1.", None),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", None),
+    (LGPL21, "LGPL-2.1"),
+    (LGPL21.replace("2.1", "2"), None),
+    (LGPL21.replace("Lesser", "Library"), None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", None),
+    ("Licensed under CC BY-ND 4.0.", None),
+    ("Licensed under CC BY 3.0.", None),
+    ("Licensed under CC BY-NC-SA 4.0.", None),
+    ("Released under the BSD 4-Clause License.", None),
+    ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("MIT License", "MIT"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"),
+    ("SPDX-License-Identifier: LGPL-2.0", None),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", None),
+    ("Released under the GNU AGPL.", None),
+]
+
+
+def test_license_near_misses(spark, sf):
+    """Each notice alone, and wrapped within a document: the right license or none, never another."""
+    import textwrap
+
+    docs = [r.text for r in documents(spark, sf).collect() if not any(c in r.text.lower() for c in license_scan.CUES)][:20]
+    s = license_scan.Scanner()
+    for k, (notice, want) in enumerate(NEAR_MISSES):
+        for text in (notice, notice.upper(), "\n".join([docs[k % 20], *(f" * {x}" for x in textwrap.wrap(notice, 50)), docs[(k + 1) % 20]])):
+            assert [f[3] for f in s.scan(text)] == [want], (notice, want, list(s.scan(text)))
+    table = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(NEAR_MISSES)], "doc_id long, text string")
+    assert dict(rows(license_scan.scan(table).select("doc_id", "license"))) == {k: w for k, (_, w) in enumerate(NEAR_MISSES)}
+
+
+def test_license_precision_on_altered_versions(spark, sf):
+    """Templates whose telling words are changed, left out or have another before them: none is reported under its name,
+    unless a whole notice of that name is left."""
+    s = license_scan.Scanner()
+    wrong = total = 0
+    for name, t in license_scan.TEMPLATES:
+        w, own = t.split(), license_scan.words(t)
+        telling = {own[j] for j in range(len(own)) if license_scan.telling(own, j)}
+        for k in range(1, len(w)):
+            if not telling & set(license_scan.words(w[k])):
+                continue
+            for new in ([], ["9.9"], ["NonCommercial-NoDerivatives", w[k]]):
+                text = " ".join([*w[:k], *new, *w[k + 1 :]])
+                flat = f" {' '.join(license_scan.words(text))} "
+                if not any(f" {' '.join(license_scan.words(x))} " in flat for n, x in license_scan.TEMPLATES if n == name):
+                    total += 1
+                    wrong += name in [f[3] for f in s.scan(text)]
+    assert total > 40 and wrong == 0
+
+
+def test_license_texts_passed_over_have_no_place(spark, sf):
+    """Whatever words a notice lacks, as long as it is confirmed it holds a word that is asked for."""
+    rng = np.random.default_rng(4)
+    every = license_scan.with_identifiers(license_scan.TEMPLATES)
+    asked = [*license_scan.CUES, *license_scan.sure_words(every)]
+    s = license_scan.Scanner()
+    for _ in range(20):
+        for name, t in every:
+            w = license_scan.words(t)
+            gone = [k for k in np.argsort([-len(x) + rng.random() for x in w]) if not license_scan.telling(w, k)][: int(license_scan.MISSING * len(w))]
+            text = " ".join(x for k, x in enumerate(w) if k not in set(gone))
+            assert any(a in text for a in asked), (name, text)
+
+
+def test_license_templates_are_a_parameter(spark):
+    table = spark.createDataFrame([("Own-1.0", "Use of this file is granted under the Own Terms, version 1.0."), (None, "x"), ("y", None)], "name string, text string")
+    own = license_scan.read_templates(table)
+    docs = spark.createDataFrame([(1, "use of this file is GRANTED under the own terms, version 1.0"), (2, "use of this file is granted under the own terms, version 2.0"), (3, "Released under the MIT License.")], "doc_id long, text string")
+    assert {tuple(r) for r in rows(license_scan.scan(docs, templates=own).select("doc_id", "license"))} == {(1, "Own-1.0"), (3, None)}
+
+
 @pytest.mark.parametrize("width", [60, 70, 80])
 def test_license_notices_wrapped(width):
     import textwrap
