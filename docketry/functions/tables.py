@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from docketry.functions import text as texts
+from docketry.operators import boxes
 
 
 class _Cells(HTMLParser):
@@ -112,7 +113,8 @@ def lines_in_grid(lines: DataFrame, grid: DataFrame, page: str) -> DataFrame:
     row's cells by the widths it shares with them; a cell's parts are joined by height, then by left edge, and personal
     data is taken out of what they make."""
     rows = grid.groupBy(page, "row").agg(F.array_sort(F.collect_list(F.struct("col", "x0", "y0", "x1", "y1"))).alias("cells"))
-    both = lines.join(rows, page)
+    heights = grid.groupBy(page, "row").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    both = boxes.met(lines, heights, page, [("y0", "y1")]).select("a.*", "b.row").join(rows, [page, "row"])
     tall = F.array_max(F.transform("cells", lambda c: overlap(F.col("y0"), F.col("y1"), c["y0"], c["y1"])))
     both = both.withColumn("shared", tall).filter((F.col("shared") > 0) & (F.col("shared") >= 0.5 * F.greatest(F.lit(1.0), F.col("y1") - F.col("y0"))))
     best = both.groupBy(page, "line").agg(F.max_by(F.struct("row", "cells", "text", "x0", "x1", "y0", "y1"), F.struct("shared", -F.col("row"))).alias("b")).select(page, "line", "b.*")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions.text import compact, squeezed
+from docketry.operators import boxes
 from docketry.operators.termscan import term_hits
 
 #: Fixed values: (label, category, pattern) of the procurement lexicon.
@@ -130,14 +131,14 @@ def candidate_score(category: Column, quote: Column, strong: dict[str, tuple[str
     return sum(points[1:], points[0])
 
 
-def overlaps(boxes: DataFrame, others: DataFrame, page: str, item: str) -> DataFrame:
+def overlaps(items: DataFrame, others: DataFrame, page: str, item: str) -> DataFrame:
     """(page, item, touching, overlap): how many other intervals [lo, hi) of the same page each one meets, and
     the summed length of what they share."""
-    b = others.select(F.col(page).alias("__page"), F.col(item).alias("__item"), F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    meet = (F.col(page) == F.col("__page")) & (F.col(item) != F.col("__item")) & (F.col("lo") < F.col("__hi")) & (F.col("__lo") < F.col("hi"))
-    shared = F.when(F.col("__item").isNotNull(), F.least("hi", "__hi") - F.greatest("lo", "__lo"))  # both skip nulls
-    both = boxes.join(b, meet, "left").groupBy(page, item).agg(F.count("__item").alias("touching"), F.coalesce(F.sum(shared), F.lit(0.0)).alias("overlap"))
-    return both.withColumn("overlap", F.round("overlap", 6))
+    pairs = boxes.met(items, others, page, [("lo", "hi")]).filter(F.col(f"a.{item}") != F.col(f"b.{item}"))
+    shared = F.least("a.hi", "b.hi") - F.greatest("a.lo", "b.lo")
+    found = pairs.groupBy(F.col(f"a.{page}").alias(page), F.col(f"a.{item}").alias(item)).agg(F.count("*").alias("touching"), F.sum(shared).alias("overlap"))
+    every = items.select(page, item).distinct().join(found, [page, item], "left")
+    return every.select(page, item, F.coalesce("touching", F.lit(0)).alias("touching"), F.round(F.coalesce("overlap", F.lit(0.0)), 6).alias("overlap"))
 
 
 def locator_or_page(block_label: Column, page_label: Column, page: Column) -> Column:
