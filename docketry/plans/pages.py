@@ -34,20 +34,21 @@ def prepared_pages(t):
     return d.select("doc_id", metrics.prepared(F.col("truth"), F.split("text", "\n")).alias("lines"))
 
 
-_CLEAN = "lower(regexp_replace(left({}, {}), '[^a-zA-Z0-9]', '', 'g'))"
+_CLEAN = "lower(regexp_replace({}, '[^a-zA-Z0-9]', '', 'g'))"
 
 
 @query(
-    f"""WITH g AS (SELECT conv_id, turn, {_CLEAN.format("text", 60)} AS a, [{_CLEAN.format("text", 4)}, 'zzzz'] AS f FROM conversations), h AS (SELECT conv_id, turn, {_CLEAN.format("text", 50)} AS b, 1 AS line FROM conversations WHERE turn % 3 <> 0 UNION ALL SELECT conv_id, turn, {_CLEAN.format("text", 40)}, 2 FROM conversations WHERE turn % 4 = 1),
+    f"""WITH g AS (SELECT conv_id, turn, {_CLEAN.format("text")} AS a, ['an', 'zzzz'] AS f FROM conversations), h AS (SELECT conv_id, turn, {_CLEAN.format("replace(text, 'the', 'eth')")} AS b, 1 AS line FROM conversations WHERE turn % 3 <> 0 UNION ALL SELECT conv_id, turn, {_CLEAN.format("replace(text, 'an', '')")}, 2 FROM conversations WHERE turn % 4 = 1),
     l AS (SELECT conv_id, turn, arg_max(b, line::VARCHAR || b) AS b FROM h GROUP BY ALL)
     SELECT conv_id AS doc_id, turn AS page, 'local' AS mode, round(CASE WHEN a = '' THEN (CASE WHEN coalesce(b, '') = '' THEN 0 ELSE 1 END) ELSE levenshtein(a, coalesce(b, '')) / length(a) END, 6)::DOUBLE AS cer, len(list_filter(f, lambda x: contains(coalesce(b, ''), x)))::INT AS field_hits, 2 AS field_total FROM g LEFT JOIN l USING (conv_id, turn)"""
 )
 def page_evaluation(t):
-    """Pages against guesses of which some are missing and some come twice."""
-    clean = lambda n: F.lower(F.regexp_replace(F.left("text", F.lit(n)), "[^a-zA-Z0-9]", ""))
+    """Pages against guesses with letters exchanged or lost, of which some are missing and some come twice."""
+    clean = lambda x: F.lower(F.regexp_replace(x, "[^a-zA-Z0-9]", ""))
     c = t("conversations").withColumns({"doc_id": F.col("conv_id"), "page": F.col("turn")})
-    truth = c.select("doc_id", "page", clean(60).alias("text_n"), F.array(clean(4), F.lit("zzzz")).alias("fields_n"))
-    guess = c.filter("turn % 3 <> 0").select("doc_id", "page", clean(50).alias("text_n"), F.lit(1).alias("line")).unionByName(c.filter("turn % 4 = 1").select("doc_id", "page", clean(40).alias("text_n"), F.lit(2).alias("line")))
+    truth = c.select("doc_id", "page", clean(F.col("text")).alias("text_n"), F.array(F.lit("an"), F.lit("zzzz")).alias("fields_n"))
+    swapped, lost = clean(F.replace("text", F.lit("the"), F.lit("eth"))), clean(F.replace("text", F.lit("an"), F.lit("")))
+    guess = c.filter("turn % 3 <> 0").select("doc_id", "page", swapped.alias("text_n"), F.lit(1).alias("line")).unionByName(c.filter("turn % 4 = 1").select("doc_id", "page", lost.alias("text_n"), F.lit(2).alias("line")))
     return evaluate.page_rows(truth, guess, "local").withColumn("cer", F.round("cer", 6))
 
 

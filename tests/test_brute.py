@@ -188,8 +188,8 @@ def spread(line, spans):
 def test_lines_over_cells(spark, sf):
     boxes = defaultdict(list)
     for r in table(spark, sf, "conversations"):
-        for n, word in enumerate(r.text.split(" ")[:12]):
-            line = n + r.turn * 100
+        for n, word in enumerate(r.text.split(" ")):
+            line = n + r.turn * 100_000
             x, y = line % 4 * 20.0, line % 3 * 10.0
             share = [shared(y, y + 8, k * 10.0, k * 10.0 + 9) for k in range(3)]
             row = max(range(3), key=lambda k: (share[k], -k))
