@@ -1,4 +1,5 @@
-"""Quality metrics. Spark's levenshtein counts code points; what it can't say runs in pandas UDFs."""
+"""Quality metrics. Spark's levenshtein counts code points, and tokens that stand for one each; what it can't say runs
+in pandas UDFs."""
 
 from __future__ import annotations
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from docketry.functions.text import LINE_END, compact, nfkc, nfkc_each
+
 TAGS = {"table", "thead", "tbody", "tfoot", "tr", "td", "th"}
 GATES = (("line_cer", "max", 0.02), ("key_field_f1", "min", 0.97), ("teds", "min", 0.9))
 
@@ -27,52 +30,58 @@ def plain(text: str | None) -> str:
     return re.sub(r"\s+", "", unicodedata.normalize("NFKC", text or "")).lower()
 
 
-def distance(a, b) -> int:
-    """Edit distance of two sequences, a row of numpy at a time: what a row gains from its left neighbours is a
-    running minimum."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    codes: dict = {}
-    x, y = ([codes.setdefault(t, len(codes)) for t in s] for s in (a, b))
-    y, ramp = np.array(y), np.arange(len(y) + 1)
-    row = ramp.copy()
-    for i, c in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + (y != c), out=new[1:])
-        row = np.minimum.accumulate(new - ramp) + ramp
-    return int(row[-1])
-
-
-def line_edits(ref: str | None, hyp: str | None) -> tuple[int, int]:
-    """(edits, reference characters): each reference line in turn takes the unused line nearest to it, if that is
-    nearer than nothing at all; the lines left over count whole."""
-    refs, rest = ([x for x in map(plain, (t or "").splitlines()) if x] for t in (ref, hyp))
-    if not refs:
-        return (1, 1) if rest else (0, 0)
-    edits = 0
-    for line in refs:
-        near = min(((distance(line, h), i) for i, h in enumerate(rest)), default=(len(line), -1))
-        if near[0] < len(line):
-            edits += near[0]
-            rest.pop(near[1])
-        else:
-            edits += len(line)
-    return edits + sum(map(len, rest)), sum(map(len, refs))
-
-
-@pandas_udf(T.StructType([T.StructField("edits", T.LongType()), T.StructField("chars", T.LongType())]))
-def line_edit_counts(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([line_edits(r, h) for r, h in zip(ref, hyp, strict=True)], columns=["edits", "chars"])
+def _given(value: Column, f) -> Column:
+    """f(value), with the value reckoned once: inside a lambda Spark would do so at each mention."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
-@pandas_udf(T.DoubleType())
-def wer(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    def one(r, h):
-        a, b = ([t for t in re.split(r"[\s，。；、：:；,.!！？?\n]+", unicodedata.normalize("NFKC", x or "")) if t] for x in (r, h))
-        return distance(a, b) / len(a) if a else float(bool(b))
+def _as_text(tokens: Column, vocabulary: Column) -> Column:
+    """A text with one character for each token, equal ones for equal tokens, so that the built-in edit distance of
+    characters is that of tokens."""
+
+    def step(acc: Column, token: Column) -> Column:
+        code = F.array_position(acc["known"], token) + 255
+        code = F.when(code >= 0xD800, code + 0x800).otherwise(code)  # no halves of pairs
+        character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.struct(acc["known"].alias("known"), F.concat(acc["text"], character).alias("text"))
+
+    return F.aggregate(tokens, F.struct(vocabulary.alias("known"), F.lit("").alias("text")), step, lambda acc: acc["text"])
+
+
+def line_edit_counts(ref: Column | str, hyp: Column | str) -> Column:
+    """struct<edits, chars>: each reference line in turn takes the unused line nearest to it, if that is nearer than
+    nothing at all; the lines left over count whole. Lines are compared in normal form, without white space."""
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    lines = lambda x: F.filter(F.transform(nfkc_each(F.split(F.coalesce(col(x), F.lit("")), LINE_END, -1)), lambda y: compact(F.regexp_replace(y, "[\x1c-\x1f]", ""))), lambda y: y != "")
+    refs, rest = lines(ref), lines(hyp)
+
+    def step(acc: Column, line: Column) -> Column:
+        def nearest(distances: Column) -> Column:
+            def taken(least: Column) -> Column:
+                near = F.coalesce(least < F.length(line), F.lit(False))
+                at = F.array_position(distances, least).cast("int")
+                others = F.concat(F.slice(acc["rest"], F.lit(1), at - 1), F.slice(acc["rest"], at + 1, F.size(distances)))
+                return F.struct(F.when(near, others).otherwise(acc["rest"]).alias("rest"), (acc["edits"] + F.when(near, least).otherwise(F.length(line))).cast("long").alias("edits"))
+
+            return _given(F.array_min(distances), taken)
+
+        return _given(F.transform(acc["rest"], lambda h: F.levenshtein(line, h)), nearest)
+
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
+    edits = F.aggregate(refs, F.struct(rest.alias("rest"), F.lit(0).cast("long").alias("edits")), step, lambda acc: acc["edits"] + total(acc["rest"]))
+    extra = F.when(F.size(rest) > 0, 1).otherwise(0).cast("long")
+    none = F.size(refs) == 0
+    return F.struct(F.when(none, extra).otherwise(edits).alias("edits"), F.when(none, extra).otherwise(total(refs)).alias("chars"))
+
 
-    return pd.Series([one(r, h) for r, h in zip(ref, hyp, strict=True)], dtype=float)
+def wer(ref: Column | str, hyp: Column | str) -> Column:
+    """Edit distance of tokens over the reference's tokens; an empty reference gives 0 or 1."""
+    col = lambda x: F.col(x) if isinstance(x, str) else x
+    tokens = lambda x: F.filter(F.split(nfkc(F.coalesce(col(x), F.lit(""))), r"(?U)[\s\x1c-\x1f，。；、：:；,.!！？?\n]+", -1), lambda t: t != "")
+    a, b = tokens(ref), tokens(hyp)
+    known = F.array_distinct(F.concat(a, b))
+    distance = F.levenshtein(_as_text(a, known), _as_text(b, known))
+    return F.when(F.size(a) == 0, F.when(F.size(b) > 0, 1.0).otherwise(0.0)).otherwise(distance / F.size(a))
 
 
 class _Table(HTMLParser):

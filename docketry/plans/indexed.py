@@ -15,8 +15,8 @@ def search_indexed(t):
     """Search by trigram postings that are written first."""
     part = t("part")
     path = scratch(part.sparkSession, "trigrams")
-    indexes.write_trigrams(part, "p_partkey", ["p_name", "p_brand", "p_type"], path)
-    return indexes.search_trigrams(part, "p_partkey", ["p_name", "p_brand", "p_type"], "Brand#1", path).groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
+    indexes.write_trigrams(part, "p_partkey", ["p_name", "p_brand", "p_type"], path, parts=16)
+    return indexes.search_trigrams(part, "p_partkey", ["p_name", "p_brand", "p_type"], "Brand#1", path, parts=16).groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT user_id, event_type, a.n AS new_value, b.n AS old_value, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change FROM ({_HALF.format('>=')}) a FULL JOIN ({_HALF.format('<')}) b USING (user_id, event_type) WHERE a.n IS DISTINCT FROM b.n")
@@ -25,7 +25,7 @@ def snapshot_diff_by_digest(t):
     e, cut = t("events"), F.expr("timestamp_ntz'2024-01-15 00:00:00'")
     paths = [scratch(e.sparkSession, name) for name in ("new", "old")]
     for path, side in zip(paths, (F.col("ts") >= cut, F.col("ts") < cut), strict=True):
-        indexes.write_snapshot(e.filter(side).groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id", "event_type"], path)
+        indexes.write_snapshot(e.filter(side).groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id", "event_type"], path, leaves=16)
     return indexes.diff_snapshots(e.sparkSession, *paths, ["user_id", "event_type"], "n")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import io
+import random
 import re
 import unicodedata
 import zipfile
@@ -335,3 +336,35 @@ def test_streams_count_and_upsert(spark, tmp_path):
     q = limiter.read_lines(spark, f"file://{tmp_path}/txt").writeStream.format("memory").queryName("lines").option("checkpointLocation", f"file://{tmp_path}/c3").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("lines").collect()} == {("f.txt", "one"), ("f.txt", "two")}
+
+
+def test_edit_distances_without_python_workers(spark):
+    """Random texts: tokens and lines against plain Python; thousands of distinct tokens; nulls."""
+    rnd = random.Random(12)
+    rows = [(i, *("".join(rnd.choice(["a", "b", "ab", "é", "，", " ", "\n", "\r\n", "Ａ", " ", "."]) for _ in range(rnd.randint(0, 25))) for _ in range(2))) for i in range(150)]
+    many = [f"w{k}" for k in range(56_000)]
+    few = [0, 1, 55_039, 55_040, 55_041, 55_042, 55_999]  # on both sides of the numbers that are no characters
+    rows += [(1000, " ".join(many[k] for k in few), " ".join(many)), (1001, None, "a"), (1002, "a", None), (1003, None, None)]
+    frame = spark.createDataFrame(rows, "i int, a string, b string")
+    tokens = lambda t: [w for w in re.split(r"[\s，。；、：:；,.!！？?\n]+", unicodedata.normalize("NFKC", t or "")) if w]
+    small = frame.filter("i < 1000 or i > 1000")
+    got = {r.i: r.w for r in small.select("i", metrics.wer("a", "b").alias("w")).collect()}
+    for i, a, b in rows:
+        if i != 1000:
+            x, y = tokens(a), tokens(b)
+            assert abs(got[i] - (edit_distance(x, y) / len(x) if x else float(bool(y)))) < 1e-12
+    codes = frame.filter("i = 1000").select(metrics._as_text(F.split("a", " "), F.split("b", " ")).alias("t")).first().t
+    assert len(codes) == len(set(codes)) == len(few) and ord(codes[-1]) == 56_000 + 255 + 0x800
+    lines = {r.i: tuple(r.e) for r in small.select("i", metrics.line_edit_counts("a", "b").alias("e")).collect()}
+    squeeze = lambda t: [y for y in (SPACE.sub("", unicodedata.normalize("NFKC", x)).lower() for x in (t or "").splitlines()) if y]
+    for i, a, b in rows:
+        if i == 1000:
+            continue
+        refs, rest, edits = squeeze(a), squeeze(b), 0
+        extra = (1, 1) if rest else (0, 0)
+        for line in refs:
+            near = min(((edit_distance(line, h), k) for k, h in enumerate(rest)), default=(len(line), 0))
+            edits += min(near[0], len(line))
+            if near[0] < len(line):
+                rest.pop(near[1])
+        assert lines[i] == ((edits + sum(map(len, rest)), sum(map(len, refs))) if refs else extra), (a, b)

@@ -47,8 +47,10 @@ def test_text(spark):
 
 
 def test_metrics(spark):
-    assert metrics.line_edits("ab\ncd", "cd\nab") == (0, 4) and metrics.line_edits("abcdefghij", "abcdxxxxij") == (4, 10)
-    assert metrics.line_edits("", "x") == (1, 1) and metrics.line_edits("ab", "ab\nzz") == (2, 2)
+    line_edits = lambda a, b: tuple(one(spark, metrics.line_edit_counts("a", "b"), a=a, b=b)[0])
+    assert line_edits("ab\ncd", "cd\nab") == (0, 4) and line_edits("abcdefghij", "abcdxxxxij") == (4, 10)
+    assert line_edits("", "x") == (1, 1) and line_edits("ab", "ab\nzz") == (2, 2) and line_edits("", " \n") == (0, 0)
+    assert line_edits("ＡＢ c\r\nx\x1cy", "y\u2028x\x85a bC") == (0, 5) and line_edits("ab", "") == (2, 2)
     a, b = "<table><tr><td>1</td><td>2</td></tr></table>", "<table><tr><td>1</td><td>3</td></tr></table>"
     assert metrics.table_similarity(a, a) == 1 and metrics.table_similarity("", a) == 0 and metrics.table_similarity(None, None) == 1
     assert metrics.table_similarity(a, b) == 0.75 and metrics.table_similarity(b + a, a) == 1
