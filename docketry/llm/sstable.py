@@ -14,7 +14,8 @@ newline byte (it is the writer's line separator; offsets count it):
 A key is 0x01 and the big-endian doc_id with its sign bit flipped (0x00 alone for a null doc_id), so that byte
 order is doc_id order, nulls first. A value is the ids, little-endian, of 2 or 4 bytes as the vocabulary needs.
 
-Encoding cuts texts where no token of the byte-level pattern spans: before runs of ASCII white space, in Arrow. The
+Encoding cuts texts where no token of the byte-level pattern spans: before runs of ASCII white space, and between an
+ASCII letter and an ASCII mark, by the bytes. The
 distinct pieces of a slice of texts that the memo lacks are encoded by the tokenizers library; texts in which other
 white space or special token text stands are encoded by the library whole.
 
@@ -54,10 +55,29 @@ SLICE = 1 << 22
 
 #: White space and separators other than plain ASCII ones (and NUL, the cut mark): such texts are encoded whole.
 ODD = r"[\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
-CROWDED = r"[ \n][ \n]|[\t\r\x0b\x0c]"  # else each white space is one blank or line end: the usual text
+WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+LETTERS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+MARKS = np.array([33 <= i < 127 and not chr(i).isalnum() for i in range(256)])
 SPACED = re.compile(r" [^ \t-\r]+")
 
 
+def cut_pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The pieces of all texts, one after the other, and where each text's begin. A piece begins with white space after
+    something else, or with an ASCII mark after an ASCII letter: there the tokenizer's own pattern begins anew as well."""
+    buffers = texts.buffers()
+    offsets = np.frombuffer(buffers[1], np.int32)[texts.offset :][: len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(buffers[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets -= offsets[0]
+    white = WHITE[raw]
+    begins = white.copy()
+    begins[1:] &= ~white[:-1]
+    begins[1:] |= MARKS[raw[1:]] & LETTERS[raw[:-1]]
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    cuts = np.flatnonzero(begins)
+    pieces = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(raw)).astype(np.int32)), pa.py_buffer(raw))
+    return pieces.dictionary_encode(), np.searchsorted(cuts, offsets)
+
+
 class Encoder:
     """Byte-level BPE of whole texts through the tokenizers library, with a memo of pieces."""
 
@@ -119,15 +139,9 @@ class Encoder:
         """The ids of each text, as bytes."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, self.odd)
-        crowded = pc.match_substring_regex(texts, CROWDED)
-        cut = pc.if_else(odd, "", texts)
-        usual = pc.replace_substring(pc.replace_substring(pc.if_else(crowded, "", cut), " ", "\0 "), "\n", "\0\n")
-        cut = pc.if_else(crowded, pc.replace_substring_regex(pc.if_else(crowded, cut, ""), r"([ \t-\r]+)", "\0\\1"), usual)
-        cut = pc.split_pattern(cut, "\0")
-        pieces = cut.flatten().dictionary_encode()
+        pieces, offsets = cut_pieces(pc.if_else(odd, "", texts))
         ids = pa.array(self.known(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(pieces.indices)
-        offsets = np.asarray(cut.offsets)
-        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), ids), b"")
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids), b"")
         if pc.any(odd).as_py():
             own = pa.array([self.whole(t) for t in texts.filter(odd).to_pylist()], pa.binary())
             out = pc.replace_with_mask(out, odd, own)

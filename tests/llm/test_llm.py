@@ -51,6 +51,18 @@ def test_sstable_query(spark, sf):
     assert got == stored(sorted(rows(documents(spark, sf).select("doc_id", "text"))))
 
 
+def test_sstable_pieces_of_random_texts():
+    """Cut pieces give the ids of the whole text, whatever stands side by side."""
+    import random
+
+    rnd = random.Random(3)
+    parts = ["a", "Bc", "the", " ", "  ", "\n", "\t", "'s", "'S", "'", "'re", "'x", ",", ".", "...", "!?", "é", "漢", " ", "\r\n", "1", "23", "<|endoftext|>", "_", "-", "\x0b", "“", "ß", "x'y", "don't", "''s", "a,b", "$5", "\x7f", "\x01", "\0", "\x1c", "　"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(3000)]
+    lib, e = Tokenizer.from_file(BYTE), sstable.Encoder(open(BYTE, encoding="utf-8").read())
+    for text, ids in zip(texts, e.batch(pa.array(texts, pa.string())).to_pylist(), strict=True):
+        assert np.frombuffer(ids, e.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids, text
+
+
 def test_sstable_odd_rows(spark, odd, odd_rows, tmp_path):
     path = f"file://{tmp_path}/t"
     sstable.write(odd, path, BYTE)
