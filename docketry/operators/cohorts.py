@@ -45,15 +45,30 @@ def nearest_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[st
     return met.groupBy(*keys).agg(*(F.min(F.when(F.col("name") == name, F.col(value))).alias(name) for name in ranks))
 
 
-def by_mode(pages: DataFrame, mode: str) -> DataFrame:
-    """pages, mean cer and wer, mean latency, field accuracy and providers of each mode."""
+def with_ranks(summary: DataFrame, df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column], width: float) -> DataFrame:
+    """Add the values of `nearest_ranks` to a summary of one row a group; null where a group has no values."""
+    found = nearest_ranks(df, keys, value, ranks, width)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return summary.join(found.withColumnsRenamed({k: f"__{k}" for k in keys}), same, "left").drop(*(f"__{k}" for k in keys))
+
+
+def by_mode(pages: DataFrame, mode: str, width: float = 50.0) -> DataFrame:
+    """pages, mean cer and wer, mean and 95th-percentile latency, field accuracy and providers of each mode. The percentile
+    is the value at place floor(0.95 * (n - 1)) from 0 of the sorted ones, found by ranges of `width`."""
     hits, total = F.sum("field_hits"), F.sum("field_total")
-    return pages.groupBy(mode).agg(F.count("*").alias("pages"), F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.avg("latency_ms").alias("mean_latency_ms"), F.when(total > 0, hits / total).alias("field_accuracy"), F.array_sort(F.collect_set("provider")).alias("providers"))
+    out = pages.groupBy(mode).agg(F.count("*").alias("pages"), F.avg("cer").alias("mean_cer"), F.avg("wer").alias("mean_wer"), F.avg("latency_ms").alias("mean_latency_ms"), F.when(total > 0, hits / total).alias("field_accuracy"), F.array_sort(F.collect_set("provider")).alias("providers"))
+    return with_ranks(out, pages, [mode], "latency_ms", {"p95_latency_ms": F.floor(F.lit(0.95) * (F.col("total") - 1)) + 1}, width)
 
 
-def hard_pages(pages: DataFrame, above: float, *keys: str) -> DataFrame:
-    """Mean and median of cer, and how many pages are above a bound."""
-    return pages.groupBy(*keys).agg(F.count("*").alias("pages"), F.avg("cer").alias("mean"), F.median("cer").alias("median"), F.count_if(F.col("cer") > above).alias("hard"))
+def hard_pages(pages: DataFrame, above: float, *keys: str, width: float = 0.01) -> DataFrame:
+    """Mean, median and 95th percentile of cer, and how many pages are above a bound. The percentile is the value at place
+    floor(0.95 * n) from 1, the first at least; ranks are found by ranges of `width`, so no task gets a group's values."""
+    out = pages.groupBy(*keys).agg(F.count("*").alias("pages"), F.avg("cer").alias("mean"), F.count_if(F.col("cer") > above).alias("hard"))
+    n = F.col("total")
+    ranks = {"__low": F.floor((n + 1) / 2), "__high": F.floor(n / 2) + 1, "p95": F.greatest(F.lit(1), F.floor(n * F.lit(0.95)))}
+    return with_ranks(out, pages, keys, "cer", ranks, width).withColumn("median", (F.col("__low") + F.col("__high")) / 2).drop("__low", "__high")
 
 
 def cohort_of(doc_id: Column, synthetic: Column) -> Column:
@@ -94,6 +109,18 @@ def marked(value: Column, *words: str) -> Column:
     return F.coalesce(F.lower(F.trim(value)).isin(*words), F.lit(False))
 
 
+def ledger_summary(rows: DataFrame) -> DataFrame:
+    """One row of a pilot ledger's counts: rows, confirmed tasks, payment signals."""
+    some = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return rows.agg(F.count("*").alias("rows"), F.count_if(marked(F.col("human_confirmation"), "confirmed")).alias("confirmed_tasks"), F.count_if(some("payment_signal")).alias("payment_signals"))
+
+
+def contact_summary(rows: DataFrame) -> DataFrame:
+    """One row of a contact ledger's counts: rows, contacts that answered or were followed up, rows with a pilot task."""
+    touched = ~F.coalesce(F.lower(F.trim("response_status")), F.lit("")).isin("", "pending")
+    return rows.agg(F.count("*").alias("rows"), F.count_if(touched).alias("touched_contacts"), F.count_if(F.coalesce(F.trim("linked_pilot_task_id") != "", F.lit(False))).alias("linked_pilot_tasks"))
+
+
 def business_status(confirmed: Column, signals: Column) -> Column:
     return F.when(confirmed > 0, "CONFIRMED").when(signals > 0, "SIGNAL_ONLY").otherwise("NO_SIGNAL")
 

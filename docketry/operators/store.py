@@ -74,8 +74,10 @@ def search(df: DataFrame, columns: Sequence[str], needle: str) -> DataFrame:
     return df.filter(F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(needle.lower())))
 
 
-def visible(projects: DataFrame, members: DataFrame, user: str) -> DataFrame:
-    """Projects without members, or with this one."""
+def visible(projects: DataFrame, members: DataFrame, user: str, role: str | None = None) -> DataFrame:
+    """What a user may see: an owner or admin every project, others those without members, or with this one."""
+    if role in ("OWNER", "ADMIN"):
+        return projects
     open_ = projects.join(members.select("project_id"), "project_id", "left_anti")
     return open_.unionByName(projects.join(members.filter(F.col("user_id") == user).select("project_id"), "project_id", "left_semi"))
 

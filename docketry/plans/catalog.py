@@ -208,6 +208,23 @@ def project_visibility(t):
     return store.visible(projects, members, "1-URGENT").withColumnRenamed("project_id", "c_custkey")
 
 
+@query("SELECT 'ADMIN' AS role, c_custkey FROM customer UNION ALL SELECT 'REVIEWER', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
+def project_visibility_by_role(t):
+    """The same user as admin and as reviewer."""
+    projects = t("customer").select(F.col("c_custkey").alias("project_id"))
+    members = t("orders").select(F.col("o_custkey").alias("project_id"), F.col("o_orderpriority").alias("user_id"))
+    seen = lambda role: store.visible(projects, members, "5-LOW", role).select(F.lit(role).alias("role"), F.col("project_id").alias("c_custkey"))
+    return seen("ADMIN").unionByName(seen("REVIEWER"))
+
+
+@query("SELECT count(*) AS rows, count_if(lower(trim(c_mktsegment)) = 'building') AS confirmed_tasks, count_if(c_acctbal > 0) AS payment_signals, count_if(c_nationkey > 4) AS touched_contacts, count_if(c_custkey % 3 = 0) AS linked_pilot_tasks FROM customer")
+def ledger_summaries(t):
+    """Counts of a pilot and of a contact ledger."""
+    k = F.col("c_nationkey")
+    c = t("customer").select(F.when(F.col("c_mktsegment") == "BUILDING", " Confirmed ").otherwise("open").alias("human_confirmation"), F.when(F.col("c_acctbal") > 0, "paid").otherwise("  ").alias("payment_signal"), F.when(k > 4, "Answered").when(k > 2, " PENDING ").when(k > 1, " ").alias("response_status"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).alias("linked_pilot_task_id"))
+    return cohorts.ledger_summary(c).join(cohorts.contact_summary(c), "rows")
+
+
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' AND c_acctbal > 0")
 def session_user_join(t):
     return t("orders").filter("o_orderstatus = 'F'").join(t("customer").filter("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")

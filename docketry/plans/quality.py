@@ -27,17 +27,17 @@ def macro_teds(t):
     return cohorts.macro_mean(_pages(t), "teds", "table_html", "mode").withColumn("mean", F.round("mean", 6))
 
 
-@query(f"SELECT mode, count(*) AS pages, round(avg(CASE WHEN chars > 0 THEN edits / chars END), 6) AS mean_cer, round(avg(latency_ms), 6) AS mean_latency_ms, round(sum(page) / nullif(sum(page + 1), 0), 6) AS field_accuracy, array_to_string(list_sort(list_distinct(list('p' || (doc_id % 3)::VARCHAR))), ',') AS providers FROM ({_PAGES}) GROUP BY ALL")
+@query(f"SELECT mode, count(*) AS pages, round(avg(CASE WHEN chars > 0 THEN edits / chars END), 6) AS mean_cer, round(avg(edits / (chars + 1)), 6) AS mean_wer, round(avg(latency_ms), 6) AS mean_latency_ms, list_sort(list(latency_ms))[floor(0.95::DOUBLE * (count(*) - 1))::INT + 1] AS p95_latency_ms, round(sum(page) / nullif(sum(page + 1), 0), 6) AS field_accuracy, array_to_string(list_sort(list_distinct(list('p' || (doc_id % 3)::VARCHAR))), ',') AS providers FROM ({_PAGES}) GROUP BY ALL")
 def ocr_by_mode(t):
-    p = _pages(t).withColumns({"cer": F.when(F.col("chars") > 0, F.col("edits") / F.col("chars")), "wer": F.lit(0.5), "field_hits": F.col("page"), "field_total": F.col("page") + 1, "provider": F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))})
-    out = cohorts.by_mode(p, "mode").drop("mean_wer").withColumn("providers", F.array_join("providers", ","))
-    return out.withColumns({n: F.round(n, 6) for n in ("mean_cer", "mean_latency_ms", "field_accuracy")})
+    p = _pages(t).withColumns({"cer": F.when(F.col("chars") > 0, F.col("edits") / F.col("chars")), "wer": F.col("edits") / (F.col("chars") + 1), "field_hits": F.col("page"), "field_total": F.col("page") + 1, "provider": F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))})
+    out = cohorts.by_mode(p, "mode").withColumn("providers", F.array_join("providers", ","))
+    return out.withColumns({n: F.round(n, 6) for n in ("mean_cer", "mean_wer", "mean_latency_ms", "field_accuracy")})
 
 
-@query(f"SELECT mode, count(*) AS pages, round(avg(cer), 6) AS mean, round(median(cer), 6) AS median, count_if(cer > 0.5) AS hard FROM (SELECT mode, CASE WHEN chars > 0 THEN edits / chars END AS cer FROM ({_PAGES})) GROUP BY ALL")
+@query(f"SELECT mode, count(*) AS pages, round(avg(cer), 6) AS mean, round(median(cer), 6) AS median, round(list_sort(list(cer) FILTER (cer IS NOT NULL))[greatest(1, floor(0.95::DOUBLE * count(cer))::INT)], 6) AS p95, count_if(cer > 0.5) AS hard FROM (SELECT mode, CASE WHEN chars > 0 THEN edits / chars END AS cer FROM ({_PAGES})) GROUP BY ALL")
 def hard_page_summary(t):
     p = _pages(t).withColumn("cer", F.when(F.col("chars") > 0, F.col("edits") / F.col("chars")))
-    return cohorts.hard_pages(p, 0.5, "mode").withColumns({"mean": F.round("mean", 6), "median": F.round("median", 6)})
+    return cohorts.hard_pages(p, 0.5, "mode").withColumns({n: F.round(n, 6) for n in ("mean", "median", "p95")})
 
 
 _COHORT = f"SELECT *, CASE WHEN doc_id % 5 = 0 THEN 'synthetic' WHEN doc_id % 5 < 3 THEN 'old' ELSE 'real' END AS cohort, doc_id % 4 AS tp, page % 2 AS fp, doc_id % 2 AS fn FROM ({_PAGES})"

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions.text import iso_valid
+
 PAGE = "filename string, page int, kind string, label string, text string, blocks array<string>, error string"
 #: Bounds of an upload and of an archive, suffixes and schemes that are refused.
 MAX_BYTES = 50 * 1024 * 1024
@@ -215,12 +217,27 @@ def write_audit(df: DataFrame, path: str) -> None:
     rows.withColumnRenamed(AUDIT_COLUMNS[0], BOM + AUDIT_COLUMNS[0]).write.mode("overwrite").csv(path, header=True)
 
 
-def append_ledger(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """Append rows of exactly the ledger's columns; a ledger there must have the same header."""
+def append_ledger(df: DataFrame, path: str, columns: Sequence[str], key: str | None = None, times: Sequence[str] = (), dates: Sequence[str] = ()) -> DataFrame:
+    """Append rows of exactly the ledger's columns and return the ledger; one there must have the same header. All or
+    nothing: a row without its key, or with a time or (where it is given) a date that is none, keeps all of them out."""
     spark = df.sparkSession
     there = read_or_empty(lambda: read_ledger(spark, path, columns), spark, ", ".join(f"`{c}` string" for c in columns))
     there.limit(1).collect()  # fails on another header
-    _contract(df, columns).write.mode("append").csv(path, header=True)
+    rows = _contract(df, columns)
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    wrong = F.lit(False)
+    if key:
+        wrong = wrong | blank(key)
+    for c in times:
+        wrong = wrong | ~F.coalesce(iso_valid(F.col(c)), F.lit(False))
+    for c in dates:
+        wrong = wrong | (~blank(c) & ~F.coalesce(iso_valid(F.col(c)), F.lit(False)))
+    if key or times or dates:
+        bad = rows.filter(wrong).limit(1).collect()
+        if bad:
+            raise ValueError(f"a row lacks its {key or 'key'}, or a time or date is none: {bad[0].asDict()}")
+    rows.write.mode("append").csv(path, header=True)
+    return read_ledger(spark, path, columns)
 
 
 def refuse_ledger(path: str) -> str:
