@@ -178,13 +178,14 @@ def is_pii(value: Column) -> Column:
 
 
 def key_fields(text: Column, fields: Sequence[tuple[str, str]] = FIELDS) -> Column:
-    """array<struct<name, value>>: each field's first match, cleaned; empty, stock and personal values dropped."""
-    found = []
-    for name, pattern in fields:
-        v = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, pattern, 1), SPACE, " "), "^[ ：:;]+|[ ：:;]+$", "")
-        ok = (F.length(v) >= 2) & ~v.isin(*BLANK_FIELDS) & ~is_pii(v)
-        found.append(F.when(ok, F.struct(F.lit(name).alias("name"), F.left(v, F.lit(80)).alias("value"))))
-    return F.array_compact(F.array(*found))
+    """array<struct<name, value>>: each field's first match, cleaned; empty, stock and personal values dropped. Each step is
+    an array of its own, so no pattern is matched twice."""
+    named = lambda f, value: F.struct(f["name"].alias("name"), value.alias("value"))
+    found = F.array(*(F.struct(F.lit(name).alias("name"), F.regexp_extract(text, pattern, 1).alias("value")) for name, pattern in fields))
+    met = F.filter(found, lambda f: F.length(f["value"]) >= 2)
+    clean = F.transform(met, lambda f: named(f, F.regexp_replace(F.regexp_replace(f["value"], SPACE, " "), "^[ ：:;]+|[ ：:;]+$", "")))
+    kept = F.filter(clean, lambda f: (F.length(f["value"]) >= 2) & ~f["value"].isin(*BLANK_FIELDS) & ~is_pii(f["value"]))
+    return F.transform(kept, lambda f: named(f, F.left(f["value"], F.lit(80))))
 
 
 def is_toc(text: Column) -> Column:

@@ -1,3 +1,3 @@
 """Registered queries and their SQL forms."""
 
-from . import catalog, citations, evidence, indexed, lifecycle, pages, quality, reviewing  # noqa: F401
+from . import catalog, citations, evidence, fixed, indexed, lifecycle, pages, quality, reviewing  # noqa: F401
