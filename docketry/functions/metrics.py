@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from docketry.functions.text import LINE_END, compact, nfkc, nfkc_each
+from docketry.functions.text import LINE_END, compact, given, nfkc, nfkc_each
 
 TAGS = {"table", "thead", "tbody", "tfoot", "tr", "td", "th"}
 GATES = (("line_cer", "max", 0.02), ("key_field_f1", "min", 0.97), ("teds", "min", 0.9))
@@ -30,11 +30,6 @@ def plain(text: str | None) -> str:
     return re.sub(r"\s+", "", unicodedata.normalize("NFKC", text or "")).lower()
 
 
-def _given(value: Column, f) -> Column:
-    """f(value), with the value reckoned once: inside a lambda Spark would do so at each mention."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def _as_text(tokens: Column, vocabulary: Column) -> Column:
     """A text with one character for each token, equal ones for equal tokens, so that the built-in edit distance of
     characters is that of tokens."""
@@ -63,9 +58,9 @@ def line_edit_counts(ref: Column | str, hyp: Column | str) -> Column:
                 others = F.concat(F.slice(acc["rest"], F.lit(1), at - 1), F.slice(acc["rest"], at + 1, F.size(distances)))
                 return F.struct(F.when(near, others).otherwise(acc["rest"]).alias("rest"), (acc["edits"] + F.when(near, least).otherwise(F.length(line))).cast("long").alias("edits"))
 
-            return _given(F.array_min(distances), taken)
+            return given(F.array_min(distances), taken)
 
-        return _given(F.transform(acc["rest"], lambda h: F.levenshtein(line, h)), nearest)
+        return given(F.transform(acc["rest"], lambda h: F.levenshtein(line, h)), nearest)
 
     total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     edits = F.aggregate(refs, F.struct(rest.alias("rest"), F.lit(0).cast("long").alias("edits")), step, lambda acc: acc["edits"] + total(acc["rest"]))

@@ -53,16 +53,18 @@ def escaped(value: Column) -> Column:
 
 def rows_to_html(rows: Column, header: bool = True) -> Column:
     """An array of arrays of cells as one HTML table; ragged rows are filled up with empty cells."""
-    width = F.array_max(F.transform(rows, F.size))
 
-    def line(row: Column, tag: str) -> Column:
-        whole = F.concat(row, F.array_repeat(F.lit(""), (width - F.size(row)).cast("int")))
-        return F.concat(F.lit("<tr>"), F.array_join(F.transform(whole, lambda c: F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    def html(rows: Column, width: Column) -> Column:
+        def line(row: Column, tag: str) -> Column:
+            whole = F.concat(row, F.array_repeat(F.lit(""), (width - F.size(row)).cast("int")))
+            return F.concat(F.lit("<tr>"), F.array_join(F.transform(whole, lambda c: F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
 
-    body = F.slice(rows, 2, F.size(rows)) if header else rows
-    head = F.concat(F.lit("<thead>"), line(F.get(rows, 0), "th"), F.lit("</thead>")) if header else F.lit("")
-    table = F.concat(F.lit("<table>"), head, F.lit("<tbody>"), F.array_join(F.transform(body, lambda r: line(r, "td")), ""), F.lit("</tbody></table>"))
-    return F.when(F.coalesce(width, F.lit(0)) > 0, table).otherwise("<table></table>")
+        body = F.slice(rows, 2, F.size(rows)) if header else rows
+        head = F.concat(F.lit("<thead>"), line(F.get(rows, 0), "th"), F.lit("</thead>")) if header else F.lit("")
+        table = F.concat(F.lit("<table>"), head, F.lit("<tbody>"), F.array_join(F.transform(body, lambda r: line(r, "td")), ""), F.lit("</tbody></table>"))
+        return F.when(F.coalesce(width, F.lit(0)) > 0, table).otherwise("<table></table>")
+
+    return texts.given(rows, lambda r: texts.given(F.array_max(F.transform(r, F.size)), lambda width: html(r, width)))
 
 
 def clean_rows(rows: Column) -> Column:

@@ -65,6 +65,12 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
+def given(value: Column, f) -> Column:
+    """f(value), with the value reckoned once: inside a lambda Spark would do so at each mention, and not at all where it
+    comes from Python."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def squeezed(text: Column) -> Column:
     """White space runs to one space, ends trimmed."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
