@@ -75,19 +75,31 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> Dat
 FILTER_WORDS = 1 << 20  # of 64 bits, that a broadcast filter has at most
 
 
-def without(rows: DataFrame, gone: DataFrame, ids: dict[str, str], digest: Column, gone_digest: str) -> DataFrame:
-    """The rows that are not in the stored table of keys (an id, null equal to null, and a digest). A blocked Bloom filter
-    of the keys, a word for four of them, is broadcast: rows that miss it pass straight through, and only the others
-    meet the keys in a join. With more keys than FILTER_WORDS can hold apart, more rows meet them, with the same result."""
-    words = min(FILTER_WORDS, max(1, gone.count() // 4))
+def _probed(rows: DataFrame, keys: DataFrame, digest: Column, key_digest: str) -> tuple[DataFrame, Column]:
+    """The rows, with further columns, and whether a row's digest may be that of a key. The keys are a stored table; a
+    blocked Bloom filter of them, a word for four, is broadcast. More keys than FILTER_WORDS can hold apart let more rows
+    through."""
+    words = min(FILTER_WORDS, max(1, keys.count() // 4))
     word, mask, bits = unused(rows, "word", "mask", "bits")
     bit = lambda h, at: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(63)).cast("int"))
     slot = lambda h: (F.pmod(h, F.lit(words)).alias(word), bit(h, 40).bitwiseOR(bit(h, 50)).alias(mask))
     h = lambda d: F.xxhash64(d, F.lit(3))
-    filled = F.broadcast(gone.select(*slot(h(F.col(gone_digest)))).groupBy(word).agg(F.bit_or(mask).alias(bits)))
+    filled = F.broadcast(keys.select(*slot(h(F.col(key_digest)))).groupBy(word).agg(F.bit_or(mask).alias(bits)))
     at, own = slot(h(digest))
     probed = rows.withColumn(word, at).join(filled, word, "left").withColumn(mask, own)
-    maybe = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    return probed, F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, digest: Column, key_digest: str) -> DataFrame:
+    """The rows whose digest is that of a key of the stored table, and a few others: what a join with it has to shuffle."""
+    probed, maybe = _probed(rows, keys, digest, key_digest)
+    return probed.filter(maybe).select(*rows.columns)
+
+
+def without(rows: DataFrame, gone: DataFrame, ids: dict[str, str], digest: Column, gone_digest: str) -> DataFrame:
+    """The rows that are not in the stored table of keys (an id, null equal to null, and a digest). Rows that miss the
+    broadcast filter of the keys pass straight through, and only the others meet the keys in a join."""
+    probed, maybe = _probed(rows, gone, digest, gone_digest)
     same = digest == F.col(gone_digest)
     for mine, theirs in ids.items():
         same = same & F.col(mine).eqNullSafe(F.col(theirs))

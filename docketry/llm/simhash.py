@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, join_counted, lean, materialise, unused, without
+from .common import documents, join_counted, lean, materialise, maybe_among, unused, without
 
 RADIUS = 3
 SHINGLE = 3
@@ -52,6 +52,7 @@ NEAR = 30
 RADII = (10, 16, 22, NEAR)
 FINE = 1024
 FINE_NEAR = 190
+WORDS = ["w0", "w1", "w2", "w3"]  # the 256 bits
 WIDE = np.random.default_rng(64).integers(0, 1 << 63, FINE // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # odd multipliers
 ALL = (1 << 64) - 1
 
@@ -347,23 +348,38 @@ def near_pairs(fp: np.ndarray, rank: np.ndarray, size: np.ndarray, group: np.nda
 
 
 def _pair_buckets(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, w0, w1, node, group, ...), sorted, whole buckets in one partition -> candidate pairs; with the
-    FINE bits in the further columns every pair, else forests."""
+    """Rows (bucket, w0, w1, node), sorted, whole buckets in one partition -> candidate pairs, forests of each bucket;
+    with the group and the FINE bits in further columns every pair."""
     for rows, rank, size in _whole_buckets(batches, 1):
-        node, fine = rows[:, 3], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
-        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, rows[:, 4], fine if fine.shape[1] else None, rows[:, 0] >> bands.width, bands):
+        node, group, fine = rows[:, 3], rows[:, min(4, rows.shape[1] - 1)], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+        for i, j in near_pairs(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), rank, size, group, fine if fine.shape[1] else None, rows[:, 0] >> bands.width, bands):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
 
-def _wide_rows(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
+def _wide_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in lean(batches):
         nodes, bits = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, 256), np.uint8)
         for i, t in enumerate(b.column(2)):
             nodes[i], h = shingles(t.as_py())
             bits[i] = wide_bits(h)
-        w = np.packbits(bits[:, :128], axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands.count), pa.array(bands.buckets(bits).ravel()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes.view(np.int64)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), keys], ["doc_id", "text_hash", "node", "w0", "w1", "buckets"])
+        w = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes.view(np.int64)), *(pa.array(w[:, k].copy()) for k in range(4))], ["doc_id", "text_hash", "node", *WORDS])
+
+
+def _dealt(rows: DataFrame, bands: Bands) -> DataFrame:
+    """Rows (w0, w1, w2, w3, further longs) -> (bucket, w0, w1, further longs), one for each band. Buckets are made where
+    they are dealt: a text's list of them is longer than all its bits, and grows with the number of bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:4]], axis=1)
+            bits = np.unpackbits(w.view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * bands.count), pa.array(bands.buckets(bits).ravel()))
+            yield pa.RecordBatch.from_arrays([keys, *b.columns[:2], *b.columns[4:]], ["buckets", *kept])
+
+    kept = [c for c in rows.columns if c not in WORDS[2:]]
+    listed = rows.mapInArrow(run, "buckets array<long>, " + ", ".join(f"{c} long" for c in kept))
+    return listed.select(F.explode("buckets").alias("bucket"), *kept)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,24 +393,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(docs: DataFrame, wide: DataFrame, text_col: str, bands: Bands) -> DataFrame:
     """Edges (a, b) of nodes whose sets of shingles are alike by LIKE."""
-    nodes = wide.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("buckets").alias("buckets"))
+    nodes = wide.groupBy("node").agg(F.min("text_hash").alias("text_hash"), *(F.first(w).alias(w) for w in WORDS))
     nodes = materialise(nodes, "near-nodes")
-    forest = _candidates(nodes.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", F.col("node").alias("group")), bands)
+    forest = _candidates(nodes.select(*WORDS, "node"), bands)
     # a text that is in no pair of the forests is in no pair at all
-    met = materialise(forest.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-met")
-    need = met.join(nodes.select("node", "text_hash"), "node")
-    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text")).join(need, "text_hash").select("node", "text")
-    sets = texts.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_sets, "node long, shingles array<long>, fine array<long>")
+    met = forest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    met = materialise(met.join(nodes.select("node", "text_hash"), "node"), "near-met")
+    texts = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
+    texts = maybe_among(texts, met, F.col("text_hash"), "text_hash").join(met, "text_hash")
+    # rows of one node lie in one partition by their text_hash already
+    sets = texts.groupBy("node", "text_hash").agg(F.first("text").alias("text")).select("node", "text")
+    sets = sets.mapInArrow(_sets, "node long, shingles array<long>, fine array<long>")
     sets = materialise(sets, "near-sets")
     edges = materialise(_confirmed(forest, sets), "near-edges")
-    group = met.join(connected_components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("group"))
+    group = met.select("node").join(connected_components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("group"))
     rest = nodes.join(group, "node").join(sets.select("node", "fine"), "node")
-    rest = rest.select(F.explode("buckets").alias("bucket"), "w0", "w1", "node", "group", *(F.col("fine")[k] for k in range(FINE // 64)))
+    rest = rest.select(*WORDS, "node", "group", *(F.col("fine")[k].alias(f"f{k}") for k in range(FINE // 64)))
     return edges.unionByName(_confirmed(_candidates(rest, bands), sets))
 
 
 def _candidates(rows: DataFrame, bands: Bands) -> DataFrame:
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "w0", "w1")
+    dealt = _dealt(rows, bands).repartition("bucket").sortWithinPartitions("bucket", "w0", "w1")
     return materialise(dealt.mapInArrow(lambda batches: _pair_buckets(batches, bands), "a long, b long").distinct(), "near-pairs")
 
 
@@ -410,7 +429,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, text_hash, component_id), one row per row, of the stage's own similarity."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     bands = Bands(docs.count())
-    wide = materialise(cols.mapInArrow(lambda batches: _wide_rows(batches, bands), "doc_id long, text_hash long, node long, w0 long, w1 long, buckets array<long>"), "near-wide")
+    wide = materialise(cols.mapInArrow(_wide_rows, "doc_id long, text_hash long, node long, w0 long, w1 long, w2 long, w3 long"), "near-wide")
     comp = connected_components(near_links(docs, wide, text_col, bands))
     nodes = wide.groupBy("node").agg(F.count("*").alias("n")).join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialise(join_counted(wide.select("doc_id", "text_hash", "node"), materialise(nodes, "near-roots"), "node", "n"), "near-rooted")

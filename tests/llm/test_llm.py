@@ -222,6 +222,27 @@ def test_stage_finds_texts_alike_by_jaccard(spark):
     assert len(alike) > 90 and sum(alike) / len(alike) > 0.95
 
 
+def test_stage_shuffles_the_texts_of_candidates_alone(spark):
+    """Texts that are like no other stay where they are, and no table on disk holds a text's list of buckets."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 60, 2500)) for _ in range(300)]
+    rows = list(enumerate([*texts, texts[7] + " x", texts[9] + " y"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint()
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    written = lambda: sum(s.shuffleWriteBytes() for s in jvm.jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)))
+    names, real, before = {}, simhash.materialise, written()
+    simhash.materialise = lambda df, name: (names.setdefault(name, df.columns), real(df, name))[1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the candidates are many
+    try:
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    finally:
+        simhash.materialise = real
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept == set(range(300))
+    assert written() - before < 0.2 * sum(len(t) for t in texts), written() - before
+    assert "buckets" not in names["near-wide"] + names["near-nodes"]
+
+
 def test_stage_on_a_large_group_of_copies(spark):
     """Copies of one text with a word or more changed each, some of them alike only through others: one stays, and
     the candidates confirmed stay in proportion to the group."""
