@@ -10,8 +10,8 @@ times the word's own share of the bucket, from the counts of all words (a count
 all words that were never counted), so every counted word has its own probability. The counts of the TABLE_WORDS
 most frequent words are broadcast; the rarer words of a document meet theirs in a join.
 
-Words are known by their XXH64. Texts are cut at ASCII white space by Arrow, and each distinct piece of a slice of
-texts is cut into words once. Training is data-parallel: in each of ROUNDS rounds, a
+Words are known by their XXH64. Texts are cut once, at ASCII white space by Arrow, and each distinct piece of a slice of
+texts into words once; what is counted, trained on and scored is the stored table of each text's hashes. Training is data-parallel: in each of ROUNDS rounds, a
 share of the documents, every one in exactly one round, trains a copy of the network per partition on all
 its windows; Spark sums the copies, weighted by their windows, parameter row by parameter row. What crosses
 the network grows with the number of partitions; what reaches the driver is one network (ROWS_OF_16 rows).
@@ -71,9 +71,18 @@ def word_hash(word: str) -> int:
 
 class Cut:
     """The words of a slice of texts: `words` are the distinct hashes, `at` the index in it of each word of the
-    texts, one text after the other; `ends` is where each text ends."""
+    texts, one text after the other; `ends` is where each text ends. Texts that are binary are hashes already (see cut_texts)."""
 
     def __init__(self, texts: pa.Array) -> None:
+        if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+            whole = texts.cast(pa.large_binary())
+            offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset :][: len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+            data = whole.buffers()[2] if offsets[-1] > offsets[0] else b""
+            coded = pa.array(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy().view(np.int64)).dictionary_encode()
+            self.words, self.at = coded.dictionary.to_numpy(), np.asarray(coded.indices)
+            self.ends = (offsets[1:] - offsets[0]) // 8
+            self.sizes = np.diff(offsets) // 8
+            return
         cut = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         offsets = np.asarray(cut.offsets).astype(np.int64)
         pieces = cut.flatten().dictionary_encode()
@@ -97,6 +106,21 @@ class Cut:
         self.sizes = np.diff(np.concatenate(([0], self.ends)))
 
 
+def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The two columns, with each text's words in place of it: their hashes, of 8 bytes each, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1, SLICE):
+                cut = Cut(b.column(1))
+                data = pa.py_buffer(cut.words[cut.at].tobytes())
+                ends = pa.py_buffer(np.concatenate(([0], cut.ends * 8)).astype(np.int64).tobytes())
+                words = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, ends, data]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), words], [id_col, text_col])
+
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(run, f"`{id_col}` long, `{text_col}` binary")
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents, each word by its hash; counted in tasks first."""
 
@@ -378,7 +402,7 @@ def score_words(docs: DataFrame, net: np.ndarray, vocab: Ids, counts: DataFrame,
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = materialise(cut_texts(documents(spark, sf_dir)), "lm-words")
     counts = materialise(count_words(docs), "lm-counts")
     vocab = vocabulary(counts)
     return score_words(docs, train(docs, vocab), vocab, counts)

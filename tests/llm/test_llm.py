@@ -980,6 +980,28 @@ def test_lm_prefers_its_own_language(spark):
     assert lm_score.score_text(net, vocab.of("red apple blue sky green leaf")) > lm_score.score_text(net, vocab.of("apple sky red leaf blue green"))
 
 
+def test_lm_texts_are_cut_once(spark, odd, empty, tmp_path, monkeypatch):
+    """Stored hashes count as the texts do and score as they do; the query cuts a text into words once."""
+    cut = lm_score.cut_texts(odd)
+    counts = lm_score.count_words(odd)
+    assert Counter(rows(lm_score.count_words(cut))) == Counter(rows(counts))
+    vocab, net = lm_score.vocabulary(counts), lm_score.fresh()
+    key = lambda r: (r[0] is None, r[0], r[1], r[2])
+    got, want = (sorted(rows(lm_score.score_words(x, net, vocab, counts)), key=key) for x in (cut, odd))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+    assert lm_score.cut_texts(empty).count() == 0
+    texts = [None, "", "a b a", "b, c", " "]
+    stored = pa.array([np.array([lm_score.word_hash(w) for w in lm_score.tokens(t)], np.int64).tobytes() for t in texts], pa.binary())
+    for some in (slice(0, 5), slice(3, 5), slice(0, 2), slice(0, 0)):
+        a, b = lm_score.Cut(stored[some]), lm_score.Cut(pa.array(texts[some], pa.string()))
+        assert a.words[a.at].tolist() == b.words[b.at].tolist() and a.sizes.tolist() == b.sizes.tolist() and a.ends.tolist() == b.ends.tolist()
+    odd.write.parquet(f"file://{tmp_path}/documents.parquet")
+    seen, train = [], lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda docs, vocab: (seen.append(docs.schema["text"].dataType.typeName()), train(docs, vocab))[1])
+    assert lm_score.op10_lm_score(spark, f"file://{tmp_path}").count() == odd.count() and seen == ["binary"]
+
+
 def test_lm_scores_texts_that_occur_twice_apart(spark, sf):
     """Texts of made-up words, half of them in two documents: a model of the whole corpus finds the second kind likelier."""
     rng = np.random.default_rng(6)
