@@ -140,7 +140,10 @@ def expired_runs(runs: DataFrame, settings: DataFrame, now: Column) -> DataFrame
 
 def append_chain(last: DataFrame, rows: DataFrame, scope: str, order: str, parts: Sequence[str]) -> DataFrame:
     """New rows with prev_hash and event_hash, after each scope's last hash (scope, event_hash). A hash needs the one
-    before it, so a scope's rows are folded in order, one task a scope, with one hash as the only state."""
+    before it, so a scope's rows are folded in order, one task a scope, with one hash as the only state.
+
+    They are dealt by a hash of the scope: a deal by the scope itself is left out where the join before has dealt the rows
+    so, and when that join turns into a broadcast at run time, its rows are read as they lay, a scope in many tasks."""
     types = dict(rows.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +161,7 @@ def append_chain(last: DataFrame, rows: DataFrame, scope: str, order: str, parts
     body = F.concat_ws("|", *(F.col(p).cast("string") for p in parts))
     known = last.select(scope, F.col("event_hash").alias("start"))
     each = rows.join(known, scope, "left").select(F.col(scope).alias("k"), F.col(order).alias("o"), "start", body.alias("body"))
-    done = each.repartition("k").sortWithinPartitions("k", "o").mapInPandas(run, f"k {types[scope]}, o {types[order]}, prev_hash string, event_hash string")
+    done = each.repartition(F.xxhash64("k")).sortWithinPartitions("k", "o").mapInPandas(run, f"k {types[scope]}, o {types[order]}, prev_hash string, event_hash string")
     return done.withColumnsRenamed({"k": scope, "o": order})
 
 

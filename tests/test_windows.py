@@ -118,3 +118,28 @@ def test_attempts_of_a_hot_challenge(spark):
         tries.append(ok)
     frame = spark.createDataFrame(rows, "k string, i long, ok boolean").repartition(4)
     assert {r.i: r.result for r in timewin.attempts_left(frame, "k", "i").collect()} == want
+
+
+@pytest.fixture
+def late_broadcast(spark):
+    """Joins are planned as sorted ones and turn into broadcasts at run time, in as many tasks, as with large tables."""
+    conf = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10MB", "adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    yield
+    for k in conf:
+        spark.conf.unset(f"spark.sql.{k}")
+
+
+def test_chains_stay_whole_under_a_late_broadcast(spark, late_broadcast):
+    rnd = random.Random(5)
+    rows = [(f"u{rnd.randrange(30)}", i, rnd.choice("xy")) for i in range(900)]
+    rnd.shuffle(rows)
+    known = spark.createDataFrame([("u0", "abc")] + [(f"u{i}", None) for i in range(1, 29)], "k string, event_hash string")
+    got = timewin.append_chain(known, spark.createDataFrame(rows, "k string, id int, body string"), "k", "id", ["id", "body"]).collect()
+    want, last = [], {"u0": "abc"}
+    for k, i, body in sorted(rows, key=lambda r: r[1]):
+        own = hashlib.sha256(f"{last.get(k) or ''}|{i}|{body}".encode()).hexdigest()
+        want.append((k, i, last.get(k), own))
+        last[k] = own
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
