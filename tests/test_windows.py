@@ -143,3 +143,15 @@ def test_chains_stay_whole_under_a_late_broadcast(spark, late_broadcast):
         want.append((k, i, last.get(k), own))
         last[k] = own
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_stored_chains_verify_under_a_late_broadcast(spark, late_broadcast, tmp_path):
+    """The registered query: its chains are made and verified in one plan."""
+    from docketry.plans import catalog
+
+    spark.range(4000).selectExpr("id AS event_id", "id * 7 % 40 AS user_id", "if(id % 3 = 0, 'view', 'click') AS event_type").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {r.user_id: (r.events, r.first_break) for r in catalog.QUERIES["chain_verified"](spark, f"file://{tmp_path}").collect()}
+    ids = defaultdict(list)
+    for i in range(4000):
+        ids[i * 7 % 40].append(i)
+    assert got == {u: (100, min((i for i in x if i % 97 == 3 or (i > x[0] and i % 89 == 5)), default=None)) for u, x in ids.items()}
