@@ -8,10 +8,11 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 SPACE = r"(?U)\s+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
@@ -179,21 +180,49 @@ def html_to_text(raw: Column) -> Column:
 
 
 def is_pii(value: Column) -> Column:
-    c = F.regexp_replace(value, SPACE, "")
-    return c.rlike(REDACTIONS[3][0]) | c.rlike(REDACTIONS[4][0])
+    """A phone or identity number, which has ten digits and more."""
+    return (F.length(value) >= 10) & F.regexp_replace(value, SPACE, "").rlike(f"{REDACTIONS[3][0]}|{REDACTIONS[4][0]}")
 
 
 def key_fields(text: Column, fields: Sequence[tuple[str, str]] = FIELDS) -> Column:
     """array<struct<name, value>>: each field's first match, cleaned; empty, stock and personal values dropped. Each step is
-    an array of its own, so no pattern is matched twice."""
+    an array of its own, so no pattern is matched twice, and the text is made once for all patterns. The fixed fields
+    are found in Arrow slices, as thirteen searches of a text take Python about a sixth of the time that they take Java."""
+    return fixed_fields(text) if fields is FIELDS else listed_fields(text, fields)
+
+
+def listed_fields(text: Column, fields: Sequence[tuple[str, str]]) -> Column:
     named = lambda f, value: F.struct(f["name"].alias("name"), value.alias("value"))
-    found = F.array(*(F.struct(F.lit(name).alias("name"), F.regexp_extract(text, pattern, 1).alias("value")) for name, pattern in fields))
+    found = given(text, lambda t: F.array(*(F.struct(F.lit(name).alias("name"), F.regexp_extract(t, pattern, 1).alias("value")) for name, pattern in fields)))
     met = F.filter(found, lambda f: F.length(f["value"]) >= 2)
-    clean = F.transform(met, lambda f: named(f, F.regexp_replace(F.regexp_replace(f["value"], SPACE, " "), "^[ ：:;]+|[ ：:;]+$", "")))
+    clean = F.transform(met, lambda f: named(f, F.btrim(F.regexp_replace(f["value"], SPACE, " "), F.lit(" ：:;"))))
     kept = F.filter(clean, lambda f: (F.length(f["value"]) >= 2) & ~f["value"].isin(*BLANK_FIELDS) & ~is_pii(f["value"]))
     return F.transform(kept, lambda f: named(f, F.left(f["value"], F.lit(80))))
 
 
+_SEARCH = tuple((name, re.compile(pattern, re.ASCII).search) for name, pattern in FIELDS)
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # as SPACE
+_PII = re.compile(f"{REDACTIONS[3][0]}|{REDACTIONS[4][0]}", re.ASCII)
+
+
+@arrow_udf(T.ArrayType(T.StructType().add("name", T.StringType()).add("value", T.StringType())))
+def fixed_fields(texts: pa.Array) -> pa.Array:
+    """`listed_fields` by FIELDS, whose patterns Python and Java read alike."""
+    names, values, ends = [], [], [0]
+    for text in texts.to_pylist():
+        for name, search in _SEARCH:
+            met = search(text or "")
+            if met is None:
+                continue
+            value = _SPACES.sub(" ", met[1]).strip(" ：:;")
+            if len(value) >= 2 and value not in BLANK_FIELDS and not (len(value) >= 10 and _PII.search(value.replace(" ", ""))):
+                names.append(name)
+                values.append(value[:80])
+        ends.append(len(names))
+    fields = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.string())], ["name", "value"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+
+
 def is_toc(text: Column) -> Column:
     """A contents heading (in one line or two), or three lines with long leaders."""
     lines = F.filter(norm_each(F.split(text, "\n")), lambda x: x != "")
