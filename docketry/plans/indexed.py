@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.functions import tables
 from docketry.operators import boxes, indexes
 from docketry.plans.catalog import _HALF, query
 from docketry.sources.shared import scratch
@@ -53,6 +52,5 @@ def box_pairs(t):
     """Boxes that overlap on both axes, on twenty large pages."""
     c = F.col
     b = t("lineitem").select((c("l_suppkey") % 20).alias("page"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("item"), (c("l_partkey") % 500).alias("x0"), (c("l_partkey") % 500 + 1 + c("l_quantity") / 10).alias("x1"), (c("l_extendedprice") % 400).alias("y0"), (c("l_extendedprice") % 400 + 2 + c("l_discount") * 50).alias("y1"))
-    pairs = boxes.met(b, b, "page", [("x0", "x1"), ("y0", "y1")]).filter("a.item < b.item")
-    area = tables.overlap(c("a.x0"), c("a.x1"), c("b.x0"), c("b.x1")) * tables.overlap(c("a.y0"), c("a.y1"), c("b.y0"), c("b.y1"))
-    return pairs.groupBy("a.page").agg(F.count("*").alias("pairs"), F.count_distinct("a.item").alias("items"), F.round(F.sum(area), 3).alias("area"))
+    sums = boxes.totals(b, "page", "item", [("x0", "x1"), ("y0", "y1")])
+    return sums.select("page", "pairs", "items", F.round("area", 3).alias("area"))

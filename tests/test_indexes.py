@@ -108,3 +108,33 @@ def test_rollups(spark):
                 numbers.add(r[2])
         got = {tuple(r[c] for c in keys): (r.n, r.instances) for r in indexes.distinct_counts(table, *keys).collect()}
         assert got == {k: (len(s), c[0]) for k, (s, c) in want.items()}
+
+
+def brute_totals(rows):
+    out = {}
+    for x in rows:
+        for y in rows:
+            if None not in (x[1], y[1]) and x[1] < y[1] and overlap(x, y):
+                pairs, items, area = out.setdefault(x[0], [0, set(), 0.0])
+                out[x[0]] = [pairs + 1, items | {x[1]}, area + max(0, min(x[4], y[4]) - max(x[2], y[2])) * max(0, min(x[5], y[5]) - max(x[3], y[3]))]
+    return {p: (n, len(items), round(area, 6)) for p, (n, items, area) in out.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_totals_of_pairs(spark, seed, monkeypatch):
+    """Items and whole boxes that stand several times, flat and inverted boxes, boxes of all sizes and without a bound."""
+    monkeypatch.setattr(boxes, "BLOCK", 64)
+    rnd = random.Random(seed)
+    rows = random_boxes(rnd, 150, [1, 1, 1, 2, 3, None])
+    rows = [(p, rnd.choice([i, i, i % 40, None]), *ends) for p, i, *ends in rows + rows[:60]] + [r for r in rows[:30] for _ in range(2)]
+    rows += [(1, 900, None, 0.0, 1.0, 1.0), (1, 901, 0.0, 0.0, 1e9, 1e9), (2, 902, -1e7, -1e7, 1e7, 1e7), (1, 903, float("nan"), 0.0, 1.0, 1.0), (4, 1, 0.0, 0.0, 1.0, 1.0), (4, 1, 0.5, 0.0, 1.0, 1.0), (5, 1, 0.0, 0.0, 1.0, 1.0), (5, 2, 1.0, 0.0, 2.0, 1.0)]
+    got = {r.page: (r.pairs, r["items"], round(r.area, 6)) for r in boxes.totals(spark.createDataFrame(rows, BOX), "page", "item", [("x0", "x1"), ("y0", "y1")]).collect()}
+    want = brute_totals(rows)
+    assert {p: x[:2] for p, x in got.items()} == {p: x[:2] for p, x in want.items()} and all(got[p][2] == pytest.approx(x[2]) for p, x in want.items()) and 4 not in got
+
+
+def test_totals_of_a_crowded_page(spark):
+    """200,000 boxes that nearly all overlap: the pairs, ten billion and more, are no rows."""
+    rows = spark.range(200_000).selectExpr("1 AS page", "id AS item", "double(id % 100) / 1000 AS x0", "0.0 AS y0", "1.0 AS x1", "double(id % 7 + 1) AS y1")
+    (r,) = boxes.totals(rows, "page", "item", [("x0", "x1"), ("y0", "y1")]).collect()
+    assert (r.pairs, r["items"]) == (200_000 * 199_999 // 2, 199_999)
